@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 SLOTS = 1 << 16
 #: Longest piece, in bytes, that the cache takes.
 CACHE_BYTES = 48
+#: Pieces that a task handles at a time.
+CHUNK_PIECES = 1 << 19
 
 
 def java_pattern(pattern: str) -> str:
@@ -111,13 +113,24 @@ def merged(piece: Column, table: Column) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
 
 
+def piece_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about CHUNK_PIECES pieces of its last column; a longer text stands alone."""
+    edges = np.asarray(batch.column(batch.num_columns - 1).offsets, np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + CHUNK_PIECES, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def frequent_pieces(docs: DataFrame, pattern: str, text: str, most: int) -> DataFrame:
     """(piece, n): the most frequent pieces of at most CACHE_BYTES bytes, ties by the piece."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = pc.value_counts(batch.column(0).flatten())
-            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["piece", "n"])
+            for part in piece_chunks(batch):
+                counts = pc.value_counts(part.column(0).flatten())
+                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["piece", "n"])
 
     pieces = docs.select(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)))
     return (
@@ -192,8 +205,8 @@ def encode(
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached, ranks, keys, made = shared.value
-        for batch in batches:
-            pieces = batch.column(batch.num_columns - 1)
+        for part in (p for batch in batches for p in piece_chunks(batch)):
+            pieces = part.column(part.num_columns - 1)
             words = pieces.flatten().dictionary_encode()
             names = words.dictionary.to_pylist()
             values = [cached.get(w) for w in names]
@@ -214,7 +227,7 @@ def encode(
             out = pa.Array.from_buffers(
                 pa.large_binary(), len(pieces), [None, pa.py_buffer(start.astype(np.int64)), _bytes_of(blob)]
             ).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*kept, ids])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], [*kept, ids])
 
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     # the pattern leaves no character out, but an empty text has one empty match in some readers

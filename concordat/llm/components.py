@@ -1,0 +1,41 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+Each step is an aggregation (the least neighbour of each node) and an equi-join back, both of
+which Spark can split where a node has very many edges; nothing is collected.  The number of rounds grows with the
+logarithm of the number of nodes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from concordat.llm.common import cut
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node on an edge; component is the least node reachable.
+
+    Null ends, loops and repeated edges are ignored.  Nodes without an edge are not listed.
+    """
+    a, b = F.col(a), F.col(b)
+    stars = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    before = None
+    while (now := tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before:
+        if not now[0]:
+            break
+        before = now
+        both = stars.union(stars.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(least, "u")
+            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+            .where("u != v")
+            .distinct()
+        )
+        stars = cut(small)
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
