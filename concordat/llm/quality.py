@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the average of learned vectors of its words and their byte n-grams (hashed); a softmax over
-two classes stands on it.  The vectors are trained by numpy stochastic gradient descent on a
-bounded sample of labelled rows, as many of either class.  As the softmax is linear in
+A text is the average of learned vectors of its words and their byte n-grams (hashed), of which two vectors for how
+it repeats its words take a fixed share; a softmax over two classes stands on it.  The vectors are trained by numpy stochastic gradient descent on a
+bounded sample of labelled rows, as many of either class; the bias is then set to the classes'
+true shares.  As the softmax is linear in
 the average, scoring needs one number per hash bucket: the model that is broadcast is
 ``BUCKETS`` numbers whatever the corpus.  Scoring runs in Arrow batches over whole texts.
 
@@ -27,7 +28,19 @@ from concordat.llm.subwords import chunks, features, split_words
 BUCKETS = 1 << 18
 #: Labelled rows of each class that training may see.
 SAMPLE = 1500
-DIM, EPOCHS, RATE, SEED = 8, 8, 1.0, 7
+DIM, EPOCHS, RATE, SEED = 8, 5, 1.0, 7
+#: Share of the average that the two vectors for repetition take, and how many there are of either.
+SHAPE_SHARE, SHAPES = 0.2, 16
+
+
+def shapes(codes: np.ndarray) -> tuple[int, int]:
+    """Buckets, counted from the last, for a text's words per distinct word and for its commonest word's share."""
+    if not len(codes):
+        return SHAPES - 1, 2 * SHAPES - 1
+    counts = np.unique(codes, return_counts=True)[1]
+    per = len(codes) / len(counts)
+    top = counts.max() / len(codes)
+    return min(SHAPES - 2, int(2 * np.log2(per))), SHAPES + min(SHAPES - 2, int(-2 * np.log2(top)))
 
 
 def labelled_sample(labels: DataFrame, label: str, usable: Column, most: int, key: str = "doc_id") -> DataFrame:
@@ -38,7 +51,7 @@ def labelled_sample(labels: DataFrame, label: str, usable: Column, most: int, ke
 
 
 def counted(texts: DataFrame, text: str) -> DataFrame:
-    """(y, buckets, counts) of each text: at most BUCKETS numbers however long it is."""
+    """(y, buckets, shares) of each text: at most BUCKETS numbers however long it is."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,13 +60,16 @@ def counted(texts: DataFrame, text: str) -> DataFrame:
                 owner, bucket = features(words, BUCKETS)
                 times = np.bincount(codes, minlength=len(words))[owner]
                 dense = np.bincount(bucket, times, BUCKETS)
+                dense *= (1 - SHAPE_SHARE) / max(dense.sum(), 1)
+                for shape in shapes(codes):
+                    dense[BUCKETS - 1 - shape] += SHAPE_SHARE / 2
                 used = np.flatnonzero(dense)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([y], pa.int32()), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([dense[used].tolist()], pa.list_(pa.float32()))],
-                    ["y", "buckets", "counts"],
+                    ["y", "buckets", "shares"],
                 )
 
-    return texts.select(F.col("y").cast("int"), text).mapInArrow(count, "y int, buckets array<int>, counts array<float>")
+    return texts.select(F.col("y").cast("int"), text).mapInArrow(count, "y int, buckets array<int>, shares array<float>")
 
 
 def train(rows: pa.Table) -> tuple[np.ndarray, float]:
@@ -62,25 +78,25 @@ def train(rows: pa.Table) -> tuple[np.ndarray, float]:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     ys = np.asarray(rows.column("y"))
-    buckets, counts = (rows.column(c).combine_chunks() for c in ("buckets", "counts"))
-    edges, flat, times = np.asarray(buckets.offsets), np.asarray(buckets.flatten()), np.asarray(counts.flatten())
+    buckets, shares = (rows.column(c).combine_chunks() for c in ("buckets", "shares"))
+    edges, flat, parts = np.asarray(buckets.offsets), np.asarray(buckets.flatten()), np.asarray(shares.flatten())
     steps, done = EPOCHS * len(ys), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(ys)):
-            rate = RATE * (1 - done / steps)
+            rate = np.float32(RATE * (1 - done / steps))
             done += 1
-            at = flat[edges[k] : edges[k + 1]]
-            share = times[edges[k] : edges[k + 1]]
-            share = share / max(share.sum(), 1)
-            hidden = share @ vectors[at]
+            at, share = flat[edges[k] : edges[k + 1]], parts[edges[k] : edges[k + 1]]
+            own = vectors[at]
+            hidden = share @ own
             logit = hidden @ weights + bias
             p = np.exp(logit - logit.max())
             p /= p.sum()
             p[ys[k]] -= 1
-            back = weights @ p
+            # a step as long for a text of many features as for one of few
+            back = (rate / np.float32((share * share).sum() ** 0.5)) * (weights @ p)
             weights -= rate * np.outer(hidden, p)
-            bias -= rate * 0.1 * p
-            vectors[at] -= (rate * share[:, None] * back[None, :] * len(at) ** 0.5).astype(np.float32)
+            bias -= np.float32(0.1) * rate * p
+            vectors[at] = own - np.outer(share, back)
     turn = weights[:, 1] - weights[:, 0]
     return (vectors @ turn).astype(np.float32), float(bias[1] - bias[0])
 
@@ -89,7 +105,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     """The model: (per-bucket logits, bias).  usable picks the rows of labels that may be learned from."""
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
     texts = docs.select(key, text).join(F.broadcast(sample), key)  # of at most 2 * SAMPLE rows
-    return train(counted(texts, text).orderBy("y", F.xxhash64("buckets", "counts")).toArrow())
+    rows = counted(texts, text).orderBy("y", F.xxhash64("buckets", "shares")).toArrow()
+    logits, bias = train(rows)
+    seen = np.bincount(np.asarray(rows.column("y")), minlength=2)
+    true = labels.where(usable).agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b")).first()
+    if seen.all():
+        bias += float(np.log(true["b"] / true["a"]) - np.log(seen[1] / seen[0]))
+    return logits, bias
 
 
 def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> DataFrame:
@@ -110,6 +132,8 @@ def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> Da
                 sums = np.r_[0, np.cumsum(total[codes])]
                 sizes = np.r_[0, np.cumsum(number[codes])]
                 mean = (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(sizes[edges[1:]] - sizes[edges[:-1]], 1)
+                form = [sum(float(logits[BUCKETS - 1 - s]) for s in shapes(codes[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                mean = (1 - SHAPE_SHARE) * mean + SHAPE_SHARE / 2 * np.array(form)
                 value = 1 / (1 + np.exp(-np.clip(mean + bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], schema.names)
 

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import bpe
+from concordat.llm import bpe, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1,
+        "op4_quality": quality.op4,
+        "op5_simhash": simhash.op5,
+        "op8_toxicity": toxicity.op8,
     }
 
 

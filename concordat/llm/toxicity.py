@@ -29,8 +29,8 @@ from concordat.llm.quality import bucket_of, labelled_sample
 from concordat.llm.subwords import chunks, features, split_words
 
 BUCKETS = 1 << 18
-#: Labelled documents of each class, sentences of each kind and their words that training may see.
-SAMPLE, SENTENCES, LONGEST = 3000, 6000, 64
+#: Labelled documents of each class, sentences with and without a toxic word, and words of a sentence that training may see.
+SAMPLE, SENTENCES, LONGEST = 3000, (6000, 20_000), 64
 #: A toxic word's log odds and the toxic documents that it is in, at least; toxic words at most.
 ODDS, DOCS, WORDS = 3.0, 4, 5000
 ROUNDS, RATE = 60, 0.5
@@ -40,8 +40,8 @@ _PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 def toxic_words(texts: DataFrame, text: str) -> list[str]:
     """Words that mark toxic documents, the most telling first."""
     word = F.explode(F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, _PUNCTUATION, ""))))
-    counts = texts.select("y", word.alias("w")).where("w != ''").groupBy("w").agg(F.count_if("y = 1").alias("bad"), F.count_if("y = 0").alias("good"))
-    sizes = texts.agg(F.count_if("y = 1").alias("bad"), F.count_if("y = 0").alias("good")).first()
+    counts = texts.select("y", word.alias("w")).where("w != ''").groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
+    sizes = texts.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
     odds = F.log((F.col("bad") + 0.5) / (sizes["bad"] + 1)) - F.log((F.col("good") + 0.5) / (sizes["good"] + 1))
     rows = counts.where((F.col("bad") >= DOCS) & (odds >= ODDS)).orderBy(odds.desc(), "w").limit(WORDS)
     return [r["w"] for r in rows.select("w").collect()]
@@ -53,7 +53,7 @@ def plain(words: pa.Array) -> pa.Array:
 
 
 def sentences(texts: DataFrame, text: str, words: list[str]) -> pa.Table:
-    """(tokens, tags): a bounded sample of training sentences, half of them with a toxic word where there are enough."""
+    """(tokens, tags): a bounded sample of training sentences, those of the lowest hash."""
     listed = F.lit(words) if words else F.array().cast("array<string>")
     tokens = F.transform(F.filter(F.split(F.col("s"), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(F.lower(w), _PUNCTUATION, ""))
     rows = (
@@ -63,7 +63,7 @@ def sentences(texts: DataFrame, text: str, words: list[str]) -> pa.Table:
         .withColumn("bad", F.arrays_overlap("tokens", listed) & (F.col("y") == 1))
     )
     order = [F.xxhash64("tokens"), F.col("tokens")]
-    some = [rows.where(F.col("bad") == kind).distinct().orderBy(*order).limit(SENTENCES) for kind in (True, False)]
+    some = [rows.where(F.col("bad") == kind).distinct().orderBy(*order).limit(most) for kind, most in zip((True, False), SENTENCES, strict=True)]
     return some[0].union(some[1]).select("tokens", "bad").orderBy("bad", *order).toArrow()
 
 
@@ -91,10 +91,15 @@ def ratios(odds: np.ndarray, edges: np.ndarray, move: np.ndarray) -> tuple[np.nd
     return ahead, back
 
 
+def words_of(owner: np.ndarray) -> int:
+    """Of the features, which list every word first and then the n-grams, how many are words."""
+    back = np.flatnonzero(np.r_[False, owner[1:] <= owner[:-1]])
+    return int(back[0]) if len(back) else len(owner)
+
+
 def emissions(words: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     owner, bucket = features(words, BUCKETS)
-    own = np.flatnonzero(np.r_[True, owner[1:] < owner[:-1]])[1:2]
-    split = int(own[0]) if len(own) else len(owner)  # features lists the words first, then n-grams
+    split = words_of(owner)
     total = np.bincount(owner[split:], weights[bucket[split:]], len(words))
     number = np.bincount(owner[split:], minlength=len(words))
     value = total / np.maximum(number, 1)
@@ -111,11 +116,9 @@ def train(rows: pa.Table, toxic: list[str]) -> tuple[np.ndarray, float, np.ndarr
     bad = np.repeat(np.asarray(rows.column("bad").combine_chunks().to_numpy(zero_copy_only=False)), np.diff(edges))
     y = np.isin(codes, np.flatnonzero(np.isin(words.to_numpy(zero_copy_only=False), toxic))) & bad
     owner, bucket = features(words, BUCKETS)
-    first = np.flatnonzero(np.r_[False, owner[1:] < owner[:-1]])
-    split = int(first[0]) if len(first) else len(owner)
+    split = words_of(owner)
     number = np.maximum(np.bincount(owner[split:], minlength=len(words)), 1)
     size = np.r_[np.ones(split), 1 / number[owner[split:]]]  # what a bucket's weight adds to its word
-    times = np.bincount(codes, minlength=len(words))
     inner = np.setdiff1d(np.arange(1, len(codes)), edges)  # tokens with one before them in their sentence
     weights, bias, move = np.zeros(BUCKETS), -3.0, np.zeros((2, 2))
     seen = [np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
@@ -141,7 +144,6 @@ def train(rows: pa.Table, toxic: list[str]) -> tuple[np.ndarray, float, np.ndarr
                 bias += change
             else:
                 move = move + change
-    del times
     return weights.astype(np.float32), float(bias), np.exp(move)
 
 
