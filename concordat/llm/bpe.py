@@ -35,7 +35,7 @@ SLOTS = 1 << 16
 #: Longest piece, in bytes, that the cache takes.
 CACHE_BYTES = 48
 #: Pieces that a task handles at a time.
-CHUNK_PIECES = 1 << 19
+CHUNK_PIECES = 1 << 17
 
 
 def java_pattern(pattern: str) -> str:

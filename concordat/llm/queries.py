@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import bpe, quality, simhash, toxicity
+from concordat.llm import ann, bpe, html, lines, packing, quality, simhash, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1,
+        "op2_top_products": topk.op2,
+        "op3_url_filter": urls.op3,
         "op4_quality": quality.op4,
         "op5_simhash": simhash.op5,
+        "op6_nearest": ann.op6,
+        "op7_line_dedup": lines.op7,
         "op8_toxicity": toxicity.op8,
+        "op9_main_text": html.op9,
+        "op10_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_top_products": topk.OP2_SQL, "op3_url_filter": urls.OP3_SQL}
