@@ -3,10 +3,12 @@
 Training tokens take their labels from labelled documents: in toxic ones, a word that is far more
 frequent there than in clean ones (smoothed log odds of document counts).  The field has two
 states; a token's emission adds a weight for its word and the mean weight of its byte n-grams (hashed), and
-transitions are learned.  It is fitted by AdaGrad on the exact likelihood of a bounded sample of sentences.
+transitions are learned.  It is fitted by AdaGrad on the exact likelihood of a bounded sample of sentences, and again with
+the words of clean documents that it took for toxic.
 Inference runs forward and backward over every sentence of the whole text; with two states both passes
 are recursions of one ratio, taken for all sentences of a batch together.  A document's score is its highest
-marginal, and its offending spans are the tokens whose marginal is at least one half.
+marginal, as calibrated by a logistic curve on the sample's documents and the true shares of the
+classes, and its offending spans are the tokens whose calibrated marginal is at least one half.
 
 Defined results: null and wordless texts score 0 and have no spans; repeated rows get
 equal results; without labels of both classes every score is 0.
@@ -34,6 +36,8 @@ SAMPLE, SENTENCES, LONGEST = 3000, (6000, 20_000), 64
 #: A toxic word's log odds and the toxic documents that it is in, at least; toxic words at most.
 ODDS, DOCS, WORDS = 3.0, 4, 5000
 ROUNDS, RATE = 60, 0.5
+#: Words of clean documents that the second fit adds, at most, and the emission from which they count.
+HARD, DOUBT = 20_000, -3.0
 _PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -147,13 +151,59 @@ def train(rows: pa.Table, toxic: list[str]) -> tuple[np.ndarray, float, np.ndarr
     return weights.astype(np.float32), float(bias), np.exp(move)
 
 
+def hard_words(texts: DataFrame, text: str, model) -> list[str]:
+    """Words of clean documents that the model suspects, the most suspect first."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in chunks(batch, 0)):
+            words = plain(split_words(part.column(0))[0]).unique()
+            value = emissions(words, *shared.value[:2])
+            doubt = np.flatnonzero(value > DOUBT)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(doubt)).cast(pa.string()), pa.array(value[doubt])], ["w", "e"])
+
+    found = texts.where("y = 0").select(text).mapInArrow(suspected, "w string, e double").where("w != ''").groupBy("w").agg(F.max("e").alias("e"))
+    return [r["w"] for r in found.orderBy(F.desc("e"), "w").limit(HARD).collect()]
+
+
+def curve(texts: DataFrame, text: str, model, share: float) -> tuple[float, float]:
+    """(slope, offset) that turn a document's highest log odds into a probability; share: of class 1 among all labelled."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in chunks(batch, 1)):
+            z = pa.array(log_odds(part.column(1), shared.value)[0])
+            yield pa.RecordBatch.from_arrays([part.column(0), z], ["y", "z"])
+
+    rows = texts.select(F.col("y").cast("int").alias("y"), text).mapInArrow(highest, "y int, z double").orderBy("y", "z").toArrow()  # at most 2 * SAMPLE
+    y, z = np.asarray(rows.column("y")), np.asarray(rows.column("z"))
+    weight = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
+    slope, offset = 1.0, 0.0
+    for _ in range(50):  # Newton steps; the slope is held near 1, which matters where the classes part
+        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
+        gap, bend = weight * (y - p), weight * p * (1 - p)
+        grad = np.array([(gap * z).sum() - (slope - 1), gap.sum()])
+        hess = np.array([[(bend * z * z).sum() + 1, (bend * z).sum()], [(bend * z).sum(), bend.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        slope, offset = slope + step[0], offset + step[1]
+    return float(slope), float(offset)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", key: str = "doc_id", text: str = "text"):
     """The model, or None without toxic words to learn.  usable picks the rows of labels that may be learned from."""
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
     texts = docs.select(key, text).join(F.broadcast(sample), key).persist()  # of at most 2 * SAMPLE rows
     try:
         words = toxic_words(texts, text)
-        return train(sentences(texts, text, words), words) if words else None
+        if not words:
+            return None
+        rows = sentences(texts, text, words)
+        model = train(rows, words)
+        hard = hard_words(texts, text, model)
+        more = pa.table({"tokens": pa.array([[w] for w in hard], rows.schema.field("tokens").type), "bad": pa.array([False] * len(hard))})
+        model = train(pa.concat_tables([rows, more.cast(rows.schema)]), words)
+        counts = labels.where(usable).agg(F.count_if(F.col(label) == 1).alias("n"), F.count(label).alias("all")).first()
+        return (*model, *curve(texts, text, model, counts["n"] / counts["all"]))
     finally:
         texts.unpersist()
 
@@ -178,25 +228,36 @@ def tag(docs: DataFrame, model, text: str = "text", score: str = "score", spans:
     return docs.select(*kept).mapInArrow(tagged, schema)
 
 
-def marginals(texts: pa.Array, model, least: float) -> tuple[np.ndarray, list[list[dict]]]:
-    found: list[list[dict]] = [[] for _ in range(len(texts))]
+def log_odds(texts: pa.Array, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(highest log odds of each text, those of every token, edges of the texts' tokens); -30 is the least."""
     words, codes, edges = split_words(texts)
-    if model is None or not len(codes):
-        return np.zeros(len(texts)), found
-    weights, bias, move = model
+    highest = np.full(len(texts), -30.0)
+    if not len(codes):
+        return highest, np.zeros(0), edges
+    weights, bias, move = model[:3]
     odds = np.exp(np.clip(emissions(plain(words), weights, bias), -30, 30))
     ends = np.asarray(pc.match_substring_regex(words, "[.!?]$"))[codes]
-    cut = np.union1d(np.flatnonzero(ends) + 1, edges)
-    ahead, back = ratios(odds[codes], cut, move)
-    p = ahead * back / (1 + ahead * back)
-    p[np.asarray(pc.equal(words, ""))[codes]] = 0
+    ahead, back = ratios(odds[codes], np.union1d(np.flatnonzero(ends) + 1, edges), move)
+    z = np.clip(np.log(ahead) + np.log(back), -30, 30)
+    z[np.asarray(pc.equal(words, ""))[codes]] = -30
     full = np.flatnonzero(np.diff(edges))
-    values = np.zeros(len(texts))
-    values[full] = np.maximum.reduceat(p, edges[:-1][full])
+    highest[full] = np.maximum.reduceat(z, edges[:-1][full])
+    return highest, z, edges
+
+
+def marginals(texts: pa.Array, model, least: float) -> tuple[np.ndarray, list[list[dict]]]:
+    found: list[list[dict]] = [[] for _ in range(len(texts))]
+    if model is None:
+        return np.zeros(len(texts)), found
+    highest, z, edges = log_odds(texts, model)
+    slope, offset = model[3:]
+    sure = lambda v: 1 / (1 + np.exp(-np.clip(slope * v + offset, -30, 30)))
+    values = np.where(highest > -30, sure(highest), 0.0)
     for k in np.flatnonzero(values >= least):
-        own = np.asarray(pc.not_equal(words, ""))[codes[edges[k] : edges[k + 1]]]
-        hit = np.flatnonzero(p[edges[k] : edges[k + 1]][own] >= least)
-        place = [m.span() for m in re.finditer(r"\S+", texts[k].as_py())]
+        words, codes, _ = split_words(texts.slice(int(k), 1))
+        own = np.asarray(pc.not_equal(words, ""))[codes]
+        hit = np.flatnonzero(sure(z[edges[k] : edges[k + 1]][own]) >= least)
+        place = [m.span() for m in re.finditer(r"\S+", texts[int(k)].as_py())]
         found[k] = [{"start": place[t][0], "end": place[t][1]} for t in hit if t < len(place)]
     return values, found
 
