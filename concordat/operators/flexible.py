@@ -2,7 +2,7 @@
 
 No key meets every other.  Equal keys meet by an equi-join.  Keys without patterns meet on a term of one
 component: the component itself, a number or identifier where both sides have digits, else a word.  Keys with
-``**`` meet on their first character.  Whatever meets is then classified exactly.
+``**`` meet on what stands before it.  Whatever meets is then classified exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from concordat.spec import ReconError, ReconSpec
 
 #: Parts into which keys are dealt that patterns without a first character meet.
 SALTS = 32
+#: Lengths of the prefixes that keys with patterns meet on.
+PREFIXES = (1, 2, 4, 8, 16)
 
 
 def _terms(component: Column, tokens: Column, side: str) -> Column:
@@ -51,20 +53,30 @@ def token_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def pattern_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(nkey_a, nkey_b, kind) of unequal keys of which one or both hold a pattern."""
-    first = F.get("nkey", 0)
-    opens = first.startswith(ANY)
-    own = F.concat(F.lit("c"), F.substring(first, 1, 1))
+    """(nkey_a, nkey_b, kind) of unequal keys of which one or both hold a pattern.
+
+    What stands before the first pattern of a key's first component must agree, so keys meet on that prefix, cut to a power
+    of two of characters.  Patterns that open with ``**`` meet all keys, which are dealt out for that.
+    """
+    prefix = F.substring_index(F.get("nkey", 0), ANY, 1)
+    opens = F.get("nkey", 0).startswith(ANY)
+    sizes = F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(prefix))
+    block = lambda mark, n: F.concat(F.lit(mark), n.cast("string"), F.lit(":"), F.substring(prefix, F.lit(1), n))
+    longest = F.coalesce(F.array_max(sizes), F.lit(0))
     every = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit("s"), i.cast("string")))
-    one = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("nkey"), F.lit(SALTS)).cast("string")))
+    own_salt = F.concat(F.lit("s"), F.pmod(F.xxhash64("nkey"), F.lit(SALTS)).cast("string"))
+    of_any_size = lambda mark: F.when(F.size(sizes) > 0, F.transform(sizes, lambda n: block(mark, n))).otherwise(F.array(block(mark, F.lit(0))))
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """left's patterns with right's keys; a pattern with an open start goes to every salt, a key to its own."""
-        patterns = left.where(has_pattern(F.col("nkey"))).select(F.col("nkey").alias("p"), opens.alias("open"), F.explode(F.when(opens, every).otherwise(F.array(own))).alias("block"))
-        keys = right.select(F.col("nkey").alias("k"), F.explode(F.concat(F.array(own), one)).alias("block"))
+        """left's patterns with right's keys; two patterns meet where the one on the right has no longer prefix."""
+        blocks = F.when(opens, every).otherwise(F.concat(F.array(block("k", longest)), of_any_size("p")))
+        patterns = left.where(has_pattern(F.col("nkey"))).select(F.col("nkey").alias("p"), F.explode(blocks).alias("block"))
+        plain = F.when(has_pattern(F.col("nkey")), F.array(block("p", longest))).otherwise(of_any_size("k"))
+        keys = right.select(F.col("nkey").alias("k"), F.explode(F.concat(F.array(own_salt), plain)).alias("block"))
         return patterns.join(keys, "block").select("p", "k")
 
-    pairs = met(a, b).select(F.col("p").alias("nkey_a"), F.col("k").alias("nkey_b")).union(met(b, a).select("k", "p")).where("nkey_a != nkey_b").distinct()
+    pairs = met(a, b).select(F.col("p").alias("nkey_a"), F.col("k").alias("nkey_b")).union(met(b, a).select("k", "p"))
+    pairs = pairs.where("nkey_a != nkey_b").distinct()
     return pairs.withColumn("kind", pattern_match(F.col("nkey_a"), F.col("nkey_b"))).where("kind is not null")
 
 
@@ -82,8 +94,8 @@ def candidates(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
     strong = found.withColumn("d_a", degree("a")).withColumn("d_b", degree("b")).where((rank > 0) | ((F.col("d_a") == 1) & (F.col("d_b") == 1)))
     both = F.filter(F.concat("nkey_a", "nkey_b"), lambda c: F.contains(c, F.lit(ANY)))
     literals = F.aggregate(both, F.lit(0), lambda n, c: n + F.length(F.replace(c, F.lit(ANY), F.lit(""))))
-    stars = F.aggregate(both, F.lit(0), lambda n, c: n + (F.length(c) - F.length(F.replace(c, F.lit(ANY), F.lit("")))) / 2)
-    scored = strong.select("nkey_a", "nkey_b", rank.alias("rank"), literals.alias("literals"), stars.cast("int").alias("patterns"))
+    stars = F.aggregate(both, F.lit(0), lambda n, c: n + F.floor((F.length(c) - F.length(F.replace(c, F.lit(ANY), F.lit("")))) / 2).cast("int"))
+    scored = strong.select("nkey_a", "nkey_b", rank.alias("rank"), literals.alias("literals"), stars.alias("patterns"))
     for s, k in zip("ab", keys, strict=True):
         scored = scored.join(k.select(F.col("nkey").alias(f"nkey_{s}"), F.col("rid").alias(f"first_{s}")), f"nkey_{s}")
     if spec.max_candidates is not None and scored.limit(spec.max_candidates + 1).count() > spec.max_candidates:
