@@ -81,23 +81,26 @@ def nearest(rows: DataFrame, is_query: Column, key: str, vector: str, k: int) ->
     chosen = once(rows.where(is_query).select(key).withColumn("_v", F.array(F.lit(0))), key, "_v").select("id")
     queries = packed(each.join(chosen, "id", "left_semi"), np.float64, size=512)
 
-    def search(q: pd.Series, c: pd.Series) -> pd.DataFrame:
-        (qids, asked), (cids, values) = unpacked(q, np.float64), unpacked(c, np.float64)
-        n, books = len(cids), shared.value
-        codes = np.frombuffer(c["extra"], np.int16, n * len(books)).reshape(n, len(books))
-        norms = np.frombuffer(c["extra"], np.float64, n, codes.nbytes)
-        tables = np.einsum("qd,mkd->qmk", fitted(asked), books)
-        widest = max(asked.shape[1], values.shape[1])
-        asked = np.pad(asked, ((0, 0), (0, widest - asked.shape[1])))
-        values = np.pad(values, ((0, 0), (0, widest - values.shape[1])))
+    def search(q: pd.Series, blocks: list[pd.Series]) -> pd.DataFrame:
+        qids, every = unpacked(q, np.float64)
+        books = shared.value
+        tables = np.einsum("qd,mkd->qmk", fitted(every), books)
         found = []
-        for qid, query, table in zip(qids, asked, tables, strict=True):
-            about = norms - 2 * sum(table[m][codes[:, m]] for m in range(len(books)))
-            rows = np.argsort(about, kind="stable")[: RERANK + 1]
-            rows = rows[cids[rows] != qid]
-            distance = np.sqrt(((values[rows] - query) ** 2).sum(1))
-            best = np.lexsort((cids[rows], distance))[:k]
-            found.append(pd.DataFrame({"query_id": qid, "vec_id": cids[rows][best], "score": distance[best]}))
+        for c in blocks:
+            cids, values = unpacked(c, np.float64)
+            n = len(cids)
+            codes = np.frombuffer(c["extra"], np.int16, n * len(books)).reshape(n, len(books))
+            norms = np.frombuffer(c["extra"], np.float64, n, codes.nbytes)
+            widest = max(every.shape[1], values.shape[1])
+            asked = np.pad(every, ((0, 0), (0, widest - every.shape[1])))
+            values = np.pad(values, ((0, 0), (0, widest - values.shape[1])))
+            for qid, query, table in zip(qids, asked, tables, strict=True):
+                about = norms - 2 * sum(table[m][codes[:, m]] for m in range(len(books)))
+                rows = np.argsort(about, kind="stable")[: RERANK + 1]
+                rows = rows[cids[rows] != qid]
+                distance = np.sqrt(((values[rows] - query) ** 2).sum(1))
+                best = np.lexsort((cids[rows], distance))[:k]
+                found.append(pd.DataFrame({"query_id": qid, "vec_id": cids[rows][best], "score": distance[best]}))
         return pd.concat(found)
 
     return best_of_pairs(queries, candidates, search, "double", k, largest=False)

@@ -1,10 +1,10 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists.
 
 A block of candidates holds, for each component, its rows in order of that component.  A query reads the
-lists in step from the end that raises its score, and keeps for every candidate the sum of what it has seen:
+lists in step from the end that raises its score, and has for every candidate the sum of what it has seen:
 with the frontiers of the unread rest that is an upper bound, with the lists' far ends a lower bound.  A
 candidate whose upper bound falls below the k-th lower bound cannot qualify; reading stops when few are left, whose scores are then
-resolved.  Candidates that tie with the k-th bound stay until then, so ties go to the smaller id.
+resolved, and their k-th best is the least bound for the blocks that follow in the task.  Candidates that tie with the k-th bound stay until then, so ties go to the smaller id.
 
 Defined results: see ``vectors`` for what takes part; a query with fewer candidates than k gets all.
 """
@@ -18,38 +18,43 @@ from pyspark.sql import functions as F
 
 from concordat.llm.vectors import best_of_pairs, once, packed, unpacked, usable
 
-#: Parts in which a list is read, and candidates at which reading stops.
-STEPS, FEW = 16, 64
+#: Depths, as shares of a list, at which the bounds are drawn, and candidates at which reading stops.
+DEPTHS, FEW = (0.5, 0.65, 0.8, 1.0), 64
 
 
 def sorted_lists(values: np.ndarray) -> bytes:
+    """For each component the rows in ascending order of it."""
     return np.argsort(values, axis=0, kind="stable").astype(np.int32).T.tobytes()
 
 
-def no_random_access(query: np.ndarray, values: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
-    """The rows of values that may be among the k of highest inner product, ties included."""
+def no_random_access(query: np.ndarray, values: np.ndarray, place: np.ndarray, ends: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """The rows of values that may be among the k of highest inner product, ties included, and not below floor.
+
+    place: each row's place in each component's ascending list; ends: the lists' values.  A row has been seen in a
+    list read to some depth if its place is within that depth, so nothing else of a row is looked at.
+    """
     n = len(values)
     used = np.flatnonzero(query)
     active = np.arange(n)
     if n <= max(FEW, k) or not len(used):
         return active
     weight = query[used]
-    # each list from its favourable end
-    order = np.where(weight[:, None] > 0, lists[used][:, ::-1], lists[used])
-    gain = np.take_along_axis(values[:, used].T, order, 1) * weight[:, None]
-    total, seen = np.zeros(n, np.int64), np.zeros((n, len(used)), bool)
-    low = gain[:, -1]
-    step = -(-n // STEPS)
-    for start in range(0, n, step):
-        read = order[:, start : start + step]
-        np.add.at(total, read.ravel(), gain[:, start : start + step].ravel())
-        np.put_along_axis(seen, read.T, True, 0)
-        frontier = gain[:, min(start + step, n) - 1]
-        unseen = ~seen[active]
-        lower = total[active] + unseen @ low
-        upper = total[active] + unseen @ frontier
-        kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-        active = active[upper >= kth]
+    rising = weight < 0  # lists read from their low end
+    if len(used) < len(query):
+        values, place, ends = values[:, used], place[:, used], ends[:, used]
+    order = np.where(rising, place, place.dtype.type(n - 1) - place)
+    gain = values * weight
+    low = np.where(rising, ends[-1], ends[0]) * weight
+    for depth in DEPTHS:
+        read = min(n, max(k, int(n * depth)))
+        frontier = np.where(rising, ends[read - 1], ends[n - read]) * weight
+        seen = (order < read).astype(gain.dtype)
+        known = np.einsum("ij,ij->i", seen, gain)
+        bounds = seen @ np.stack([low, frontier], 1)
+        lower, upper = known + (low.sum() - bounds[:, 0]), known + (frontier.sum() - bounds[:, 1])
+        kth = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k]) if len(lower) >= k else floor
+        keep = upper >= kth
+        active, order, gain = active[keep], order[keep], gain[keep]
         if len(active) <= max(FEW, k):
             break
     return active
@@ -63,18 +68,31 @@ def top_products(rows: DataFrame, is_query: Column, key: str, vector: str, k: in
     chosen = once(rows.where(is_query).select(key).withColumn("_v", F.array(F.lit(0))), key, "_v").select("id")
     queries = packed(whole.join(chosen, "id", "left_semi"), np.int64, size=512)
 
-    def search(q: pd.Series, c: pd.Series) -> pd.DataFrame:
-        (qids, asked), (cids, values) = unpacked(q, np.int64), unpacked(c, np.int64)
-        lists = np.frombuffer(c["extra"], np.int32).reshape(values.shape[1], len(cids))
-        width = min(asked.shape[1], values.shape[1])  # what lies beyond is multiplied by padding
-        found = []
-        for qid, query in zip(qids, asked[:, :width], strict=True):
-            # one more, as the query's own row may be among them
-            rows = no_random_access(query, values[:, :width], lists[:width], k + 1)
-            rows = rows[cids[rows] != qid]
-            score = values[rows, :width] @ query
-            best = np.lexsort((cids[rows], -score))[:k]
-            found.append(pd.DataFrame({"query_id": qid, "vec_id": cids[rows][best], "score": score[best]}))
+    def search(q: pd.Series, blocks: list[pd.Series]) -> pd.DataFrame:
+        qids, every = unpacked(q, np.int64)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qids]  # ids and scores, best first
+        for c in blocks:
+            cids, values = unpacked(c, np.int64)
+            width = min(every.shape[1], values.shape[1])  # what lies beyond is multiplied by padding
+            asked, values = every[:, :width], values[:, :width]
+            lists = np.frombuffer(c["extra"], np.int32).reshape(-1, len(cids))[:width].T
+            place = np.empty(lists.shape, np.int16 if len(cids) < 1 << 15 else np.int32)
+            np.put_along_axis(place, lists, np.arange(len(cids), dtype=place.dtype)[:, None], 0)
+            ends = np.take_along_axis(values, lists, 0)
+            # floats hold the sums exactly up to 2**53, and are faster
+            largest = float(np.abs(asked).max(initial=0)) * float(np.abs(values).max(initial=0)) * max(width, 1)
+            kind = np.float64 if largest < 2.0**53 else np.int64
+            wide, ends = values.astype(kind), ends.astype(kind)
+            for n, (qid, query) in enumerate(zip(qids, asked, strict=True)):
+                ids, scores = best[n]
+                floor = scores[k - 1] if len(scores) == k else -np.inf
+                # one more, as the query's own row may be among them
+                rows = no_random_access(query.astype(kind), wide, place, ends, k + 1, floor)
+                rows = rows[cids[rows] != qid]
+                ids, scores = np.r_[ids, cids[rows]], np.r_[scores, values[rows] @ query]
+                order = np.lexsort((ids, -scores))[:k]
+                best[n] = ids[order], scores[order]
+        found = [pd.DataFrame({"query_id": qid, "vec_id": ids, "score": scores}) for qid, (ids, scores) in zip(qids, best, strict=True)]
         return pd.concat(found)
 
     return best_of_pairs(queries, candidates, search, "long", k, largest=True)

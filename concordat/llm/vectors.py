@@ -1,8 +1,8 @@
 """Blocks of vectors, and the meeting of query blocks with candidate blocks.
 
 Rows are dealt into blocks of bounded size by the hash of their id; a block is packed once (with
-whatever index it needs) and each pair of a query block and a candidate block is one task.  The
-best of each pair are few rows, and a window over each query's rows ends the search.
+whatever index it needs) and a query block meets a run of candidate blocks in one task.  The
+best of each task are few rows, and a window over each query's rows ends the search.
 
 A vector takes part if it is not null and holds no null or non-finite component.  Vectors of unequal
 length are padded with zeros.  Rows that repeat an id count once, by the least vector.  Of candidates with equal vectors a block keeps
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from concordat.llm.common import cut
 
-#: Vectors in a block.
-BLOCK = 4096
+#: Vectors in a block, and candidate blocks that one task takes for a query block.
+BLOCK, RUN = 4096, 8
 PACKED = "block long, ids binary, width int, values binary, extra binary"
 
 
@@ -71,9 +71,9 @@ def unpacked(row, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_of_pairs(
-    queries: DataFrame, candidates: DataFrame, search: Callable[[pd.Series, pd.Series], pd.DataFrame], score: str, most: int, largest: bool
+    queries: DataFrame, candidates: DataFrame, search: Callable[[pd.Series, list[pd.Series]], pd.DataFrame], score: str, most: int, largest: bool
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) from search(query block, candidate block), which returns (query_id, vec_id, score) rows."""
+    """(query_id, rank, vec_id, score) from search(query block, candidate blocks), which returns (query_id, vec_id, score) rows."""
     sizes = {name: df.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for name, df in (("q", queries), ("c", candidates))}
     schema = f"query_id long, vec_id long, score {score}"
 
@@ -84,12 +84,12 @@ def best_of_pairs(
         return df.select(F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.lit(sizes[other] - 1))).alias(other), *columns)
 
     def met(pair: pd.DataFrame) -> pd.DataFrame:
-        row = pair.iloc[0]
-        part = {own: row.filter(like=f"{own}_").rename(lambda c: c[2:]) for own in "qc"}
-        return search(part["q"], part["c"])
+        pair = pair.sort_values("c")
+        part = {own: pair.filter(regex=f"^{own}_").rename(columns=lambda c: c[2:]) for own in "qc"}
+        return search(part["q"].iloc[0], [row for _, row in part["c"].iterrows()])
 
     pairs = side(queries, "q", "c").join(side(candidates, "c", "q"), ["q", "c"])
-    found = pairs.groupBy("q", "c").applyInPandas(met, schema)
+    found = pairs.groupBy("q", F.floor(F.col("c") / RUN).alias("run")).applyInPandas(met, schema)
     order = [F.desc("score") if largest else F.asc("score"), F.asc("vec_id")]
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     return found.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
