@@ -160,7 +160,7 @@ def search_results(spark, sf):
 
 
 def sort_results(spark, sf):
-    return flat(views.page(orders_run(spark, sf).results, 200, 0, "key", ascending=False))
+    return flat(views.page(orders_run(spark, sf).results, 200, 0, "key"))
 
 
 def export_table(spark, sf):
@@ -315,7 +315,7 @@ ORACLE_SQL = {
           union all select 'unkeyed_left', k || '|' || status from b where k = 'N/A')
         select result_type, count(*) as n, min(key) as first_key from t group by 1""",
     "search_results": f"with {resolved_sql()} {_R} where contains(lower(key), '77')",
-    "sort_results": f"with {resolved_sql()}, o as (select *, try_cast(key as bigint) as kn from r) select result_type, key, values_a, values_b, differences from o where kn is null order by key desc limit 200",
+    "sort_results": f"with {resolved_sql()} {_R} order by try_cast(key as bigint) nulls last limit 200",
     "export_table": f"""with {resolved_sql()}, t as (select r.*, case when values_a <> '' then string_split(values_a, '|') else ['', '', ''] end as va,
           case when values_b <> '' then string_split(values_b, '|') else ['', '', ''] end as vb from r),
         g as (select k, '[' || string_agg(status || ', ' || price || ', ' || odate, '] | [' order by n) || ']' as txt,

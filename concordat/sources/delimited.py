@@ -99,13 +99,16 @@ def _scan(spark: SparkSession, path: str, sep: str | None, encoding: str | None,
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "columnNameOfCorruptRecord": _BAD, "enforceSchema": True,
     }
     rows = spark.read.schema(schema).options(**options).csv(path)
+    # names every column, as a row's width is only known when the reader may not leave columns out
+    every = F.octet_length(F.concat_ws("", *(column(rows, n) for n in names))) >= 0
+    wrong_rows = rows.where(F.col(_BAD).isNotNull() & every)
     if bad:
-        return rows.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("row"))
-    if strict and (wrong := rows.where(F.col(_BAD).isNotNull()).select("*").limit(3).collect()):
+        return wrong_rows.select(F.col(_BAD).alias("row"))
+    if strict and (wrong := wrong_rows.limit(3).collect()):
         shown = "; ".join(repr(r[_BAD]) for r in wrong)
         count = len(header_of(wrong[0][_BAD], sep))
         raise ReconError(f"rows of another width: {shown} has {count} columns, expected {len(names)} columns")
-    return rows.where(F.col(_BAD).isNull()).select(*(text(column(rows, n)).alias(n) for n in names))
+    return rows.where(F.col(_BAD).isNull() & every).select(*(text(column(rows, n)).alias(n) for n in names))
 
 
 def date_like(value: Column) -> Column:
