@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,13 +146,15 @@ def frequent_pieces(docs: DataFrame, pattern: str, text: str, most: int) -> Data
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys left << 32 | right of every two tokens that make a third, and its id."""
-    pairs = sorted(
-        (ranks[t[:i]] << 32 | ranks[t[i:]], rank)
-        for t, rank in ranks.items()
-        for i in range(1, len(t))
-        if t[:i] in ranks and t[i:] in ranks
-    )
-    return np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)
+    keys, made = array("q"), array("q")
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                keys.append(left << 32 | right)
+                made.append(rank)
+    order = np.argsort(keys)
+    return np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
 
 
 def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], keys: np.ndarray, made: np.ndarray) -> list[bytes]:
