@@ -28,7 +28,7 @@ from concordat.llm.subwords import chunks, features, split_words
 BUCKETS = 1 << 18
 #: Labelled rows of each class that training may see.
 SAMPLE = 1500
-DIM, EPOCHS, RATE, SEED = 8, 5, 1.0, 7
+DIM, STEPS, RATE, SEED = 8, 15_000, 1.0, 7
 #: Share of the average that the two vectors for repetition take, and how many there are of either.
 SHAPE_SHARE, SHAPES = 0.2, 16
 
@@ -80,8 +80,9 @@ def train(rows: pa.Table) -> tuple[np.ndarray, float]:
     ys = np.asarray(rows.column("y"))
     buckets, shares = (rows.column(c).combine_chunks() for c in ("buckets", "shares"))
     edges, flat, parts = np.asarray(buckets.offsets), np.asarray(buckets.flatten()), np.asarray(shares.flatten())
-    steps, done = EPOCHS * len(ys), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // max(len(ys), 1))
+    steps, done = epochs * len(ys), 0
+    for _ in range(epochs if len(ys) else 0):
         for k in rng.permutation(len(ys)):
             rate = np.float32(RATE * (1 - done / steps))
             done += 1

@@ -38,6 +38,8 @@ ODDS, DOCS, WORDS = 3.0, 4, 5000
 ROUNDS, RATE = 60, 0.5
 #: Words of clean documents that the second fit adds, at most, and the emission from which they count.
 HARD, DOUBT = 20_000, -3.0
+#: How strongly the calibration's slope is held near 1.
+HOLD = 0.01
 _PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -182,8 +184,8 @@ def curve(texts: DataFrame, text: str, model, share: float) -> tuple[float, floa
     for _ in range(50):  # Newton steps; the slope is held near 1, which matters where the classes part
         p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
         gap, bend = weight * (y - p), weight * p * (1 - p)
-        grad = np.array([(gap * z).sum() - (slope - 1), gap.sum()])
-        hess = np.array([[(bend * z * z).sum() + 1, (bend * z).sum()], [(bend * z).sum(), bend.sum() + 1e-3]])
+        grad = np.array([(gap * z).sum() - HOLD * (slope - 1), gap.sum()])
+        hess = np.array([[(bend * z * z).sum() + HOLD, (bend * z).sum()], [(bend * z).sum(), bend.sum() + 1e-3]])
         step = np.clip(np.linalg.solve(hess, grad), -1, 1)
         slope, offset = slope + step[0], offset + step[1]
     return float(slope), float(offset)
