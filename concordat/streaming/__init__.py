@@ -1,0 +1 @@
+"""Nothing stateful: the expressions of ``concordat.functions`` work on streaming DataFrames as they are."""
