@@ -107,9 +107,9 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings where embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ),
 parts as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as d from v),
 pairs as (
