@@ -277,6 +277,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 def op1(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    # lists of pieces take several times their text, so batches of fewer rows keep executors small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
