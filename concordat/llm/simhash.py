@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 
 from concordat.llm.common import cut, without
 from concordat.llm.components import components
+from concordat.llm.similar import similar_groups
 
 #: Fingerprints of a group that one block holds.
 BLOCK = 2048
@@ -185,9 +186,19 @@ def near_duplicates(
     )
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 4) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the least key, once."""
-    least = near_duplicates(docs, key, text, width, budget).where(F.col(key).eqNullSafe(F.col("component")))
+def first_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 4, similarity: float | None = None
+) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the one with the least key, once.
+
+    Near copies are linked by fingerprints within ``budget`` bits or, if ``similarity`` is given, are all pairs of at least that exact similarity.
+    """
+    if similarity is None:
+        found = near_duplicates(docs, key, text, width, budget)
+    else:
+        groups = cut(similar_groups(docs, key, text, width, similarity))
+        found = groups.join(groups.groupBy("group").agg(F.min("key").alias("component")), "group").select(F.col("key").alias(key), "component")
+    least = found.where(F.col(key).eqNullSafe(F.col("component")))
     names = docs.columns
     kept = least.select(F.col(key).alias("_kept")).distinct()
     turn = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text), *(n for n in names if n not in (key, text))))

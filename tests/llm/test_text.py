@@ -10,7 +10,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, lines, packing, quality, simhash, toxicity
+from concordat.llm import bpe, lines, packing, quality, simhash, similar, toxicity
 from concordat.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -216,3 +216,40 @@ def test_packing(spark):
     assert sorted(r["part"] for r in rows if r["doc_id"] == 4) == list(range(30))
     assert all((r["bin"] is None) == (r["length"] == 0) for r in rows) and sum(r["doc_id"] == 3 for r in rows) == 2
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def jaccard_groups(texts, width, similarity):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            if not union or 10 * len(sets[i] & sets[j]) >= round(10 * similarity) * len(union):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_similar_documents_against_every_pair(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    rng = random.Random(9)
+    texts = ["", " ", "one two", "one  TWO", "one three"]
+    for _ in range(12):
+        base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(rng.randrange(6, 90))]
+        for edits in (0, 0, 1, 1, 2, 3):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+            texts.append(" ".join(words + ["more"] * rng.randrange(3)))
+    rows = list(enumerate(texts))
+    label = jaccard_groups(texts, 5, 0.8)
+    assert len(set(label)) < len({t.lower() for t in texts}) - 12
+    kept = simhash.first_of_each(docs(spark, rows), width=5, similarity=0.8).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(label))
+    assert simhash.first_of_each(docs(spark, []), similarity=0.8).count() == 0
