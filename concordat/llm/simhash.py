@@ -189,27 +189,35 @@ def near_duplicates(
 def first_of_each(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 4, similarity: float | None = None
 ) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the least key, once.
+    """The rows of docs that stay: of each group of near copies the one with the least (key, text hash), null keys last, once.
 
     Near copies are linked by fingerprints within ``budget`` bits or, if ``similarity`` is given, are all pairs of at least that exact similarity.
+    Rows that share a key, or have none, are as many documents as they have texts.
     """
-    if similarity is None:
-        found = near_duplicates(docs, key, text, width, budget)
-    else:
-        groups = cut(similar_groups(docs, key, text, width, similarity))
-        found = groups.join(groups.groupBy("group").agg(F.min("key").alias("component")), "group").select(F.col("key").alias(key), "component")
-    least = found.where(F.col(key).eqNullSafe(F.col("component")))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    groups = similar_groups(rows, "key", "text", width, similarity) if similarity is not None else _fingerprint_groups(rows, width, budget)
+    order = F.struct(F.col("key").isNull().alias("null"), "key", "t")
+    stay = groups.groupBy("group").agg(F.min(order).alias("s")).select(F.col("s.key").alias("_key"), F.col("s.t").alias("_text"))
     names = docs.columns
-    kept = least.select(F.col(key).alias("_kept")).distinct()
-    turn = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text), *(n for n in names if n not in (key, text))))
+    turn = F.row_number().over(W.partitionBy(key, "_t").orderBy(*(n for n in names if n not in (key, text))))
     return (
-        docs.withColumn("_turn", turn)
+        docs.withColumn("_t", F.xxhash64(text))
+        .join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_text")), "left_semi")
+        .withColumn("_turn", turn)
         .where("_turn = 1")
-        .join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
         .select(*names)
     )
 
 
+def _fingerprint_groups(rows: DataFrame, width: int, budget: int) -> DataFrame:
+    """(key, t, group) for every row: the least fingerprint that links reach."""
+    marked = cut(fingerprints(rows, "text", width))
+    joined = components(links(cut(marked.select("fingerprint").distinct()), budget))
+    return marked.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "key", "t", F.coalesce("component", "fingerprint").alias("group")
+    )
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, width=4, budget=4).select(

@@ -253,3 +253,13 @@ def test_similar_documents_against_every_pair(spark, monkeypatch, block, rounds)
     kept = simhash.first_of_each(docs(spark, rows), width=5, similarity=0.8).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(label))
     assert simhash.first_of_each(docs(spark, []), similarity=0.8).count() == 0
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_one_row_of_each_group_whatever_its_key(spark, similarity):
+    rng = random.Random(11)
+    new = lambda: " ".join(f"{rng.choice(WORDS)}{rng.random()}" for _ in range(30))
+    copied, alone, other = new(), new(), new()
+    rows = [(None, new()) for _ in range(20)] + [(None, copied), (1, copied), (7, copied), (7, alone), (7, alone), (8, other), (None, other)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.first_of_each(docs(spark, rows), similarity=similarity).collect())
+    assert kept == sorted([*((0, t) for _, t in rows[:20]), (1, copied), (7, alone), (8, other)])
