@@ -2,9 +2,10 @@
 
 Every page becomes a tree of its block elements with its runs of text as leaves; regions that by their tag or class
 are no part of an article (menus, footers, sidebars, forms, adverts, notices, comments ...) are left out, and where a page marks its
-article only that is read.  For each host one short page is the pattern, and simple tree matching aligns
-all pages of the host with it.  A leaf of the pattern whose text is the same on nearly all distinct pages of the host
-is template; every other leaf is content.
+article only that is read.  For each host one page is the pattern: of those with the most leaves that half of the host's distinct
+pages have, by path and text, the shortest.  Simple tree matching aligns all pages of the host with it.  A leaf of the pattern
+is template if nearly all distinct pages that have a leaf in its place, and half of the pages that have any, have the same text there;
+every other leaf is content.
 
 The pattern of a host goes to its pages by a broadcast if all patterns together are under ``BROADCAST_BYTES``,
 and else by a join that Spark may split where one host holds very many pages.
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from concordat.llm.common import cut, without
 from concordat.llm.urls import host_of
 
-#: A leaf is template if it is the same on this share of a host's distinct pages, and on so many.
-SHARE, PAGES = 0.8, 5
+#: A leaf is template if it is the same on this share of the distinct pages that have a leaf there, on this share of a host's pages, and on so many.
+SHARE, SPREAD, PAGES = 0.8, 0.5, 2
 BROADCAST_BYTES = 8 << 20
 #: Elements nested deeper count as part of the one above.
 DEPTH = 60
@@ -204,10 +205,35 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return 1 + best[m][n], matched
 
 
+def paths(node: Node) -> list[int]:
+    """The distinct leaves of a tree, each a hash of its labels from the root and its text."""
+    found, todo = set(), [(node, "")]
+    while todo:
+        node, path = todo.pop()
+        if node.label == "#":
+            found.add(xxhash.xxh64_intdigest(f"{path}\0{node.text}") >> 1)
+        todo += [(child, f"{path}/{child.label}") for child in node.children]
+    return sorted(found)
+
+
 def patterns(pages: DataFrame, html: str) -> DataFrame:
-    """(host, pattern): the shortest page of each host."""
-    order = F.struct(F.length(html), F.xxhash64(html), F.col(html))
-    return pages.where(F.length(html) > 0).groupBy("_host").agg(F.min(order)[html].alias("_pattern"))
+    """(host, pattern): the page of each host with most of the leaves that its pages share; of equal ones the shortest."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [paths(parse(page.as_py())) for page in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_host", "id", "leaves"])
+
+    some = pages.where(F.length(html) > 0).withColumn("_id", F.xxhash64(html))
+    seen = cut(some.select("_host", "_id", html).mapInArrow(listed, "_host string, id long, leaves array<long>").distinct())
+    sizes = seen.where(F.size("leaves") > 0).groupBy("_host").agg(F.count("*").alias("pages"))
+    counted = seen.select("_host", F.explode("leaves").alias("leaf")).groupBy("_host", "leaf").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    common = counted.join(sizes, "_host").where(F.col("n") >= SPREAD * F.col("pages")).select("_host", "leaf")
+    scores = seen.select("_host", "id", F.explode("leaves").alias("leaf")).join(common, ["_host", "leaf"]).groupBy("_host", "id").agg(F.count("*").alias("score"))
+    best = cut(scores.groupBy("_host").agg(F.max("score").alias("score"))).join(scores, ["_host", "score"]).select("_host", F.col("id").alias("_id"))
+    order = F.struct(F.length(html), F.col("_id"), F.col(html))
+    return some.join(best, ["_host", "_id"], "left_semi").groupBy("_host").agg(F.min(order)[html].alias("_pattern"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str = "text") -> DataFrame:
@@ -229,21 +255,25 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str =
                 tree, model = parse(page.as_py() or ""), known.get(pattern)
                 if model is None:
                     model = known[pattern] = parse(pattern)
-                same = {id(x) for x, y in align(model, tree)[1] if x.text == y.text}
+                pairs = align(model, tree)[1]
+                met, same = {id(x) for x, _ in pairs}, {id(x) for x, y in pairs if x.text == y.text}
                 text = "\n\n".join(x.text for x in leaves(tree))
-                rows.append((host.as_py(), xxhash.xxh64_intdigest(text) >> 1, [k for k, x in enumerate(leaves(model)) if id(x) in same]))
+                slots = [k if id(x) in same else -1 - k for k, x in enumerate(leaves(model)) if id(x) in met]
+                rows.append((host.as_py(), xxhash.xxh64_intdigest(text) >> 1, slots))
                 if len(known) > 256:
                     known.clear()
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], ["_host", "page", "same"]
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], ["_host", "page", "slots"]
             )
 
-    looked = given(found).where("_pattern is not null").select("_host", html, "_pattern").mapInArrow(seen, "_host string, page long, same array<int>")
-    distinct = cut(looked.groupBy("_host", "page").agg(F.min("same").alias("same")))
+    # a slot of the pattern that a page has: its number where the text is the same, and else -1 less the number
+    looked = given(found).where("_pattern is not null").select("_host", html, "_pattern").mapInArrow(seen, "_host string, page long, slots array<int>")
+    distinct = cut(looked.groupBy("_host", "page").agg(F.min("slots").alias("slots")).where(F.size("slots") > 0))
     sizes = distinct.groupBy("_host").agg(F.count("*").alias("pages"))
-    fixed = distinct.select("_host", F.explode("same").alias("slot")).groupBy("_host", "slot").agg(F.count("*").alias("n"))
-    fixed = fixed.join(sizes, "_host").where((F.col("n") >= PAGES) & (F.col("n") >= SHARE * F.col("pages")))
+    told = distinct.select("_host", F.explode("slots").alias("s")).select("_host", F.when(F.col("s") < 0, -1 - F.col("s")).otherwise(F.col("s")).alias("slot"), (F.col("s") >= 0).alias("same"))
+    fixed = told.groupBy("_host", "slot").agg(F.count_if("same").alias("n"), F.count("*").alias("met")).where((F.col("n") >= PAGES) & (F.col("n") >= SHARE * F.col("met")))
+    fixed = fixed.join(sizes, "_host").where(F.col("n") >= SPREAD * F.col("pages"))
     templates = found.join(fixed.groupBy("_host").agg(F.sort_array(F.collect_set("slot")).alias("_fixed")), "_host")
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField(name, T.StringType())])

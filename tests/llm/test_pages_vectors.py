@@ -135,3 +135,12 @@ def test_pipeline(spark):
         before = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_a_stub_page_does_not_hide_the_template(spark):
+    page = "<body><div>Read our daily letter</div><p>Story {0} about {0}7</p><div>Filed under news</div></body>"
+    rows = [(i, f"http://h.net/{i}", page.format(i)) for i in range(60)] + [(100, "http://h.net/a", "<html></html>"), (101, "http://h.net/b", "x"), (102, "http://h.net/c", "<p>404")]
+    rows += [(200 + i, f"http://two.net/{i}", page.format(i)) for i in range(2)] + [(300 + i, f"http://lack.net/{i}", page.format(i).replace("<div>Filed under news</div>", "" if i == 3 else "<div>Filed under news</div>")) for i in range(9)]
+    found = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    assert all(found[i + at] == f"Story {i} about {i}7" for at, n in ((0, 60), (200, 2), (300, 9)) for i in range(n))
+    assert (found[100], found[101], found[102]) == ("", "x", "404")
