@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Every page becomes a tree of its block elements with its runs of text as leaves; regions that by their tag or class
-are no part of an article (menus, footers, sidebars, forms, adverts, notices, comments ...) are left out, and where a page marks its
-article only that is read.  For each host one page is the pattern: of those with the most leaves that half of the host's distinct
+Every page becomes a tree of its block elements with its runs of text as leaves; regions that by their tag or by a whole class,
+id or role are no part of an article (menus, footers, sidebars, forms, adverts, notices, comments ...) are left out, but for forms and
+named regions that hold the page's main article.  Where a page marks its article only that is read, unless it has under ``MARKED`` of the
+text that is no template.  For each host one page is the pattern: of those with the most leaves that half of the host's distinct
 pages have, by path and text, the shortest.  Simple tree matching aligns all pages of the host with it.  A leaf of the pattern
 is template if nearly all distinct pages that have a leaf in its place, and half of the pages that have any, have the same text there;
 every other leaf is content.
@@ -31,6 +32,8 @@ from concordat.llm.urls import host_of
 
 #: A leaf is template if it is the same on this share of the distinct pages that have a leaf there, on this share of a host's pages, and on so many.
 SHARE, SPREAD, PAGES = 0.8, 0.5, 2
+#: A marked article with less of a page's text than this is not the whole of it.
+MARKED = 0.5
 BROADCAST_BYTES = 8 << 20
 #: Elements nested deeper count as part of the one above.
 DEPTH = 60
@@ -45,7 +48,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidd
 RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset(
-    "head script style textarea title noscript iframe xmp noframes template nav footer aside form menu dialog button select "
+    "head script style textarea title noscript iframe xmp noframes template nav footer aside menu dialog button select "
     "option datalist svg math canvas object audio video map".split()
 )
 BLOCK = frozenset(
@@ -62,27 +65,106 @@ OUTSIDE = frozenset(
     "share sharing social toolbar pagination pager complementary contentinfo copyright disclaimer".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
+# Words that say nothing of a region beside one of the above, as in sidebar-left or related-posts.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons col column container content footer form group header inner item items js left links list "
+    "main outer page panel post posts primary right row secondary section site slot global top unit wrap wrapper articles stories".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("children", "label", "text")
+    __slots__ = ("article", "children", "label", "soft", "text")
 
     def __init__(self, label: str, text: str = ""):
-        self.label, self.text, self.children = label, text, []
+        self.label, self.text, self.children, self.article, self.soft = label, text, [], False, False
 
 
-def _names(attributes: str) -> set[str]:
+def _names(attributes: str) -> list[set[str]]:
+    """The words of each class, id and role."""
     found = " ".join(a or b or c for _, a, b, c in _NAMED.findall(attributes))
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) if found else set()
+    return [set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) - {""} for x in found.split()]
+
+
+def _is(names: list[set[str]], kind: frozenset[str]) -> bool:
+    """Whether a whole name is of the kind: has a word of it, and others of it or neutral ones only."""
+    return any(words & kind and all(w in kind or w in NEUTRAL or w.isdigit() for w in words) for words in names)
 
 
 def parse(page: str) -> Node:
     """The tree of a page's article: block elements, and runs of text as leaves of the label ``#``."""
+    root = parse_whole(page)
+    root.children = chosen(root, set())
+    return root
+
+
+def weight(nodes: list[Node], drop: set[int]) -> int:
+    return sum(len(x.text) for node in nodes for x in leaves(node) if id(x) not in drop)
+
+
+def articles(node: Node) -> list[Node]:
+    """The outermost marked articles."""
+    found, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        if node.article:
+            found.append(node)
+        else:
+            todo += reversed(node.children)
+    return found
+
+
+def chosen(root: Node, drop: set[int]) -> list[Node]:
+    """The parts of a page to read: its marked articles if they hold enough of the text beside the leaves in drop, and else all of it."""
+    marked = [x for x in articles(root) if weight([x], drop)]
+    return marked if marked and weight(marked, drop) >= MARKED * weight([root], drop) else root.children
+
+
+def _without_soft(root: Node) -> None:
+    """Takes out the regions that may be left out, but for one that holds the main article."""
+
+    def outside(node: Node, keep: set[int]) -> None:
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            node.children = [x for x in node.children if not x.soft or id(x) in keep]
+            todo += node.children
+
+    paths, todo, soft = [], [(root, ())], False
+    while todo:
+        node, above = todo.pop()
+        soft = soft or node.soft
+        if node.article:
+            paths.append((node, above))
+        else:
+            todo += [(x, (*above, x)) for x in node.children]
+    if not soft and not any(any(x.soft for x in _below(a)) for a, _ in paths):
+        return
+
+    def kept(node: Node) -> int:
+        """The text of node outside of soft regions."""
+        return len(node.text) + sum(kept(x) for x in node.children if not x.soft)
+
+    held = [(kept(a), [x for x in above if x.soft]) for a, above in paths]
+    most = max(held, key=lambda x: x[0], default=(0, []))
+    rest = kept(root)
+    outside(root, {id(x) for x in most[1]} if most[1] and most[0] > rest else set())
+
+
+def _below(node: Node) -> Iterator[Node]:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += node.children
+
+
+def parse_whole(page: str) -> Node:
+    """The tree of a page without regions outside of the article; marked articles are told by ``article``."""
     root = Node("root")
     # an open element: (tag, node that its text goes to, whether it is left out, whether it is in an article)
     stack: list[tuple[str, Node, bool, bool]] = [("", root, False, False)]
     words: list[str] = []
-    marked: list[Node] = []
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(words)).split())
@@ -125,7 +207,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("td", "th"):
             words.append(" ")
-        if tag not in BLOCK and tag not in LEFT_OUT and not attributes:
+        if tag not in BLOCK and tag not in LEFT_OUT and tag != "form" and not attributes:
             continue
         if tag == "p" or tag in ENDS_P:
             index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in BLOCK), 0)
@@ -139,30 +221,28 @@ def parse(page: str) -> Node:
                     close(i)
                     break
         _, node, out, inside = stack[-1]
-        names = _names(attributes) if attributes else set()
-        article = tag in ("article", "main") or "main" in names and tag == "div"
+        names = _names(attributes) if attributes and tag not in HEADINGS else []
+        article = tag in ("article", "main") or tag == "div" and _is(names, frozenset(("main",)))
         top = tag in ("html", "body", "article", "main")
+        soft = tag == "form" or _is(names, OUTSIDE) and (not top or tag == "article" and inside)
         out = (
             out
             or tag in LEFT_OUT
-            or bool(names & OUTSIDE) and (not top or tag == "article" and inside)
-            or (tag == "header" or bool(names & HEADERS)) and not inside and not top
+            or (tag == "header" or _is(names, HEADERS)) and not inside and not top
             or bool(attributes) and bool(_HIDDEN.search(attributes))
+            or soft and len(stack) >= DEPTH
         )
-        if tag in BLOCK or out:
+        if tag in BLOCK or out or soft:
             flush()
             if not out and len(stack) < DEPTH:
                 child = Node(tag)
+                child.article, child.soft = article and not inside, soft
                 node.children.append(child)
                 node = child
-                if article and not inside:
-                    marked.append(child)
             stack.append((tag, node, out, inside or article))
     close(1)
     flush()
-    marked = [m for m in marked if next(leaves(m), None)]
-    if marked:
-        root.children = marked
+    _without_soft(root)
     return root
 
 
@@ -221,7 +301,7 @@ def patterns(pages: DataFrame, html: str) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [paths(parse(page.as_py())) for page in batch.column(2)]
+            found = [paths(parse_whole(page.as_py())) for page in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["_host", "id", "leaves"])
 
@@ -252,9 +332,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str =
             rows = []
             for host, page, pattern in zip(*(batch.column(i) for i in range(3)), strict=True):
                 pattern = pattern.as_py()
-                tree, model = parse(page.as_py() or ""), known.get(pattern)
+                tree, model = parse_whole(page.as_py() or ""), known.get(pattern)
                 if model is None:
-                    model = known[pattern] = parse(pattern)
+                    model = known[pattern] = parse_whole(pattern)
                 pairs = align(model, tree)[1]
                 met, same = {id(x) for x, _ in pairs}, {id(x) for x, y in pairs if x.text == y.text}
                 text = "\n\n".join(x.text for x in leaves(tree))
@@ -283,12 +363,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str =
         for batch in batches:
             texts = []
             for page, pattern, slots in zip(batch.column(page_at), batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
-                tree, drop = parse(page.as_py() or ""), set()
+                tree, drop = parse_whole(page.as_py() or ""), set()
                 if slots.as_py():
-                    model = parse(pattern.as_py())
+                    model = parse_whole(pattern.as_py())
                     wanted = {id(x) for k, x in enumerate(leaves(model)) if k in set(slots.as_py())}
                     drop = {id(y) for x, y in align(model, tree)[1] if id(x) in wanted and x.text == y.text}
-                texts.append("\n\n".join(x.text for x in leaves(tree) if id(x) not in drop))
+                texts.append("\n\n".join(x.text for part in chosen(tree, drop) for x in leaves(part) if id(x) not in drop))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], schema.names)
 
     return given(templates).select(*kept, "_pattern", "_fixed").mapInArrow(read, schema)

@@ -144,3 +144,17 @@ def test_a_stub_page_does_not_hide_the_template(spark):
     found = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
     assert all(found[i + at] == f"Story {i} about {i}7" for at, n in ((0, 60), (200, 2), (300, 9)) for i in range(n))
     assert (found[100], found[101], found[102]) == ("", "x", "404")
+
+
+def test_a_single_word_does_not_leave_out_the_article(spark):
+    body = "<p>The body of a long story that goes on for some time"
+    assert text_of(f"<div class='page has-sidebar'><article>{body}</article></div>") == text_of(f"<div class='content no-sidebar'>{body}</div>") == body[3:]
+    assert text_of(f"<article>{body}<h2 id='related-work'>Related work</h2><section id='social-history'>Guilds</section></article>") == f"{body[3:]}\n\nRelated work\n\nGuilds"
+    assert text_of(f"<div id='main-title'>Title</div><div>{body}</div>") == f"Title\n\n{body[3:]}"
+    assert text_of(f"<article>Teaser</article><div>{body}</div>") == f"Teaser\n\n{body[3:]}"
+    assert text_of(f"<form><div class='widget'><main>{body}</main></div></form>") == body[3:]
+    assert text_of(f"<div class='sidebar-left'><article>Teaser</article></div><div class='related-posts'>More</div><div>{body}</div>") == body[3:]
+    assert text_of(f"<div id='comments'>{'nice ' * 50}</div><main>{body}</main><div class='sidebar'><article>Teaser</article></div>") == body[3:]
+    menu = "<div>" + "A long menu that every page of the host has. " * 9 + "</div>"
+    rows = [(i, f"http://h.net/{i}", f"<body>{menu}<article><p>Story {i}</p></article><div>by {i}</div></body>") for i in range(6)]
+    assert {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()} == {i: f"Story {i}" for i in range(6)}
