@@ -9,7 +9,7 @@ their interval leave, so every round handles repeated runs only.
 A repeated run counts from ``min_words`` words on.  Whatever such a run is, it is covered by its shortest
 parts that reach ``min_words`` forward from a line or backward from one; a part of m lines is told by the ranks of the
 two runs of ``2**floor(log2 m)`` lines that cover it, so that the rounds needed depend on ``min_words`` and not on
-the corpus.  Of equal parts the first in order of (key, line) stays, and the lines of all later ones are deleted.
+the corpus.  Of equal parts the first in order of (key, line) stays, and the lines of all later ones that do not overlap it are deleted.
 
 Defined results: lines are compared without blanks at their ends; a blank line goes with the line before
 it; null texts stay null and empty ones empty; rows that repeat key and text get the same decision, so neither
@@ -69,7 +69,8 @@ def ranked(places: DataFrame, keys: list[str], rank: str) -> DataFrame:
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, j, w, r0, r1, ...): the lines that occur elsewhere, and the ranks of the runs of 1, 2, 4 ... lines from each."""
-    places = cut(ranked(positions(docs, key, text, min_words), ["h", "n"], "r0").where("r0 is not null").drop("h", "n"))
+    places = ranked(positions(docs, key, text, min_words), ["h", "n"], "r0").where("r0 is not null").drop("h", "n")
+    places = cut(places.dropDuplicates(["d", "t", "j"]))  # rows that repeat key and text have each place once
     k = 0
     while 2 << k <= min_words:
         ahead = W.partitionBy("d", "t").orderBy("j").rangeBetween(1 << k, 1 << k)
@@ -129,7 +130,8 @@ def later_copies(places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole = F.col("m").isin([1 << k for k in range(levels)])  # such a part's rank is its first place already
     known = runs.where(whole).withColumn("first", F.col("a"))
     told = ranked(cut(runs.where(~whole)), ["m", "a", "b"], "first")
-    gone = known.union(told.select(known.columns)).where("first is not null").where(F.col("first") < place())
+    overlaps = F.col("first.d").eqNullSafe(F.col("d")) & (F.col("first.t") == F.col("t")) & (F.col("j") < F.col("first.j") + F.col("m"))
+    gone = known.union(told.select(known.columns)).where("first is not null").where((F.col("first") < place()) & ~overlaps)
     return (
         gone.select("d", "t", F.explode(F.sequence(F.col("j"), F.col("j") + F.col("m") - 1)).alias("line"))
         .groupBy("d", "t")

@@ -263,3 +263,18 @@ def test_one_row_of_each_group_whatever_its_key(spark, similarity):
     rows = [(None, new()) for _ in range(20)] + [(None, copied), (1, copied), (7, copied), (7, alone), (7, alone), (8, other), (None, other)]
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.first_of_each(docs(spark, rows), similarity=similarity).collect())
     assert kept == sorted([*((0, t) for _, t in rows[:20]), (1, copied), (7, alone), (8, other)])
+
+
+def test_lines_of_repeated_rows_and_overlapping_runs(spark):
+    run, third = "a b\nc\nd e", "a b\nc\nx y"  # told apart by their third line only
+    rows = [(1, f"first {0}\n{run}"), (2, f"{run}\nlast"), (2, f"{run}\nlast"), (3, f"{third}\nend"), (3, f"{third}\nend"), (4, "\n".join(["p q"] * 4))]
+    found = lines.dedup_lines(docs(spark, rows), deleted="gone").collect()
+    assert len(found) == len(rows)
+    wanted = {1: [], 2: [0, 1, 2], 3: [], 4: []}
+    assert all(r["gone"] == wanted[r["doc_id"]] for r in found)
+    rng = random.Random(8)
+    pool = ["a", "b c", "d e f", "z", "y x"]
+    rows = [(k, "\n".join([f"only {k}", *(rng.choice(pool) for _ in range(rng.randrange(9)))])) for k in range(30)]
+    once = {r["doc_id"]: r["gone"] for r in lines.dedup_lines(docs(spark, rows), deleted="gone").collect()}
+    twice = lines.dedup_lines(docs(spark, rows + rows[::2] + rows[::4]), deleted="gone").collect()
+    assert len(twice) == 53 and all(r["gone"] == once[r["doc_id"]] for r in twice) and any(once.values())
