@@ -197,12 +197,13 @@ def first_of_each(
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     groups = similar_groups(rows, "key", "text", width, similarity) if similarity is not None else _fingerprint_groups(rows, width, budget)
     order = F.struct(F.col("key").isNull().alias("null"), "key", "t")
-    stay = groups.groupBy("group").agg(F.min(order).alias("s")).select(F.col("s.key").alias("_key"), F.col("s.t").alias("_text"))
+    stay = groups.groupBy("group").agg(F.min(order).alias("s")).select(F.xxhash64("s.null", "s.key", "s.t").alias("_row"))
     names = docs.columns
-    turn = F.row_number().over(W.partitionBy(key, "_t").orderBy(*(n for n in names if n not in (key, text))))
+    # by one column, so that the join and the window share a shuffle
+    turn = F.row_number().over(W.partitionBy("_row").orderBy(*(n for n in names if n not in (key, text))))
     return (
-        docs.withColumn("_t", F.xxhash64(text))
-        .join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_text")), "left_semi")
+        docs.withColumn("_row", F.xxhash64(F.col(key).isNull(), F.col(key), F.xxhash64(text)))
+        .join(stay, "_row", "left_semi")
         .withColumn("_turn", turn)
         .where("_turn = 1")
         .select(*names)
