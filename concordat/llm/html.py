@@ -301,17 +301,20 @@ def patterns(pages: DataFrame, html: str) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [paths(parse_whole(page.as_py())) for page in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_host", "id", "leaves"])
+            found = [paths(parse_whole(page.as_py())) for page in batch.column(3)]
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_host", "id", "size", "leaves"])
 
     some = pages.where(F.length(html) > 0).withColumn("_id", F.xxhash64(html))
-    seen = cut(some.select("_host", "_id", html).mapInArrow(listed, "_host string, id long, leaves array<long>").distinct())
+    seen = cut(some.select("_host", "_id", F.length(html), html).mapInArrow(listed, "_host string, id long, size int, leaves array<long>").distinct())
     sizes = seen.where(F.size("leaves") > 0).groupBy("_host").agg(F.count("*").alias("pages"))
     counted = seen.select("_host", F.explode("leaves").alias("leaf")).groupBy("_host", "leaf").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
     common = counted.join(sizes, "_host").where(F.col("n") >= SPREAD * F.col("pages")).select("_host", "leaf")
-    scores = seen.select("_host", "id", F.explode("leaves").alias("leaf")).join(common, ["_host", "leaf"]).groupBy("_host", "id").agg(F.count("*").alias("score"))
-    best = cut(scores.groupBy("_host").agg(F.max("score").alias("score"))).join(scores, ["_host", "score"]).select("_host", F.col("id").alias("_id"))
+    scores = seen.select("_host", "id", "size", F.explode("leaves").alias("leaf")).join(common, ["_host", "leaf"]).groupBy("_host", "id", "size").agg(F.count("*").alias("score"))
+    best = scores.groupBy("_host").agg(F.min(F.struct((-F.col("score")).alias("score"), "size", "id")).alias("b")).select("_host", F.col("b.id").alias("_id"))
+    best = cut(best)
+    # one row a host: broadcast, so that the pages are not shuffled
+    best = F.broadcast(best) if (best.agg(F.sum(F.octet_length("_host") + 8)).first()[0] or 0) <= BROADCAST_BYTES else best
     order = F.struct(F.length(html), F.col("_id"), F.col(html))
     return some.join(best, ["_host", "_id"], "left_semi").groupBy("_host").agg(F.min(order)[html].alias("_pattern"))
 
