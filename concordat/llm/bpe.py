@@ -1,15 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
-A text is cut into pieces by the tokenizer's pattern (JVM regular expression).
-The ranked merges are a fold of Spark higher-order functions over the bytes of
-*distinct* pieces: a piece is held as ``<68><65><6c>`` (its bytes in hex), and each step of the
-fold looks every adjacent pair up in a literal rank map, takes the lowest rank and joins all its
-occurrences with ``replace``.  The frequent distinct pieces are merged so, as a table, and handed
-to the tasks as a cache of at most ``cache_pieces`` short pieces.  A rarer piece is
-merged where it stands, once per batch, by the same fold over arrays (``merge_pieces``): the
-higher-order form takes some 230 microseconds a piece, and the rare pieces, most of which occur
-once, are nearly all the distinct ones (see README).  So no text is ever shuffled and what is
-broadcast has a fixed bound.
+A text is cut into pieces by the tokenizer's pattern.  The ranked merges are a fold of Spark higher-order
+functions over the byte arrays of *distinct* pieces: the state is a piece's parts and the ranks of its adjacent pairs, and each step
+joins the first pair of the lowest rank and looks up the two pairs that this changes in a literal rank map, which
+stands in the plan once.  The frequent distinct pieces are merged so, as a table of at most ``cache_pieces`` short pieces, and
+broadcast.  A rarer piece is merged where it stands, by the same fold over arrays (``merge_pieces``): most rare pieces
+occur once, so that a table of them would have to be joined back to nearly as many rows as it has (see README).  So no
+text is ever shuffled and what is broadcast has a fixed bound.  Decoding concatenates the binary pieces of the ids.
 
 Defined results: a null or empty text has no ids; ids never include special tokens; extra
 columns of the input are kept unless they clash with a result's name, in which case the
@@ -21,32 +18,29 @@ from __future__ import annotations
 import base64
 import json
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concordat.llm.common import cut, without
+from concordat.llm.subwords import chunks
+
 #: Slots of the literal rank map; about one key in each.
 SLOTS = 1 << 16
 #: Longest piece, in bytes, that the cache takes.
 CACHE_BYTES = 48
-#: Pieces that a task handles at a time.
-CHUNK_PIECES = 1 << 17
-
-
-def java_pattern(pattern: str) -> str:
-    """The pattern with white space spelt as Unicode has it, as Java's ``\\s`` is ASCII only."""
-    space = r"\p{IsWhite_Space}"
-    return (
-        pattern.replace(r"(?!\S)", f"(?![^{space}])")
-        .replace(r"[^\s", f"[^{space}")
-        .replace(r"\s", f"[{space}]")
-    )
+#: Text, in bytes, that a task cuts up at a time; of a longer text, so many pieces at a time.
+PART_BYTES, PART_PIECES = 1 << 20, 1 << 17
+#: Pieces that a task remembers beside the cache.
+REMEMBERED = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,89 +53,98 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     """array<map<hex, id>>: a literal map, dealt into slots by the key's hash so that a look-up is constant time."""
     slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for token, rank in ranks.items():
-        slots[xxhash.xxh64_intdigest(token.hex().encode(), seed=42) % SLOTS][token.hex()] = rank
+        name = token.hex().upper()
+        slots[xxhash.xxh64_intdigest(name.encode(), seed=42) % SLOTS][name] = rank
     return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def rank_of(table: Column, key: Column) -> Column:
+def rank_of(table: Column, token: Column) -> Column:
     # SLOTS is a power of two, so the low bits of the signed hash are its remainder
-    return F.get(table, F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))[key]
+    name = F.hex(token)
+    return F.get(table, F.xxhash64(name).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))[name]
 
 
-def merged(piece: Column, table: Column) -> Column:
+def merged(piece: Column, ranks: dict[bytes, int]) -> Column:
     """array<int>: the ids of one piece."""
-    text = F.lower(F.hex(F.encode(piece, "UTF-8")))
-    whole = rank_of(table, text)
-    start = F.regexp_replace(text, "(..)", "<$1>")
-
-    def step(state: Column, _: Column) -> Column:
-        def grown(parts: Column) -> Column:
-            pairs = F.zip_with(
-                F.slice(parts, 1, F.size(parts) - 1),
-                F.slice(parts, 2, F.size(parts) - 1),
-                lambda a, b: F.struct(rank_of(table, F.concat(a, b)).alias("rank"), a.alias("a"), b.alias("b")),
-            )
-            best = F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull()))
-            return F.get(
-                F.transform(
-                    F.array(best),
-                    lambda p: F.when(
-                        p.isNotNull(),
-                        F.struct(
-                            F.replace(
-                                state["s"],
-                                F.concat(F.lit("<"), p["a"], F.lit("><"), p["b"], F.lit(">")),
-                                F.concat(F.lit("<"), p["a"], p["b"], F.lit(">")),
-                            ).alias("s"),
-                            F.lit(True).alias("more"),
-                        ),
-                    ).otherwise(F.struct(state["s"].alias("s"), F.lit(False).alias("more"))),
-                ),
-                0,
-            )
-
-        parts = F.split(F.btrim(state["s"], F.lit("<>")), "><")
-        return F.when(
-            state["more"], F.get(F.transform(F.array(parts), grown), 0)
-        ).otherwise(state)
-
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2).cast("int"))),
-        F.struct(start.alias("s"), F.lit(True).alias("more")),
-        step,
-        lambda state: F.transform(F.split(F.btrim(state["s"], F.lit("<>")), "><"), lambda p: rank_of(table, p)),
-    )
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
-
 
-def piece_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_PIECES pieces of its last column; a longer text stands alone."""
-    edges = np.asarray(batch.column(batch.num_columns - 1).offsets, np.int64)
-    start = 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + CHUNK_PIECES, "right")) - 1)
-        yield batch.slice(start, stop - start)
-        start = stop
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def folded(table: Column) -> Column:
+        def pair_rank(a: Column, b: Column) -> Column:
+            return F.when(a.isNotNull() & b.isNotNull(), rank_of(table, F.concat(a, b)))
+
+        def step(state: Column, _: Column) -> Column:
+            parts, pairs = state["parts"], state["pairs"]
+
+            def joined(at: Column) -> Column:
+                """The state with parts at and at + 1, counted from 1, made one."""
+                both = F.concat(F.get(parts, at - 1), F.get(parts, at))
+                before = F.when(at > 1, F.array(pair_rank(F.get(parts, at - 2), both))).otherwise(F.array().cast("array<int>"))
+                after = F.when(at < F.size(pairs), F.array(pair_rank(both, F.get(parts, at + 1)))).otherwise(F.array().cast("array<int>"))
+                return F.struct(
+                    F.concat(F.slice(parts, 1, at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                    F.concat(F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, F.size(parts))).alias("pairs"),
+                )
+
+            best = F.array_min(pairs)
+            return F.when(best.isNotNull(), let(F.array_position(pairs, best).cast("int"), joined)).otherwise(state)
+
+        raw = F.encode(piece, "UTF-8")
+        size = F.octet_length(raw)
+        parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(raw, i, F.lit(1)))
+        pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank_of(table, F.substring(raw, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
+        whole = rank_of(table, raw)
+        fold = F.aggregate(
+            F.sequence(F.lit(1), size),
+            F.struct(parts.alias("parts"), pairs.alias("pairs")),
+            step,
+            lambda state: F.transform(state["parts"], lambda p: rank_of(table, p)),
+        )
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(fold)
+
+    return let(rank_map(ranks), folded)
+
+
+def cut_up(text: str | None, pattern: regex.Pattern) -> Iterator[list[str]]:
+    """The text's pieces in order; a long text's in several lists."""
+    if not text:
+        return
+    if len(text) <= PART_BYTES:
+        yield pattern.findall(text)
+        return
+    found = pattern.finditer(text)
+    while part := [m[0] for m in islice(found, PART_PIECES)]:
+        yield part
 
 
 def frequent_pieces(docs: DataFrame, pattern: str, text: str, most: int) -> DataFrame:
-    """(piece, n): the most frequent pieces of at most CACHE_BYTES bytes, ties by the piece."""
+    """(piece, n): the pieces of at most CACHE_BYTES bytes that occur most often: all from the least count on that leaves no more than ``most``."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, counts = regex.compile(pattern), Counter()
+
+        def told() -> pa.RecordBatch:
+            short = {p: n for p, n in counts.items() if len(p.encode()) <= CACHE_BYTES}
+            return pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.string()), pa.array(short.values(), pa.int64())], ["piece", "n"])
+
         for batch in batches:
-            for part in piece_chunks(batch):
-                counts = pc.value_counts(part.column(0).flatten())
-                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["piece", "n"])
-
-    pieces = docs.select(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)))
-    return (
-        pieces.mapInArrow(tally, "piece string, n long")
-        .where((F.octet_length("piece") <= CACHE_BYTES) & (F.octet_length("piece") > 0))
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(most)
-    )
+            for value in batch.column(0):
+                for part in cut_up(value.as_py(), compiled):
+                    counts.update(part)
+                if len(counts) > PART_PIECES:
+                    yield told()
+                    counts.clear()
+        yield told()
+
+    counts = cut(docs.select(text).mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
+    size = F.floor(4 * F.log2("n")).cast("int")  # at most some hundreds of sizes
+    left, least = most, None
+    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+        if row["count"] > left:
+            break
+        left, least = left - row["count"], row["size"]
+    return counts.where(size >= least) if least is not None else counts.limit(0)
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,86 +193,83 @@ def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], keys: np.ndarray,
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", cache_pieces: int = 1 << 15
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", cache_pieces: int = 1 << 17, keep_text: bool = True
 ) -> DataFrame:
-    """Adds ``ids``: the text's token ids, packed as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
+    """Adds ``ids``: the text's token ids, packed as little-endian unsigned 32-bit integers; keep_text: whether the text stays beside them."""
+    context = docs.sparkSession.sparkContext
     ranks = read_ranks(ranks_path)
-    frequent = frequent_pieces(docs, pattern, text, cache_pieces).repartition(spark.sparkContext.defaultParallelism * 4)
-    table = frequent.select("piece", merged(F.col("piece"), rank_map(ranks)).alias("ids")).toArrow()
-    flat = table.column("ids").combine_chunks()
-    packed = np.asarray(flat.flatten()).astype("<u4").tobytes()
-    ends = 4 * np.asarray(flat.offsets)
-    cached = {p: packed[a:b] for p, a, b in zip(table.column("piece").to_pylist(), ends[:-1], ends[1:], strict=True)}
-    shared = spark.sparkContext.broadcast((cached, ranks, *pair_table(ranks)))
-
-    kept = [c for c in docs.columns if c.lower() != ids.lower()]
+    frequent = frequent_pieces(docs, pattern, text, cache_pieces).repartition(context.defaultParallelism)
+    table = frequent.select("piece", merged(F.col("piece"), ranks).alias("ids")).toArrow()  # at most cache_pieces short rows
+    packed = (np.asarray(v.values).astype("<u4").tobytes() for v in table.column("ids"))
+    shared = context.broadcast((dict(zip(table.column("piece").to_pylist(), packed, strict=True)), ranks, *pair_table(ranks)))
+
+    kept = [c for c in without(docs, ids) if c != text]
+    kept += [text] if keep_text and text in without(docs, ids) else []
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.BinaryType())])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached, ranks, keys, made = shared.value
-        for part in (p for batch in batches for p in piece_chunks(batch)):
-            pieces = part.column(part.num_columns - 1)
-            words = pieces.flatten().dictionary_encode()
-            names = words.dictionary.to_pylist()
-            values = [cached.get(w) for w in names]
-            rare = [i for i, v in enumerate(values) if v is None]
-            raw = [names[i].encode() for i in rare]
-            for i, b in zip(rare, raw, strict=True):
-                if b in ranks:
-                    values[i] = ranks[b].to_bytes(4, "little")
-            rare = [i for i in rare if values[i] is None]
-            for i, v in zip(rare, merge_pieces([names[i].encode() for i in rare], ranks, keys, made), strict=True):
-                values[i] = v
-            sizes = np.fromiter(map(len, values), np.int64, len(values))
-            codes = np.asarray(words.indices)
-            edges = np.r_[0, np.cumsum(sizes[codes])]
-            lists = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
-            blob = pa.array(values, pa.large_binary()).take(words.indices)
-            start = edges[lists]
-            out = pa.Array.from_buffers(
-                pa.large_binary(), len(pieces), [None, pa.py_buffer(start.astype(np.int64)), _bytes_of(blob)]
-            ).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], [*kept, ids])
-
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    # the pattern leaves no character out, but an empty text has one empty match in some readers
-    found = F.filter(found, lambda p: p != "")
-    return docs.select(*kept, found.alias("_pieces")).mapInArrow(coded, schema)
-
-
-def _bytes_of(values: pa.Array) -> pa.Buffer:
-    """The values' bytes, one after another."""
-    edges = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-    return values.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])) if len(values) else pa.py_buffer(b"")
+        compiled, known = regex.compile(pattern), dict(cached)
+
+        def code(lists: list[list[str]]) -> list[bytes]:
+            """The ids of each list of pieces."""
+            new = list(set().union(*lists).difference(known))
+            raw = [p.encode() for p in new]
+            found = [ranks[b].to_bytes(4, "little") if b in ranks else None for b in raw]
+            rest = iter(merge_pieces([b for b, f in zip(raw, found, strict=True) if f is None], ranks, keys, made))
+            known.update(zip(new, (next(rest) if f is None else f for f in found), strict=True))
+            out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+            if len(known) > len(cached) + REMEMBERED:
+                known.clear()
+                known.update(cached)
+            for p, b in zip(new, raw, strict=True):
+                if len(b) > CACHE_BYTES:
+                    known.pop(p, None)
+            return out
+
+        for batch in (part for whole in batches for part in chunks(whole, whole.num_columns - 1, PART_BYTES)):
+            lists, owner = [], []
+            parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+
+            def flush() -> None:
+                for k, coded_part in zip(owner, code(lists), strict=True):
+                    parts[k].append(coded_part)
+                lists.clear()
+                owner.clear()
+
+            for k, value in enumerate(batch.column(batch.num_columns - 1)):
+                for pieces in cut_up(value.as_py(), compiled):
+                    lists.append(pieces)
+                    owner.append(k)
+                    if len(pieces) == PART_PIECES:
+                        flush()
+            flush()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(map(b"".join, parts), pa.binary())], [*kept, ids])
+
+    # the text comes last, and as itself where it is last in the result too
+    shared_text = bool(kept) and kept[-1] == text
+    passed = [*map(F.col, kept), *([] if shared_text else [F.col(text)])]
+    return docs.select(*passed).mapInArrow(coded, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the binary pieces of the packed ids, concatenated.  Null ids give null; an unknown id fails."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kept = [c for c in df.columns if c.lower() != decoded.lower()]
+    kept = without(df, decoded)
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(decoded, T.BinaryType())])
+    at = kept.index(ids)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = sorted((rank, token) for token, rank in shared.value.items())
-        names = np.array([rank for rank, _ in by_id])
-        tokens = pa.array([token for _, token in by_id], pa.large_binary())
-        for batch in batches:
-            column = batch.column(kept.index(ids))
-            values = column.to_pylist()
-            counts = np.array([len(v or b"") // 4 for v in values], np.int64)
-            flat = np.frombuffer(b"".join(v or b"" for v in values), "<u4")
-            at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-            if (names[at] != flat).any():
-                raise ValueError(f"no such token: {flat[names[at] != flat][0]}")
-            text = tokens.take(pa.array(at))
-            sizes = np.diff(np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]) if len(text) else np.zeros(0, np.int64)
-            edges = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
-            out = pa.Array.from_buffers(
-                pa.large_binary(), len(values), [None, pa.py_buffer(edges.astype(np.int64)), _bytes_of(text)]
-            ).cast(pa.binary())
-            out = pc.if_else(column.is_null(), pa.scalar(None, pa.binary()), out)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), out], [*kept, decoded])
+        piece = {rank: token for token, rank in shared.value.items()}
+        for batch in (part for whole in batches for part in chunks(whole, at, PART_BYTES)):
+            out = []
+            for value in batch.column(at):
+                value = value.as_py()
+                try:
+                    out.append(None if value is None else b"".join(map(piece.__getitem__, np.frombuffer(value, "<u4").tolist())))
+                except KeyError as unknown:
+                    raise ValueError(f"no such token: {unknown}") from None
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], schema.names)
 
     return df.select(*kept).mapInArrow(joined, schema)
 
@@ -277,11 +277,9 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 def op1(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    # lists of pieces take several times their text, so batches of fewer rows keep executors small
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = encode(docs, path, public_tokenizers.PATTERN, keep_text=False)
     return decode(coded, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

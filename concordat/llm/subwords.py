@@ -15,13 +15,13 @@ _P = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_BYTES of the column's text."""
+def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of the column."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
     start = 0
     while start < len(sizes):
         base = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, base + CHUNK_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -37,10 +37,21 @@ def test_bpe_against_the_library(spark):
     assert bpe.encode(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_a_text_cut_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_BYTES", 50)
+    monkeypatch.setattr(bpe, "PART_PIECES", 7)
+    ranks = bpe.read_ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three " * 40 + "x" * 500, "short", "a  b\n\n" * 60]
+    rows = bpe.encode(docs(spark, list(enumerate(texts))), PATH, public_tokenizers.PATTERN, keep_text=False).orderBy("doc_id").collect()
+    assert rows[0].__fields__ == ["doc_id", "lang", "ids"]
+    assert [list(np.frombuffer(r["ids"], "<u4")) for r in rows] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_fold_equals_merge_in_arrays(spark):
     ranks = bpe.read_ranks(PATH)
     pieces = [" quality", "zzyzx", "aaaaaaa", "ünïcödé", "!!!???", "x"]
-    folded = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", bpe.merged(F.col("p"), bpe.rank_map(ranks)).alias("ids")).collect()
+    folded = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", bpe.merged(F.col("p"), ranks).alias("ids")).collect()
     plain = bpe.merge_pieces([p.encode() for p in pieces], ranks, *bpe.pair_table(ranks))
     whole = {p: [ranks[p.encode()]] for p in pieces if p.encode() in ranks}
     for r in folded:
