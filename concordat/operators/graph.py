@@ -8,23 +8,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def set_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; in local mode a temporary one serves where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that the session names in spark.checkpoint.dir; in local mode a temporary one serves."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Writes df to the shared checkpoint folder and cuts its lineage."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        set_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node on an (a, b) edge; component is the least node reachable."""
+    """(node, component) for every node on an (a, b) edge; component is the least node reachable.
+
+    Null ends, loops and repeated edges are ignored.  Nodes without an edge are not listed.  The number of rounds grows with the
+    logarithm of the number of nodes.
+    """
     stars = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while (now := tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before and now[0]:
