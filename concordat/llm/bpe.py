@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import cut, without
+from concordat.llm.common import without
 from concordat.llm.subwords import chunks
+from concordat.operators.graph import cut
 
 #: Slots of the literal rank map; about one key in each.
 SLOTS = 1 << 16

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage.
-
-    The folder is the one that the session names in spark.checkpoint.dir; a temporary one serves
-    only where that is unset, as in tests on one machine.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        set_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def set_folder(spark: SparkSession) -> None:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+from pyspark.sql import DataFrame
 
 
 def without(df: DataFrame, *names: str) -> list[str]:
     """df's columns but those that a result's names would clash with."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df clashes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import cut, without
+from concordat.llm.common import without
 from concordat.llm.urls import host_of
+from concordat.operators.graph import cut
 
 #: A leaf is template if it is the same on this share of the distinct pages that have a leaf there, on this share of a host's pages, and on so many.
 SHARE, SPREAD, PAGES = 0.8, 0.5, 2

@@ -26,7 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import cut, without
+from concordat.llm.common import without
+from concordat.operators.graph import cut
 
 #: Words from which a repeated run counts.
 MIN_WORDS = 5

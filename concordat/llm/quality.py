@@ -8,7 +8,8 @@ the average, scoring needs one number per hash bucket: the model that is broadca
 ``BUCKETS`` numbers whatever the corpus.  Scoring runs in Arrow batches over whole texts.
 
 Defined results: null and empty texts get the score of the class bias alone; repeated rows get
-equal scores; labels repeated for a document count once, by their largest value; labels without a text are not used;
+equal scores; an empty table gives an empty table; extra columns are kept, but for one of the score's name, which the score replaces; a sampled key with
+several texts is learned from by one of them; labels repeated for a document count once, by their largest value; labels without a text are not used;
 with labels of one class only every score leans to that class; without labels every score is 0.5.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import without
-from concordat.llm.subwords import chunks, features, split_words
+from concordat.llm.common import unused, without
+from concordat.llm.subwords import chunks, features, parts, split_words
 
 BUCKETS = 1 << 18
 #: Labelled rows of each class that training may see.
@@ -50,6 +51,13 @@ def labelled_sample(labels: DataFrame, label: str, usable: Column, most: int, ke
     return rows.where("y = 1").orderBy(*order).limit(most).union(rows.where("y = 0").orderBy(*order).limit(most))
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
+    """(y, text): one text for each sampled key, the one of the least hash where rows repeat a key; so at most as many rows as the sample has."""
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample.withColumnRenamed(key, "key")), "key")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y"))
+    return found.groupBy("key").agg(least.alias("least")).select("least.y", F.col("least.text").alias("text"))
+
+
 def counted(texts: DataFrame, text: str) -> DataFrame:
     """(y, buckets, shares) of each text: at most BUCKETS numbers however long it is."""
 
@@ -105,8 +113,8 @@ def train(rows: pa.Table) -> tuple[np.ndarray, float]:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", key: str = "doc_id", text: str = "text"):
     """The model: (per-bucket logits, bias).  usable picks the rows of labels that may be learned from."""
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
-    texts = docs.select(key, text).join(F.broadcast(sample), key)  # of at most 2 * SAMPLE rows
-    rows = counted(texts, text).orderBy("y", F.xxhash64("buckets", "shares")).toArrow()
+    texts = sampled_texts(docs, sample, key, text)  # of at most 2 * SAMPLE rows
+    rows = counted(texts, "text").orderBy("y", F.xxhash64("buckets", "shares")).toArrow()
     logits, bias = train(rows)
     seen = np.bincount(np.asarray(rows.column("y")), minlength=2)
     true = labels.where(usable).agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b")).first()
@@ -127,9 +135,11 @@ def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> Da
         for batch in batches:
             for part in chunks(batch, at):
                 words, codes, edges = split_words(part.column(at))
-                owner, bucket = features(words, BUCKETS)
-                total = np.bincount(owner, logits[bucket], len(words))
-                number = np.bincount(owner, minlength=len(words))
+                total, number = np.zeros(len(words)), np.zeros(len(words), np.int64)
+                for at_words, some in parts(words):
+                    owner, bucket = features(some, BUCKETS)
+                    total[at_words] = np.bincount(owner, logits[bucket], len(some))
+                    number[at_words] = np.bincount(owner, minlength=len(some))
                 sums = np.r_[0, np.cumsum(total[codes])]
                 sizes = np.r_[0, np.cumsum(number[codes])]
                 mean = (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(sizes[edges[1:]] - sizes[edges[:-1]], 1)
@@ -160,4 +170,5 @@ def op4(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that the classifier accepts."""
     model = fit(docs, labels, bucket_of(key, 4) != 2, key=key, text=text)
-    return score(docs, model, text, "_quality").where(F.col("_quality") >= least).select(*docs.columns)
+    name = unused(docs, "quality")
+    return score(docs, model, text, name).where(F.col(name) >= least).select(*docs.columns)

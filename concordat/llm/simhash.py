@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from concordat.llm.common import cut, without
-from concordat.llm.components import components
+from concordat.llm.common import unused, without
 from concordat.llm.similar import similar_groups
+from concordat.operators.graph import components, cut
 
 #: Fingerprints of a group that one block holds.
 BLOCK = 2048
@@ -197,15 +197,16 @@ def first_of_each(
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     groups = similar_groups(rows, "key", "text", width, similarity) if similarity is not None else _fingerprint_groups(rows, width, budget)
     order = F.struct(F.col("key").isNull().alias("null"), "key", "t")
-    stay = groups.groupBy("group").agg(F.min(order).alias("s")).select(F.xxhash64("s.null", "s.key", "s.t").alias("_row"))
+    row, number = unused(docs, "row"), unused(docs, "turn")
+    stay = groups.groupBy("group").agg(F.min(order).alias("s")).select(F.xxhash64("s.null", "s.key", "s.t").alias(row))
     names = docs.columns
-    # by one column, so that the join and the window share a shuffle
-    turn = F.row_number().over(W.partitionBy("_row").orderBy(*(n for n in names if n not in (key, text))))
+    # by one column, so that the join and the window share a shuffle; a row number of at most 1 keeps one row of each group before the shuffle
+    turn = F.row_number().over(W.partitionBy(row).orderBy(*(n for n in names if n not in (key, text))))
     return (
-        docs.withColumn("_row", F.xxhash64(F.col(key).isNull(), F.col(key), F.xxhash64(text)))
-        .join(stay, "_row", "left_semi")
-        .withColumn("_turn", turn)
-        .where("_turn = 1")
+        docs.withColumn(row, F.xxhash64(F.col(key).isNull(), F.col(key), F.xxhash64(text)))
+        .join(stay, row, "left_semi")
+        .withColumn(number, turn)
+        .where(F.col(number) == 1)
         .select(*names)
     )
 

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Text that a task handles at a time, in bytes; a longer text is handled alone.
 CHUNK_BYTES = 8 << 20
+#: Words whose features are held at a time.
+PART_WORDS = 1 << 14
 SIZES = (3, 4, 5)
 _P = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +36,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, np.asarray(words.indices), edges - edges[0]
 
 
+def parts(words: pa.Array) -> Iterator[tuple[slice, pa.Array]]:
+    """The words PART_WORDS at a time, and where they stand: features take some hundred times a word's size."""
+    for start in range(0, len(words), PART_WORDS):
+        yield slice(start, start + PART_WORDS), words.slice(start, PART_WORDS)
+
+
 def features(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(owner, bucket): the word itself and its byte n-grams, between edge marks, for each word that is not empty.
 

@@ -11,7 +11,8 @@ marginal, as calibrated by a logistic curve on the sample's documents and the tr
 classes, and its offending spans are the tokens whose calibrated marginal is at least one half.
 
 Defined results: null and wordless texts score 0 and have no spans; repeated rows get
-equal results; without labels of both classes every score is 0.
+equal results; without labels of both classes every score is 0; an empty table gives an empty table; extra columns
+are kept, but for those of the results' names, which the results replace.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import without
-from concordat.llm.quality import bucket_of, labelled_sample
-from concordat.llm.subwords import chunks, features, split_words
+from concordat.llm.common import unused, without
+from concordat.llm.quality import bucket_of, labelled_sample, sampled_texts
+from concordat.llm.subwords import chunks, features, parts, split_words
 
 BUCKETS = 1 << 18
-#: Labelled documents of each class, sentences with and without a toxic word, and words of a sentence that training may see.
-SAMPLE, SENTENCES, LONGEST = 3000, (6000, 20_000), 64
+#: Labelled documents of each class, and sentences with and without a toxic word that training may see.
+SAMPLE, SENTENCES = 3000, (6000, 20_000)
+#: A longer sentence is learned from, in whole, as sequences of so many words.
+LONGEST = 64
 #: A toxic word's log odds and the toxic documents that it is in, at least; toxic words at most.
 ODDS, DOCS, WORDS = 3.0, 4, 5000
 ROUNDS, RATE = 60, 0.5
@@ -64,8 +67,9 @@ def sentences(texts: DataFrame, text: str, words: list[str]) -> pa.Table:
     tokens = F.transform(F.filter(F.split(F.col("s"), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(F.lower(w), _PUNCTUATION, ""))
     rows = (
         texts.select("y", F.explode(F.split(text, r"(?<=[.!?])\s+")).alias("s"))
-        .select("y", tokens.alias("tokens"))
-        .where(F.size("tokens").between(1, LONGEST))
+        .select("y", tokens.alias("whole"))
+        .where(F.size("whole") > 0)
+        .select("y", F.explode(F.transform(F.sequence(F.lit(1), F.size("whole"), F.lit(LONGEST)), lambda i: F.slice("whole", i, LONGEST))).alias("tokens"))
         .withColumn("bad", F.arrays_overlap("tokens", listed) & (F.col("y") == 1))
     )
     order = [F.xxhash64("tokens"), F.col("tokens")]
@@ -104,13 +108,15 @@ def words_of(owner: np.ndarray) -> int:
 
 
 def emissions(words: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    owner, bucket = features(words, BUCKETS)
-    split = words_of(owner)
-    total = np.bincount(owner[split:], weights[bucket[split:]], len(words))
-    number = np.bincount(owner[split:], minlength=len(words))
-    value = total / np.maximum(number, 1)
-    value[owner[:split]] += weights[bucket[:split]]
-    return value + bias
+    values = np.zeros(len(words))
+    for at, some in parts(words):
+        owner, bucket = features(some, BUCKETS)
+        split = words_of(owner)
+        total = np.bincount(owner[split:], weights[bucket[split:]], len(some))
+        value = total / np.maximum(np.bincount(owner[split:], minlength=len(some)), 1)
+        value[owner[:split]] += weights[bucket[:split]]
+        values[at] = value
+    return values + bias
 
 
 def train(rows: pa.Table, toxic: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
@@ -194,7 +200,7 @@ def curve(texts: DataFrame, text: str, model, share: float) -> tuple[float, floa
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", key: str = "doc_id", text: str = "text"):
     """The model, or None without toxic words to learn.  usable picks the rows of labels that may be learned from."""
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
-    texts = docs.select(key, text).join(F.broadcast(sample), key).persist()  # of at most 2 * SAMPLE rows
+    texts, text = sampled_texts(docs, sample, key, text).persist(), "text"  # of at most 2 * SAMPLE rows
     try:
         words = toxic_words(texts, text)
         if not words:
@@ -280,4 +286,5 @@ def op8(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that score below ``most``."""
     model = fit(docs, labels, bucket_of(key, 5) != 0, key=key, text=text)
-    return tag(docs, model, text, "_toxicity", "_spans").where(F.col("_toxicity") < most).select(*docs.columns)
+    name = unused(docs, "toxicity")
+    return tag(docs, model, text, name, unused(docs, "spans")).where(F.col(name) < most).select(*docs.columns)

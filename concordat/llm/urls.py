@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import without
-from concordat.llm.components import components
+from concordat.operators.graph import components
 
 
 class Rule(NamedTuple):

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concordat.llm.common import cut
+from concordat.operators.graph import cut
+
 
 #: Vectors in a block, and candidate blocks that one task takes for a query block.
 BLOCK, RUN = 4096, 8

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from concordat.llm import bpe, lines, packing, quality, simhash, similar, toxicity
-from concordat.llm.components import components
+from concordat.operators.graph import components
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string"
