@@ -13,7 +13,8 @@ the corpus.  Of equal parts the first in order of (key, line) stays, and the lin
 
 Defined results: lines are compared without blanks at their ends; a blank line goes with the line before
 it; null texts stay null and empty ones empty; rows that repeat key and text get the same decision, so neither
-is a later copy of the other; every row of the input is a row of the result.
+is a later copy of the other; every row of the input is a row of the result, with its other columns as they are; a column of the name
+``deleted`` is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import without
+from concordat.llm.common import unused, without
 from concordat.operators.graph import cut
 
 #: Words from which a repeated run counts.
@@ -38,7 +39,7 @@ def lines_of(text: Column) -> Column:
 
 
 def positions(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(d, t, j, h, n, w): document, its text's hash, line, the line's hash and length, its words up to min_words."""
+    """(d, t, j, h, g, w): document, its text's hash, line, two hashes of the line, which tell lines apart by 128 bits, its words up to min_words."""
     many = rf"^(?:\S+\s+){{{min_words - 1}}}\S"
     return docs.select(
         F.col(key).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(lines_of(F.col(text))).alias("j", "line")
@@ -47,7 +48,7 @@ def positions(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame
         "t",
         "j",
         F.xxhash64("line").alias("h"),
-        F.length("line").alias("n"),
+        F.xxhash64(F.lit(1), "line").alias("g"),
         F.when(F.col("line").rlike(many), min_words).otherwise(F.size(F.split("line", r"\s+"))).alias("w"),
     )
 
@@ -70,7 +71,7 @@ def ranked(places: DataFrame, keys: list[str], rank: str) -> DataFrame:
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, j, w, r0, r1, ...): the lines that occur elsewhere, and the ranks of the runs of 1, 2, 4 ... lines from each."""
-    places = ranked(positions(docs, key, text, min_words), ["h", "n"], "r0").where("r0 is not null").drop("h", "n")
+    places = ranked(positions(docs, key, text, min_words), ["h", "g"], "r0").where("r0 is not null").drop("h", "g")
     places = cut(places.dropDuplicates(["d", "t", "j"]))  # rows that repeat key and text have each place once
     k = 0
     while 2 << k <= min_words:
@@ -146,11 +147,12 @@ def dedup_lines(
     """docs with the lines of later copies deleted from text; deleted: a column for the numbers of those lines."""
     gone = later_copies(repeated(docs, key, text, min_words), min_words)
     names = without(docs, deleted) if deleted else docs.columns
-    joined = docs.select(*names, F.xxhash64(text).alias("_t")).join(
-        gone, F.col(key).eqNullSafe(F.col("d")) & (F.col("_t") == F.col("t")), "left"
+    joined = docs.alias("docs").join(
+        gone.alias("gone"), F.col(f"docs.{key}").eqNullSafe(F.col("gone.d")) & (F.xxhash64(f"docs.{text}") == F.col("gone.t")), "left"
     )
     # of texts without a line to delete nothing is rewritten
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("_lines", T.ArrayType(T.IntegerType()))])
+    mark = unused(docs, "lines")
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(mark, T.ArrayType(T.IntegerType()))])
     at = names.index(text)
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +165,10 @@ def dedup_lines(
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    done = joined.select(*names, F.col("lines").alias("_lines")).mapInArrow(rewritten, schema)
+    done = joined.select(*(F.col(f"docs.`{c}`") for c in names), F.col("gone.lines").alias(mark)).mapInArrow(rewritten, schema)
     if not deleted:
         return done.select(*names)
-    return done.select(*names, F.coalesce("_lines", F.array().cast("array<int>")).alias(deleted))
+    return done.select(*names, F.coalesce(mark, F.array().cast("array<int>")).alias(deleted))
 
 
 def without_lines(text: str, gone: set[int]) -> str:
