@@ -2,12 +2,13 @@
 
 Several sequence lengths are permitted, each at a cost.  Documents are dealt at random into shards of
 bounded size; in a shard, from the longest down, each goes into the open bin that it fills best, and where none
-has room the bin size is opened that costs least for what is still to be packed.  In the end
+has room the bin size is opened that costs least for each token that it would hold of what is still to be packed.  In the end
 every bin shrinks to the smallest permitted length that holds its contents.  A document longer than the
 largest length is cut into full sequences, which are bins of their own, and a rest that is packed.
 
 Defined results: one row for each part of a document; a document without words (null, empty or blank) has one row
-of length 0 and no bin; repeated rows are packed each.
+of length 0 and no bin; repeated rows are packed each; an empty table gives an empty table; columns beside the key are not kept,
+so that none can clash.
 """
 
 from __future__ import annotations
@@ -20,29 +21,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Permitted lengths, what a sequence costs beside its length, and documents in a shard.
-LENGTHS, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 64, 16_384
+#: Permitted lengths, and documents in a shard.
+LENGTHS, SHARD = (512, 1024, 2048, 4096, 8192), 16_384
+#: A sequence costs its length, so much beside it, and, as attention does, its length's square by so much.
+OVERHEAD, SQUARE = 64, 16_384
 
 
-def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+def cost(length: int) -> float:
+    return length + OVERHEAD + length * length / SQUARE
+
+
+def filling(order: Sequence[int], k: int, capacity: int) -> int:
+    """What a new bin of the capacity would hold of the sizes from the k-th of order (negative sizes, ascending) on: the k-th, and then ever the largest that fits."""
+    held = -order[k]
+    while (k := max(k + 1, bisect.bisect_left(order, held - capacity))) < len(order):
+        held -= order[k]
+    return held
+
+
+def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """(bin of each size, start of each size in its bin, length of each bin); no size is above the largest length."""
     lengths = sorted(lengths)
     bins, starts, filled = [0] * len(sizes), [0] * len(sizes), []
     room: list[tuple[int, int]] = []  # (room left, bin), in order
-    left = sum(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+    longest_first = sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    order = [-sizes[k] for k in longest_first]
+    for turn, k in enumerate(longest_first):
         size = sizes[k]
         at = bisect.bisect_left(room, (size, -1))
         if at < len(room):
             free, chosen = room.pop(at)
         else:
-            # the rest can fill a bin as far as it goes: the cost of a token decides, then the shorter bin
-            free = min((c for c in lengths if c >= size), key=lambda c: ((c + overhead) / min(c, left), c))
+            # all that follow in the order are still to be packed, so what each length would hold of them is known; then the shorter bin
+            free = min((c for c in lengths if c >= size), key=lambda c: (cost(c) / filling(order, turn, c), c))
             chosen = len(filled)
             filled.append(0)
         bins[k], starts[k] = chosen, filled[chosen]
         filled[chosen] += size
-        left -= size
         if free > size:
             bisect.insort(room, (free - size, chosen))
     return bins, starts, [lengths[bisect.bisect_left(lengths, f)] for f in filled]

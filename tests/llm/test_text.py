@@ -154,6 +154,14 @@ def test_lines_against_a_plain_version(spark, least):
         assert r["text"] == (lines.without_lines(text, wanted[r["doc_id"]]) if r["doc_id"] in wanted else text)
 
 
+def test_lines_of_clashing_columns(spark):
+    rows = docs(spark, [(1, "five words in this line\nx"), (2, "five words in this line\ny")])
+    for name in ("d", "t", "lines", "_t", "gone"):
+        found = lines.dedup_lines(rows.withColumn(name, F.lit(5)), deleted="gone")
+        assert {r["doc_id"]: (r["text"], r["gone"], name == "gone" or r[name]) for r in found.collect()} == {
+            1: ("five words in this line\nx", [], name == "gone" or 5), 2: ("y", [0], name == "gone" or 5)}
+
+
 def test_lines_of_odd_rows(spark):
     found = lines.dedup_lines(docs(spark, ODD))
     assert found.columns == ["doc_id", "text", "lang"] and sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, [(*r,) for r in ODD]))
@@ -222,6 +230,9 @@ def test_packing(spark):
         used = sum(s for _, s in inside)
         assert used <= capacity[b] and capacity[b] == min(c for c in (128, 256, 512, 1024) if c >= used)
     assert sum(sizes) / sum(capacity[b] for b in set(bins)) > 0.95
+    assert len({capacity[b] for b in set(bins)}) > 1
+    # sizes of 500: what a bin would hold decides, not the largest length
+    assert set(packing.best_fit([500] * 64, (512, 1024, 8192))[2]) == {1024}
     rows = packing.pack(docs(spark, ODD), lengths=(64, 128, 1024), shard=2).collect()
     assert sum(r["length"] for r in rows) == 30_000 + 2 + 2
     assert sorted(r["part"] for r in rows if r["doc_id"] == 4) == list(range(30))
