@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from concordat.llm.subwords import chunks, features, parts, split_words
 
 BUCKETS = 1 << 18
 #: Labelled rows of each class that training may see.
-SAMPLE = 1500
+SAMPLE = 1000
 DIM, STEPS, RATE, SEED = 8, 15_000, 1.0, 7
 #: Share of the average that the two vectors for repetition take, and how many there are of either.
 SHAPE_SHARE, SHAPES = 0.2, 16
@@ -80,14 +81,11 @@ def counted(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(F.col("y").cast("int"), text).mapInArrow(count, "y int, buckets array<int>, shares array<float>")
 
 
-def train(rows: pa.Table) -> tuple[np.ndarray, float]:
-    """(logit of class 1 that each bucket adds to the average, bias)."""
+def train(ys: np.ndarray, edges: np.ndarray, flat: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(logit of class 1 that each bucket adds to the average, bias) from each text's class and its buckets and shares, from edge to edge."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    ys = np.asarray(rows.column("y"))
-    buckets, shares = (rows.column(c).combine_chunks() for c in ("buckets", "shares"))
-    edges, flat, parts = np.asarray(buckets.offsets), np.asarray(buckets.flatten()), np.asarray(shares.flatten())
     epochs = -(-STEPS // max(len(ys), 1))
     steps, done = epochs * len(ys), 0
     for _ in range(epochs if len(ys) else 0):
@@ -115,8 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
     texts = sampled_texts(docs, sample, key, text)  # of at most 2 * SAMPLE rows
     rows = counted(texts, "text").orderBy("y", F.xxhash64("buckets", "shares")).toArrow()
-    logits, bias = train(rows)
-    seen = np.bincount(np.asarray(rows.column("y")), minlength=2)
+    ys = rows.column("y").to_numpy()
+    sizes = pc.list_value_length(rows.column("buckets")).to_numpy()
+    flat, parts = (np.concatenate([np.zeros(0, kind), *(np.asarray(chunk.flatten()) for chunk in rows.column(c).chunks)]) for c, kind in (("buckets", np.int32), ("shares", np.float32)))
+    del rows  # the driver holds the sample once
+    logits, bias = train(ys, np.r_[0, np.cumsum(sizes)].astype(np.int64), flat, parts)
+    seen = np.bincount(ys, minlength=2)
     true = labels.where(usable).agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b")).first()
     if seen.all():
         bias += float(np.log(true["b"] / true["a"]) - np.log(seen[1] / seen[0]))

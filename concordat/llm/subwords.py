@@ -70,4 +70,4 @@ def features(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
             fits = np.flatnonzero((left >= n) & real)
             owners.append(owner[fits])
             found.append((hashed[fits] * _MIX) >> shift)
-    return np.concatenate(owners), np.concatenate(found).astype(np.int64)
+    return np.concatenate([x.astype(np.int32) for x in owners]), np.concatenate([x.astype(np.int32) for x in found])

@@ -130,7 +130,7 @@ def train(rows: pa.Table, toxic: list[str]) -> tuple[np.ndarray, float, np.ndarr
     owner, bucket = features(words, BUCKETS)
     split = words_of(owner)
     number = np.maximum(np.bincount(owner[split:], minlength=len(words)), 1)
-    size = np.r_[np.ones(split), 1 / number[owner[split:]]]  # what a bucket's weight adds to its word
+    size = np.r_[np.ones(split), 1 / number[owner[split:]]].astype(np.float32)  # what a bucket's weight adds to its word
     inner = np.setdiff1d(np.arange(1, len(codes)), edges)  # tokens with one before them in their sentence
     weights, bias, move = np.zeros(BUCKETS), -3.0, np.zeros((2, 2))
     seen = [np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
