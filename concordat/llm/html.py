@@ -6,13 +6,14 @@ named regions that hold the page's main article.  Where a page marks its article
 text that is no template.  For each host one page is the pattern: of those with the most leaves that half of the host's distinct
 pages have, by path and text, the shortest.  Simple tree matching aligns all pages of the host with it.  A leaf of the pattern
 is template if nearly all distinct pages that have a leaf in its place, and half of the pages that have any, have the same text there;
-every other leaf is content.
+every other leaf is content, and so is every leaf within a marked article.
 
 The pattern of a host goes to its pages by a broadcast if all patterns together are under ``BROADCAST_BYTES``,
 and else by a join that Spark may split where one host holds very many pages.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; markup that
-is never closed is read to the end; repeated rows get equal texts.
+is never closed is read to the end; repeated rows get equal texts; other columns are kept, but for one of the text's name, which
+the text replaces; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -203,8 +204,8 @@ def parse_whole(page: str) -> Node:
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif not stack[-1][2]:
-                words.append(" ")
+            elif tag == "br" and not stack[-1][2]:
+                words.append(" ")  # other empty elements, such as img or wbr, part no word
             continue
         if tag in ("td", "th"):
             words.append(" ")
@@ -371,7 +372,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str =
                 if slots.as_py():
                     model = parse_whole(pattern.as_py())
                     wanted = {id(x) for k, x in enumerate(leaves(model)) if k in set(slots.as_py())}
-                    drop = {id(y) for x, y in align(model, tree)[1] if id(x) in wanted and x.text == y.text}
+                    own = {id(x) for part in articles(tree) for x in leaves(part)}
+                    drop = {id(y) for x, y in align(model, tree)[1] if id(x) in wanted and x.text == y.text and id(y) not in own}
                 texts.append("\n\n".join(x.text for part in chosen(tree, drop) for x in leaves(part) if id(x) not in drop))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], schema.names)
 

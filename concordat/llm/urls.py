@@ -6,8 +6,9 @@ distributed connected components over those edges pass a block on to every alias
 explicit allow takes precedence for the page it fits.  All of it is DataFrame expressions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; null
-html has no edges; an edge's target need not be a page of the table (it is judged by the rules all the same); the
-scheme and the fragment do not tell urls apart; repeated rows give repeated results.
+html has no edges; every canonical link (one word of ``rel``) and every refresh of a page counts; an edge's target need not be a page of the table (it is judged by the rules all the same); the
+scheme and the fragment do not tell urls apart; repeated rows give repeated results; other columns are kept, but for those of the
+results' names, which the results replace; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,10 +38,19 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HREF = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)"""
+# a tag to its end, whatever its attribute values hold
+_REST = r"""\b(?:"[^"]*"|'[^']*'|[^'">])*>"""
+_UNREAD = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\b[^>]*>|$)"
+
+
+def tags_of(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(f"(?is)<{name}{_REST}"), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The attribute's value without its quotes; empty if the tag has none."""
+    value = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.replace(F.regexp_extract(value, r"""(?s)^["']?(.*?)["']?$""", 1), F.lit("&amp;"), F.lit("&"))
 
 
 def host_of(url: Column) -> Column:
@@ -80,7 +90,7 @@ def decided(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def resolved(target: Column, base: Column) -> Column:
     """target as an absolute url, read on the page base."""
-    target = F.replace(F.btrim(target, F.lit("\"' \t\r\n")), F.lit("&amp;"), F.lit("&"))
+    target = F.btrim(target, F.lit(" \t\r\n"))
     scheme = F.regexp_extract(base, r"(?s)^(.*?://)", 1)
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
@@ -96,15 +106,17 @@ def resolved(target: Column, base: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes of a page and of what its canonical link or redirect names."""
-    canonical = F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1)
-    named = (
-        pages.where(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("http-equiv")))
-        .select(F.col(url).alias("base"), F.explode(F.array(canonical, refresh)).alias("target"))
-        .where("target != ''")
-    )
-    return named.select(node_of(F.col("base")).alias("a"), node_of(resolved(F.col("target"), F.col("base"))).alias("b"))
+    """(a, b): nodes of a page and of what each of its canonical links and redirects names, read on the page's base; comments and scripts do not count."""
+    lower = F.lower(html)
+    named = pages.where(F.contains(lower, F.lit("canonical")) | F.contains(lower, F.lit("refresh")))
+    read = named.select(F.col(url).alias("url"), F.regexp_replace(html, _UNREAD, "").alias("html"))
+    base = F.coalesce(F.get(F.filter(F.transform(tags_of(F.col("html"), "base"), lambda t: attribute(t, "href")), lambda h: h != ""), F.lit(0)), F.lit(""))
+    links = F.filter(tags_of(F.col("html"), "link"), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(tags_of(F.col("html"), "meta"), lambda t: F.lower(F.btrim(attribute(t, "http-equiv"))) == "refresh")
+    after = lambda t: F.regexp_extract(attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)""", 1)
+    targets = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, after))
+    found = read.select("url", resolved(base, F.col("url")).alias("base"), F.explode(targets).alias("target")).where("target != ''")
+    return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("target"), F.col("base"))).alias("b"))
 
 
 def judge(
@@ -146,16 +158,15 @@ def op3(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 with recursive
 p as (
-  select page_id,
+  select page_id, url,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path,
     coalesce(regexp_extract(url, '^.*?://[^?#]*(\\?[^#]*)', 1, 's'), '') as query,
-    coalesce(regexp_extract(regexp_extract(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'si'),
-      '\\bhref\\s*=\\s*["'']?[^"''>\\s]*?://([^"''>\\s#]+)', 1, 'si'), '') as target
+    regexp_replace(html, '<!--.*?(?:-->|$)|<script\\b.*?(?:</script\\b[^>]*>|$)', '', 'gsi') as html
   from pages
 ),
 ruled as (
-  select *, host || case when path = '' then '/' else path end || query as node,
+  select *, case when url like '%://%' then host || case when path = '' then '/' else path end || query end as node,
     case
       when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
       when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
@@ -165,7 +176,47 @@ ruled as (
     end as rule
   from p
 ),
-edges as (select distinct node as a, target as b from ruled where target != '' and target != node),
+tags as (
+  select node, url, html, 'link' as kind, unnest(regexp_extract_all(html, '<link\\b(?:"[^"]*"|''[^'']*''|[^''">])*>', 0, 'si')) as tag from ruled
+  union all
+  select node, url, html, 'meta', unnest(regexp_extract_all(html, '<meta\\b(?:"[^"]*"|''[^'']*''|[^''">])*>', 0, 'si')) from ruled
+),
+valued as (
+  select node, url, kind,
+    trim(regexp_extract(regexp_extract(tag, '[\\s"''/]rel\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1, 'si'), '^["'']?(.*?)["'']?$', 1, 's')) as rel,
+    trim(regexp_extract(regexp_extract(tag, '[\\s"''/]href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1, 'si'), '^["'']?(.*?)["'']?$', 1, 's')) as href,
+    trim(regexp_extract(regexp_extract(tag, '[\\s"''/]http-equiv\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1, 'si'), '^["'']?(.*?)["'']?$', 1, 's')) as equiv,
+    regexp_extract(regexp_extract(regexp_extract(tag, '[\\s"''/]content\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1, 'si'), '^["'']?(.*?)["'']?$', 1, 's'),
+      '\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1, 'si') as after,
+    trim(regexp_extract(regexp_extract(regexp_extract(html, '<base\\b(?:"[^"]*"|''[^'']*''|[^''">])*>', 0, 'si'),
+      '[\\s"''/]href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1, 'si'), '^["'']?(.*?)["'']?$', 1, 's')) as based
+  from tags
+),
+named as (
+  select node, case when based like '%://%' then based else url end as base, replace(case kind when 'link' then href else after end, '&amp;', '&') as target
+  from valued where kind = 'link' and list_contains(regexp_split_to_array(lower(rel), '\\s+'), 'canonical') or kind = 'meta' and lower(equiv) = 'refresh'
+),
+absolute as (
+  select node, case
+      when target like '%://%' then target
+      when starts_with(target, '//') then regexp_extract(base, '^(.*?:)//', 1, 's') || target
+      when starts_with(target, '#') then base
+      when starts_with(target, '/') then regexp_extract(base, '^(.*?://[^/?#]*)', 1, 's') || target
+      when starts_with(target, '?') then regexp_extract(base, '^([^?#]*)', 1, 's') || target
+      when regexp_extract(base, '^([^?#]*)', 1, 's') = regexp_extract(base, '^(.*?://[^/?#]*)', 1, 's') then regexp_extract(base, '^([^?#]*)', 1, 's') || '/' || target
+      else regexp_extract(regexp_extract(base, '^([^?#]*)', 1, 's'), '^(.*/)', 1, 's') || target
+    end as target
+  from named where target != ''
+),
+parted as (
+  select node, translate(regexp_extract(target, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(target, '^.*?://[^/?#]*([^?#]*)', 1, 's') as path, regexp_extract(target, '^.*?://[^?#]*(\\?[^#]*)', 1, 's') as query
+  from absolute where target like '%://%'
+),
+edges as (
+  select distinct node as a, host || case when path = '' then '/' else path end || query as b from parted
+  where node != host || case when path = '' then '/' else path end || query
+),
 both_ways as (select a, b from edges union select b, a from edges),
 bad(node) as (
   select r.node from ruled r join both_ways e on e.a = r.node where r.rule in ('example.org/es/', 'example.org/en/1', 'com/de/')
@@ -174,7 +225,7 @@ bad(node) as (
 )
 select page_id, host, path, rule,
   case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
-    when node in (select node from bad) then 'block' else 'allow' end as verdict,
-  rule is null and node in (select node from bad) as inherited
+    when coalesce(node in (select node from bad), false) then 'block' else 'allow' end as verdict,
+  rule is null and coalesce(node in (select node from bad), false) as inherited
 from ruled
 """

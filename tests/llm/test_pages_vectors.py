@@ -39,6 +39,41 @@ def test_aliases_inherit_blocks(spark):
     assert {r["page_id"] for r in urls.judge(pages(spark, rows), more_edges=log).where("inherited").collect()} == {1, 2, 3, 4, 6}
 
 
+def test_every_alias_tag_counts(spark):
+    bad = "http://bad.com/de/1"
+    heads = {
+        1: f'<link rel="alternate canonical" href="{bad}">', 2: f'<link rel=canonical href=/none><link href={bad} rel=canonical>',
+        3: f'<meta http-equiv=refresh content="9"><meta content="0; URL=\'{bad}\'" http-equiv="refresh">', 4: '<base href="http://bad.com/de/"><link rel="canonical" href="1">',
+        5: f'<!-- <link rel="canonical" href="{bad}"> -->', 6: f'<script>"<link rel=canonical href={bad}>"</script>', 7: f'<link rel="notcanonical" href="{bad}">',
+        8: '<link rel="canonical" href="http://bad.com/de/1?a=1&amp;b=2">', 9: f'<link data-rel="canonical" href="{bad}">', 10: f'<link title="a > b" rel="canonical" href="{bad}">',
+    }
+    rows = [(k, f"http://a.net/{k}", h) for k, h in heads.items()]
+    assert {r["page_id"] for r in urls.judge(pages(spark, rows)).where("inherited").collect()} == {1, 2, 3, 4, 8, 10}
+
+
+def test_article_text_that_recurs_on_a_host_stays(spark):
+    for n in (4, 8):
+        rows = [(k, f"http://h.net/{k}", f"<div>Site name</div><article><p>Own {k} text.</p><p>House style line.</p></article><div>Contact us</div>") for k in range(n)]
+        found = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+        assert found == {k: f"Own {k} text.\n\nHouse style line." for k in range(n)}
+
+
+def test_empty_elements_part_no_word():
+    assert text_of("<article><p>super<wbr>cali<img src=x>fragile<br>two</p></article>") == "supercalifragile two"
+
+
+def test_nearest_of_wide_vectors_without_structure(spark):
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(3000, 96))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "vec_id long, v array<double>")
+    found = ann.nearest(table, F.col("vec_id") % 300 == 0, "vec_id", "v", 10).groupBy("query_id").agg(F.collect_set("vec_id").alias("v")).collect()
+    hit = 0
+    for r in found:
+        order = np.argsort(((values - values[r["query_id"]]) ** 2).sum(1), kind="stable")
+        hit += len(set(order[1:11].tolist()) & set(r["v"]))
+    assert len(found) == 10 and hit >= 95
+
+
 def text_of(page):
     return "\n\n".join(x.text for x in html.leaves(html.parse(page)))
 
