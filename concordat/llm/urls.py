@@ -218,8 +218,13 @@ edges as (
   where node != host || case when path = '' then '/' else path end || query
 ),
 both_ways as (select a, b from edges union select b, a from edges),
+nodes as (
+  select distinct a as node, regexp_extract(a, '^([^/?]*)', 1) as host, regexp_extract(a, '^[^/?]*([^?]*)', 1, 's') as path from both_ways
+),
 bad(node) as (
-  select r.node from ruled r join both_ways e on e.a = r.node where r.rule in ('example.org/es/', 'example.org/en/1', 'com/de/')
+  select node from nodes where
+    (host = 'example.org' or host like '%.example.org') and (starts_with(path, '/en/1') or starts_with(path, '/es/'))
+    or (host = 'com' or host like '%.com') and starts_with(path, '/de/')
   union
   select e.b from bad join both_ways e on e.a = bad.node
 )
