@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.normalize import differs, displayed, normalized
-from concordat.sources.jsonfields import column, selected
+from concordat.sources.jsonfields import column, selected, undiscovered
 from concordat.spec import ReconError, ReconSpec
 
 DIFFERENCES = "array<struct<column_a:string,column_b:string,value_a:string,value_b:string>>"
@@ -165,6 +165,10 @@ def reconcile(df_a: DataFrame, df_b: DataFrame, spec: ReconSpec) -> Reconciliati
     spec.validate()
     a = prepared(df_a, spec.keys_a, spec.values_a, spec, spec.order_a)
     b = prepared(df_b, spec.keys_b, spec.values_b, spec, spec.order_b)
+    if spec.check_fields:
+        for side, df, chosen in (("File A", df_a, (*spec.keys_a, *spec.values_a)), ("File B", df_b, (*spec.keys_b, *spec.values_b))):
+            if missing := undiscovered(df, chosen):
+                raise ReconError(f"{side}: no cell holds the fields {', '.join(missing)}")
     if spec.flexible:
         from concordat.operators.flexible import matched_groups
 

@@ -16,11 +16,33 @@ from concordat.spec import ReconError
 _BAD = "_corrupt_row"
 
 
-def _head(spark: SparkSession, path: str, size: int = 1 << 16) -> bytes:
-    """The first bytes of the first file, read by Spark."""
-    start = F.substring("content", 1, size)
-    row = spark.read.format("binaryFile").load(path).where("length > 0").orderBy("path").select(start.alias("head")).first()
-    return bytes(row["head"]) if row else b""
+def _first_file(spark: SparkSession, path: str) -> str | None:
+    """The first file that is not empty; contents are not read."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    return files.agg(F.min("path")).first()[0]
+
+
+def _first_lines(spark: SparkSession, file: str, count: int) -> list[bytes]:
+    lines = spark.read.option("lineSep", "\n").text(file).select(F.col("value").cast("binary").alias("line"))
+    return [bytes(r["line"]) for r in lines.take(count)]
+
+
+def _header(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> tuple[list[str], str, str]:
+    """(names, delimiter, encoding) by the first record of the first file; of the files no more than its lines is read here."""
+    if not (file := _first_file(spark, path)):
+        return [], sep or ",", encoding or "UTF-8"
+    count = 1
+    while True:
+        lines = _first_lines(spark, file, count)
+        kind = encoding or encoding_of(lines[0])
+        more = len(lines) == count
+        end = (b"\n\0" if kind == "UTF-16LE" else b"\n") if more else b""
+        head = (b"\n".join(lines) + end).decode(kind, "ignore").lstrip("\ufeff")
+        mark = sep or delimiter_of(head)
+        names, whole = header_of(head, mark)
+        if whole or not more:
+            return names, mark, kind
+        count *= 4
 
 
 def encoding_of(head: bytes) -> str:
@@ -36,9 +58,9 @@ def delimiter_of(head: str) -> str:
     return ";" if plain.count(";") > plain.count(",") else ","
 
 
-def header_of(head: str, sep: str) -> list[str]:
-    """The first record's fields, quotes undone."""
-    fields, field, quoted, i = [], "", False, 0
+def header_of(head: str, sep: str) -> tuple[list[str], bool]:
+    """(the first record's fields, quotes undone; whether the record ends with a line)."""
+    fields, field, quoted, whole, i = [], "", False, False, 0
     head = head.lstrip("\r\n")
     while i < len(head):
         c = head[i]
@@ -55,11 +77,12 @@ def header_of(head: str, sep: str) -> list[str]:
             fields.append(field)
             field = ""
         elif c in "\r\n":
+            whole = True
             break
         else:
             field += c
         i += 1
-    return [*fields, field] if fields or field else []
+    return ([*fields, field] if fields or field else []), whole
 
 
 def check_headers(names: list[str]) -> None:
@@ -75,8 +98,9 @@ def read_side(
 ) -> DataFrame:
     """A table of text columns, empty cells as empty text.
 
-    A row of another width than the header fails when strict (the file is scanned once for that); else such rows are
-    left out, and ``malformed_rows`` lists them.  multiline=False lets Spark split large files, for files without line breaks inside quotes.
+    A row of another width than the header fails when strict (the files are scanned once for that), and is told by its
+    place in its file, the header being row 1; else such rows are left out, and ``malformed_rows`` lists them.
+    Set multiline=False for large files without line breaks inside quotes: only then does Spark split a file among tasks.
     """
     return _scan(spark, path, sep, encoding, strict, multiline, bad=False)
 
@@ -87,11 +111,7 @@ def malformed_rows(spark: SparkSession, path: str, sep: str | None = None, encod
 
 
 def _scan(spark: SparkSession, path: str, sep: str | None, encoding: str | None, strict: bool, multiline: bool, bad: bool) -> DataFrame:
-    head = _head(spark, path)
-    kind = encoding or encoding_of(head)
-    start = head.decode(kind, "ignore").lstrip("﻿")
-    sep = sep or delimiter_of(start)
-    names = header_of(start, sep)
+    names, sep, kind = _header(spark, path, sep, encoding)
     check_headers(names)
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField(_BAD, T.StringType())])
     options = {
@@ -104,13 +124,23 @@ def _scan(spark: SparkSession, path: str, sep: str | None, encoding: str | None,
     wrong_rows = rows.where(F.col(_BAD).isNotNull() & every)
     if bad:
         return wrong_rows.select(F.col(_BAD).alias("row"))
-    if strict and (wrong := wrong_rows.limit(3).collect()):
-        shown = "; ".join(repr(r[_BAD]) for r in wrong)
-        count = len(header_of(wrong[0][_BAD], sep))
-        raise ReconError(f"rows of another width: {shown} has {count} columns, expected {len(names)} columns")
+    if strict and (found := _first_wrong(rows, every)):
+        number, row = found
+        raise ReconError(f"Row {number} has {len(header_of(row, sep)[0])} columns, expected {len(names)} columns: {row!r}")
     return rows.where(F.col(_BAD).isNull() & every).select(*(text(column(rows, n)).alias(n) for n in names))
 
 
+def _first_wrong(rows: DataFrame, every: Column) -> tuple[int, str] | None:
+    """(place in its file, record) of a row of another width, the first of its file; places are counted only if there is one."""
+    placed = rows.select(_BAD, every.alias("_read"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    wrong = placed.where(F.col(_BAD).isNotNull() & F.col("_read"))
+    if wrong.isEmpty():
+        return None
+    first = wrong.agg(F.min(F.struct("_file", "_id", _BAD)).alias("x")).first()["x"]
+    before = placed.where(F.col("_read") & (F.col("_file") == first["_file"]) & (F.col("_id") <= first["_id"])).count()
+    return before + 1, first[_BAD]
+
+
 def date_like(value: Column) -> Column:
     """Eight to ten bytes in three whole-number parts between dashes, or else slashes."""
     cell = F.btrim(value)

@@ -61,6 +61,20 @@ def selected(df: DataFrame, names: Sequence[str], what: str = "column") -> list[
     return out
 
 
+def undiscovered(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The labels of JSON fields that no cell holds; a search stops at the first cell that does."""
+    missing = []
+    for name in names:
+        header, path = resolve(df.columns, name) or (name, None)
+        if path is None:
+            continue
+        cell = text(column(df, header))
+        objects = df.where(cell.rlike(r"^\s*\{")).select(F.explode(json_paths(cell)).alias("path"))
+        if objects.where(F.col("path") == F.array(*map(F.lit, path))).isEmpty():
+            missing.append(name)
+    return missing
+
+
 def discover(df: DataFrame) -> DataFrame:
     """(label): every JSON field of the table's cells, sorted."""
     strings = [c for c, kind in df.dtypes if kind == "string"]

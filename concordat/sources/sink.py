@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,23 @@ def export_csv(results: DataFrame, spec: ReconSpec, path: str, single_file: bool
     rows.write.options(**options).csv(path)
 
 
+def save_selection(spark: SparkSession, spec: ReconSpec, columns_a: Sequence[str], columns_b: Sequence[str], folder: str) -> None:
+    """A request for later tables of the same columns, as one JSON text under folder."""
+    text = json.dumps({"version": VERSION, "spec": spec.to_dict(), "columns_a": list(columns_a), "columns_b": list(columns_b)})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+
+
+def load_selection(spark: SparkSession, folder: str, columns_a: Sequence[str], columns_b: Sequence[str]) -> ReconSpec:
+    """The saved request; refused for tables whose columns, in any order, are not those that it was saved with."""
+    saved = json.loads("".join(r["value"] for r in spark.read.text(folder).collect()))
+    if saved.get("version") != VERSION:
+        raise ReconError(f"unsupported version of a saved selection: {saved.get('version')}")
+    spec = ReconSpec.from_dict(saved["spec"])
+    spec.validate()
+    spec.check(columns_a, columns_b, saved["columns_a"], saved["columns_b"])
+    return spec
+
+
 def save_run(run: Reconciliation, folder: str) -> None:
     """results/, summary/, columns_a/, columns_b/ and spec/ under folder."""
     spark = run.results.sparkSession

@@ -75,6 +75,8 @@ class ReconSpec:
     order_b: tuple[str, ...] = ()
     #: Structural equality of JSON cells; off, the plan has no Python at all.
     json_equality: bool = True
+    #: Whether a chosen JSON field must occur in some cell; off, no cell is looked at before the results are.
+    check_fields: bool = True
     #: Key pairs and kept candidates that flexible matching may have; None: any number.
     max_comparisons: int | None = None
     max_candidates: int | None = None

@@ -1,4 +1,5 @@
 import tempfile
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -9,8 +10,8 @@ from concordat.operators import results as views
 from concordat.operators.compare import reconcile
 from concordat.sources.delimited import describe_side, infer_types, malformed_rows, read_side
 from concordat.sources.jsonfields import discover, resolve, split_path
-from concordat.sources.sink import export_csv, load_run, save_run
-from concordat.spec import ReconError, ReconSpec
+from concordat.sources.sink import export_csv, load_run, load_selection, save_run, save_selection
+from concordat.spec import Pair, ReconError, ReconSpec
 
 
 def write(content: bytes) -> str:
@@ -30,8 +31,8 @@ def test_scans(spark):
     assert found.columns == ["a;b;c", "x, y"] and rows(found) == [(" 1 ", 'say "hi"\nthere')]
     assert rows(read_side(spark, write("﻿id,v\n1,é\n".encode()))) == [("1", "é")]
     assert rows(read_side(spark, write("﻿id;v\n1;é\n".encode("utf-16-le")))) == [("1", "é")]
-    with pytest.raises(ReconError, match="2 columns, expected 3 columns"):
-        read_side(spark, write(b"a,b,c\n1,2,3\n1,2\n"))
+    with pytest.raises(ReconError, match="Row 3 has 2 columns, expected 3 columns"):
+        read_side(spark, write(b"a,b,c\n1,2,3\n1,2\n4\n"))
     short = write(b"a,b,c\n1,2,3\n1,2\n")
     assert rows(read_side(spark, short, strict=False)) == [("1", "2", "3")] and rows(malformed_rows(spark, short)) == [("1,2",)]
     with pytest.raises(ReconError, match="Duplicate CSV headers are not supported: name"):
@@ -40,6 +41,25 @@ def test_scans(spark):
         read_side(spark, write(b""))
 
 
+def test_headers_of_any_length(spark):
+    names = [f"a rather long name of column {i}" for i in range(2_200)]
+    assert len(",".join(names)) > 1 << 16
+    assert read_side(spark, write(",".join(names).encode() + b"\n"), strict=False).columns == names
+    broken = "\n\n" + '"a\n\nb\nc\nd";"x ""y""";z\n1;2;3\n'
+    for text in (broken.encode(), "\ufeff".encode() + broken.encode(), broken.encode()[:-1]):
+        found = read_side(spark, write(text), sep=";")
+        assert found.columns == ["a\n\nb\nc\nd", 'x "y"', "z"] and rows(found) == [("1", "2", "3")]
+    for kind in ("utf-16-le", "utf-16-be"):
+        found = read_side(spark, write("\ufeff\u0a0a,\u010a\n\u0a0d,é\n".encode(kind)))
+        assert found.columns == ["\u0a0a", "\u010a"] and rows(found) == [("\u0a0d", "é")]
+    folder = tempfile.mkdtemp(prefix="concordat-test-")
+    for name, text in (("0", b""), ("1", b"id,v\n1,x\n"), ("2", b"id,v\n2,y\n3,z,\n")):
+        Path(f"{folder}/{name}.csv").write_bytes(text)
+    assert sorted(rows(read_side(spark, folder, strict=False))) == [("1", "x"), ("2", "y")]
+    with pytest.raises(ReconError, match="Row 3 has 3 columns, expected 2 columns"):
+        read_side(spark, folder, multiline=False)
+
+
 def test_types(spark):
     cells = [("1", "1.5", "2026-01-02", "x", ""), ("2", "2", "1/2/2026", "1", ""), ("-3", "1e3", "02/03/2026", "2", ""), ("+4", "inf", "2026-1-1", "3", ""), ("5", "7", "-", "4", "")]
     assert [r["data_type"] for r in infer_types(table(spark, "i f d s e", cells).drop("_n")).orderBy("index").collect()] == ["integer", "float", "date", "integer", "string"]
@@ -58,6 +78,19 @@ def test_json_fields(spark):
     b = table(spark, "id j", [("1", '{"o":{"a":[2],"b":1},"k":"42","f":1.0,"t":true}'), ("2", '{"k":null}')])
     spec = ReconSpec(("id",), ("id",), ("j.k", "j.f", "j.t", "j.o"), ("j.k", "j.f", "j.t", "j.o"), order_a=("_n",), order_b=("_n",))
     assert [t for t, _ in outcome(a, b, spec)] == ["match", "match"]
+    unknown = ReconSpec(("id",), ("id",), ("j.k", "j.nope"), ("j.k", "j.nope"), order_a=("_n",), order_b=("_n",))
+    with pytest.raises(ReconError, match="File A: no cell holds the fields j.nope"):
+        outcome(a, b, unknown)
+    assert [t for t, _ in outcome(a, b, replace(unknown, check_fields=False))] == ["match", "match"]
+
+
+def test_saved_selection(spark):
+    spec = ReconSpec(("id",), ("ident",), ("v",), ("w",), (Pair("v", "w", "fuzzy", 0.9),))
+    folder = f"{tempfile.mkdtemp(prefix='concordat-test-')}/selection"
+    save_selection(spark, spec, ["id", "v"], ["ident", "w"], folder)
+    assert load_selection(spark, folder, ["v", "id"], ["w", "ident"]) == spec
+    with pytest.raises(ReconError, match="missing: v; unexpected: u"):
+        load_selection(spark, folder, ["u", "id"], ["w", "ident"])
 
 
 def sample(spark):
