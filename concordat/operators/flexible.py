@@ -19,6 +19,8 @@ from concordat.spec import ReconError, ReconSpec
 
 #: Parts into which keys are dealt that patterns without a first character meet.
 SALTS = 32
+#: Candidates that a task takes on average when it chooses among those of its components.
+EDGES = 20_000
 #: Lengths of the prefixes that keys with patterns meet on.
 PREFIXES = (1, 2, 4, 8, 16)
 
@@ -144,7 +146,6 @@ def assign(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     for e, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
         if done_l[x] or done_r[y]:
             continue
-        saved = (to[:], back[:])
         mate_y, mate_x = to[x], back[y]
         keep = mate_y == y
         if not keep:
@@ -159,8 +160,12 @@ def assign(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             to[x], back[y] = y, x
             done_l[x] = done_r[y] = True
             chosen.append(e)
-        else:
-            to, back = saved
+        else:  # no path was found, so that only the freed ends have changed
+            to[x], back[y] = mate_y, mate_x
+            if mate_x >= 0:
+                to[mate_x] = y
+            if mate_y >= 0:
+                back[mate_y] = x
             done_l[x] = done_r[y] = False
     return np.array(chosen, np.int64)
 
@@ -183,11 +188,15 @@ def assigned(pairs: DataFrame) -> DataFrame:
     )
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        left, right = pd.factorize(rows["x"])[0], pd.factorize(rows["y"])[0]
-        return rows[["component", "turn"]].iloc[assign(left, right)]
-
-    chosen = numbered.select("component", "turn", "x", "y").groupBy("component").applyInPandas(choose, "component long, turn int")
+        rows = rows.sort_values(["component", "turn"])
+        component, x, y = (rows[c].to_numpy() for c in ("component", "x", "y"))
+        edges = np.flatnonzero(np.r_[True, component[1:] != component[:-1], True])
+        kept = [lo + assign(pd.factorize(x[lo:hi])[0], pd.factorize(y[lo:hi])[0]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return rows[["component", "turn"]].iloc[np.concatenate(kept)]
+
+    # small components share a task
+    batch = F.pmod("component", F.lit(1 + pairs.count() // EDGES)).alias("batch")
+    chosen = numbered.select("component", "turn", "x", "y").groupBy(batch).applyInPandas(choose, "component long, turn int")
     return counted.where(alone).select(pairs.columns).union(numbered.join(chosen, ["component", "turn"], "left_semi").select(pairs.columns))
 
 

@@ -241,10 +241,18 @@ def flex_tokens(spark, sf):
     return reconcile(*sides, flex_spec()).results.select("result_type", F.array_join("key", "|").alias("key"))
 
 
+# Side A has three patterns for every part, each of which fits fewer keys than the one before, and side B a key for each, but for some that are lost.
+PATTERNS, FITTING = ("-**", "-A**", "-AB**"), ("-ABC", "-AX", "-Y")
+
+
 def flex_assignment(spark, sf):
-    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("k"), F.col("p_brand").alias("o_orderstatus"))
-    other = parts.withColumn("k", F.concat(F.split("k", " ")[0], F.lit(" "), F.lower("o_orderstatus")))
-    return reconcile(parts, other, flex_spec()).results.select("result_type", F.array_join("key", "|").alias("key"))
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("o_orderstatus"))
+
+    def side(ends: tuple[str, ...]) -> DataFrame:
+        each = parts.select("part", "o_orderstatus", F.posexplode(F.array(*map(F.lit, ends))).alias("j", "end"))
+        return each.withColumn("n", 3 * F.col("part") + F.col("j")).withColumn("k", F.concat(F.lpad(F.col("part").cast("string"), 15, "0"), "end"))
+
+    return reconcile(side(PATTERNS), side(FITTING).where("(part + j) % 5 != 0"), flex_spec()).results.select("result_type", F.array_join("key", "|").alias("key"))
 
 
 QUERIES = {
@@ -341,4 +349,6 @@ ORACLE_SQL = {
         union all select 'missing_right', cast(o_orderkey as varchar) || case when o_orderkey % 50 = 0 then '-**' else '-X' end from orders where o_orderkey % 17 = 0""",
     "flex_tokens": """select case when o_orderkey % 17 <> 0 then 'match' else 'missing_right' end as result_type,
         'ORDER-' || cast(o_orderkey as varchar) || ' ACME' || cast(o_orderkey as varchar) || ' INV' as key from orders""",
+    "flex_assignment": """select case when (p_partkey % 5 = 3 and j = 0) or (p_partkey % 5 = 4 and j = 1) or (p_partkey % 5 = 0 and j = 2) then 'missing_right' else 'match' end as result_type,
+        lpad(cast(p_partkey as varchar), 15, '0') || ends as key from part, (values (0, '-**'), (1, '-A**'), (2, '-AB**')) t(j, ends)""",
 }
