@@ -300,3 +300,15 @@ def test_lines_of_repeated_rows_and_overlapping_runs(spark):
     once = {r["doc_id"]: r["gone"] for r in lines.dedup_lines(docs(spark, rows), deleted="gone").collect()}
     twice = lines.dedup_lines(docs(spark, rows + rows[::2] + rows[::4]), deleted="gone").collect()
     assert len(twice) == 53 and all(r["gone"] == once[r["doc_id"]] for r in twice) and any(once.values())
+
+
+def test_parities_never_say_more_than_sets_differ():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 20, 140, 150, 3000)]
+    sets += [np.unique(np.r_[x[: len(x) * 9 // 10], rng.integers(0, 1 << 63, len(x) // 10).astype(np.uint64)]) for x in sets]
+    a, b = np.triu_indices(len(sets), 1)
+    least = similar.least_difference(np.array([similar.parity(x) for x in sets], object), a, b)
+    differ = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (least <= differ).all()
+    near = (a == 3) & (b == 9)
+    assert least[near] >= 0.8 * differ[near]
