@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import align, ann, bpe, html, lines, packing, quality, simhash, spans, topk, toxicity, urls
+from concordat.llm import align, ann, bpe, html, lines, packing, quality, runs, simhash, spans, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8,
         "op9_main_text": html.op9,
         "op10_packing": packing.op10,
+        "op11_periodic_runs": runs.op11,
         "op12_prefix_hashes": spans.op12,
         "op13_token_groups": align.op13,
     }
