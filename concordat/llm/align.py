@@ -44,7 +44,7 @@ RANGE_BYTES = 1 << 16
 #: Fragments that a task composes.
 FAN = 16
 #: Pairs that are broadcast with their counts; words that a task remembers; text, in bytes, that it takes at a time.
-FREQUENT, REMEMBERED, PART_BYTES = 1 << 20, 1 << 18, 1 << 21
+FREQUENT, REMEMBERED, PART_BYTES = 1 << 20, 1 << 17, 1 << 20
 #: Words that are encoded as one text.
 TOGETHER = 256
 #: Distinct pairs that a task counts before it passes them on.

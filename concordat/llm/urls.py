@@ -7,7 +7,8 @@ explicit allow takes precedence for the page it fits.  All of it is DataFrame ex
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; null
 html has no edges; every canonical link (one word of ``rel``) and every refresh of a page counts; an edge's target need not be a page of the table (it is judged by the rules all the same); the
-scheme and the fragment do not tell urls apart; repeated rows give repeated results; other columns are kept, but for those of the
+scheme and the fragment do not tell urls apart; links in scripts, styles, text fields, titles and templates do not count, nor do targets without a host (mailto); relative
+targets, dot segments and character references are read as a browser reads them; repeated rows give repeated results; other columns are kept, but for those of the
 results' names, which the results replace; an empty table gives an empty table.
 """
 
@@ -19,7 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import without
+from concordat.functions.normalize import let
+from concordat.llm.common import unused, without
 from concordat.operators.graph import components
 
 
@@ -38,19 +40,46 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a tag to its end, whatever its attribute values hold
-_REST = r"""\b(?:"[^"]*"|'[^']*'|[^'">])*>"""
-_UNREAD = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\b[^>]*>|$)"
+# a tag to its end, whatever its attribute values hold; possessive, so that a tag of any length takes no recursion
+_REST = r"""\b(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript|xmp|iframe)\b.*?(?:</\1\b[^>]*+>|\z)"
+# an attribute: name and value, so that what stands in one value is not taken for another
+_ATTRIBUTE = r"""(?s)[\s/"']([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+# Named character references that urls are written with.
+NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&sol;": "/", "&colon;": ":", "&quest;": "?", "&num;": "#", "&equals;": "=", "&period;": ".", "&amp;": "&"}
 
 
 def tags_of(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(f"(?is)<{name}{_REST}"), F.lit(0))
 
 
+def decoded(value: Column) -> Column:
+    """value with its numeric character references, those of NAMED last, as letters."""
+    number = F.regexp_extract_all(value, F.lit(r"&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));?"), F.lit(0))
+
+    def letter(reference: Column) -> Column:
+        by_16 = F.conv(F.regexp_extract(reference, "[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int")
+        code = F.coalesce(by_16, F.regexp_extract(reference, "^&#([0-9]+)", 1).try_cast("int"))
+        sixteen = lambda n: F.lpad(F.hex(n), 4, "0")
+        far = code - 0x10000
+        units = F.when(code < 0x10000, sixteen(code)).otherwise(F.concat(sixteen(F.shiftright(far, 10) + 0xD800), sixteen(far.bitwiseAND(F.lit(0x3FF)) + 0xDC00)))
+        fits = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(fits, F.decode(F.unhex(units), "UTF-16BE")).otherwise(reference)
+
+    out = F.when(F.contains(value, F.lit("&#")), F.aggregate(F.array_distinct(number), value, lambda v, r: F.replace(v, r, letter(r)))).otherwise(value)
+    for name, sign in NAMED.items():
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.when(F.contains(value, F.lit("&")), out).otherwise(value)
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """The attribute's value without its quotes; empty if the tag has none."""
-    value = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.replace(F.regexp_extract(value, r"""(?s)^["']?(.*?)["']?$""", 1), F.lit("&amp;"), F.lit("&"))
+    """The value of the tag's first attribute of that name, without its quotes; empty if it has none."""
+    # only a tag that names it is taken apart
+    tag = F.when(F.contains(F.lower(tag), F.lit(name)), tag)
+    pairs = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
+    own = F.get(F.filter(pairs, lambda p: p.rlike(rf"""(?is)^[\s/"']{name}(?:\s*=|$)""")), F.lit(0))
+    value = F.regexp_extract(own, r"""(?s)^[^=]*+=\s*+(.*+)$""", 1)
+    return F.coalesce(let(F.regexp_replace(value, r"""^["']|["']$""", ""), decoded), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
@@ -88,9 +117,29 @@ def decided(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.array_max(F.array(*found))
 
 
+def without_dots(url: Column) -> Column:
+    """url with ``.`` and ``..`` segments of its path carried out."""
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(segment == ".", done).when(segment == "..", up).otherwise(F.concat(done, F.array(segment)))
+
+    def carried_out(url: Column) -> Column:
+        site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+        path, rest = path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+        segments = F.aggregate(F.slice(F.split(path, "/"), 2, F.length(path) + 1), F.array(F.lit("")), step)
+        ends = F.when(path.rlike(r"(?s)/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(site, F.array_join(segments, "/"), ends, rest)
+
+    return let(url, lambda u: F.when(path_of(u).rlike(r"(?s)/\.\.?(?:/|$)"), carried_out(u)).otherwise(u))
+
+
 def resolved(target: Column, base: Column) -> Column:
-    """target as an absolute url, read on the page base."""
-    target = F.btrim(target, F.lit(" \t\r\n"))
+    """target as an absolute url, read on the page base; null if it is of a scheme that has no host, such as mailto."""
+    return without_dots(let(F.btrim(target, F.lit(" \t\r\n\f")), lambda t: let(base, lambda b: _absolute(t, b))))
+
+
+def _absolute(target: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"(?s)^(.*?://)", 1)
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
@@ -98,6 +147,7 @@ def resolved(target: Column, base: Column) -> Column:
     return (
         F.when((target == "") | target.startswith("#"), base)
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(target.startswith("//"), F.concat(F.rtrim(scheme, F.lit("/")), target))
         .when(target.startswith("/"), F.concat(site, target))
         .when(target.startswith("?"), F.concat(page, target))
@@ -113,10 +163,12 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     base = F.coalesce(F.get(F.filter(F.transform(tags_of(F.col("html"), "base"), lambda t: attribute(t, "href")), lambda h: h != ""), F.lit(0)), F.lit(""))
     links = F.filter(tags_of(F.col("html"), "link"), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
     metas = F.filter(tags_of(F.col("html"), "meta"), lambda t: F.lower(F.btrim(attribute(t, "http-equiv"))) == "refresh")
-    after = lambda t: F.regexp_extract(attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)""", 1)
+    # a number, a separator, and the target with or without ``url=`` and quotes
+    after = lambda t: F.regexp_extract(attribute(t, "content"), r"""(?is)^[\s\d.]*[\s;,]\s*(?:url\s*=\s*)?["']?([^"'>\s]+)""", 1)
     targets = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, after))
     found = read.select("url", resolved(base, F.col("url")).alias("base"), F.explode(targets).alias("target")).where("target != ''")
-    return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("target"), F.col("base"))).alias("b"))
+    absolute = resolved(F.col("target"), F.col("base"))
+    return found.select(node_of(F.col("url")).alias("a"), node_of(absolute).alias("b")).where("b is not null")
 
 
 def judge(
@@ -133,19 +185,19 @@ def judge(
     full = F.concat(F.lit("x://"), F.col("node"))
     marked = aliases.withColumn("blocks", F.coalesce(decided(host_of(full), path_of(full), rules)["verdict"] == "block", F.lit(False)))
     bad = marked.groupBy("component").agg(F.max("blocks").alias("bad")).where("bad")
-    blocked = marked.join(bad, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_bad"))
-
     kept = without(pages, "host", "path", "rule", "verdict", "inherited")
+    at, node, is_bad, own = (unused(pages, n) for n in ("at", "node", "bad", "own"))
+    blocked = marked.join(bad, "component", "left_semi").select(F.col("node").alias(node), F.lit(True).alias(is_bad))
     judged = pages.select(
-        *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("_at")
-    ).withColumn("_rule", decided(F.col("host"), F.col("path"), rules))
-    passed = F.col("_bad").isNotNull() & F.col("_rule").isNull()
-    return judged.join(blocked, F.col("_at") == F.col("_node"), "left").select(
+        *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias(at)
+    ).withColumn(own, decided(F.col("host"), F.col("path"), rules))
+    passed = F.col(is_bad).isNotNull() & F.col(own).isNull()
+    return judged.join(blocked, F.col(at) == F.col(node), "left").select(
         *kept,
         "host",
         "path",
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), F.when(passed, "block").otherwise("allow")).alias("verdict"),
+        F.col(f"{own}.rule").alias("rule"),
+        F.coalesce(F.col(f"{own}.verdict"), F.when(passed, "block").otherwise("allow")).alias("verdict"),
         passed.alias("inherited"),
     )
 

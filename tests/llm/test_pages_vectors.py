@@ -193,3 +193,28 @@ def test_a_single_word_does_not_leave_out_the_article(spark):
     menu = "<div>" + "A long menu that every page of the host has. " * 9 + "</div>"
     rows = [(i, f"http://h.net/{i}", f"<body>{menu}<article><p>Story {i}</p></article><div>by {i}</div></body>") for i in range(6)]
     assert {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()} == {i: f"Story {i}" for i in range(6)}
+
+
+def test_links_as_a_browser_reads_them(spark):
+    from concordat.llm import urls
+
+    heads = [
+        ('<link rel=canonical href="../en/1">', "http://a.com/en/1"),
+        ("<link rel='canonical' href=./y>", "http://a.com/x/y"),
+        ('<link rel="canonical" href="http://b.com/p&#x2F;q&#38;r&amp;s">', "http://b.com/p/q&r&s"),
+        ('<meta http-equiv="refresh" content="0; http://b.com/z">', "http://b.com/z"),
+        ('<meta http-equiv="refresh" content="0;url=\'/w\'">', "http://a.com/w"),
+        ('<link title="a href=http://no.com/" rel=canonical href=//c.com/k>', "http://c.com/k"),
+        ('<link rel=canonical href="mailto:me@b.com">', None),
+        ('<textarea><link rel=canonical href="http://no.com/"></textarea>', None),
+        ('<link rel="canonical" href="http://d.com/a/b/../../../c/./">', "http://d.com/c/"),
+        ("<link rel=canonical href=http://e.com/long " + "x " * 500_000 + ">", "http://e.com/long"),
+        ("<meta " + "'x' " * 250_000 + 'http-equiv=refresh content="1;http://e.com/m">', "http://e.com/m"),
+        ("<base " + "y" * 1_000_000 + ' href="http://f.com/k/"><link rel=canonical href=v>', "http://f.com/k/v"),
+    ]
+    rows = [(k, f"http://a.com/x/p{k}", head) for k, (head, _) in enumerate(heads)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)
+    found = {r["a"]: r["b"] for r in urls.alias_edges(pages).collect()}
+    assert found == {f"a.com/x/p{k}": target.split("://")[1] for k, (_, target) in enumerate(heads) if target}
+    clash = pages.selectExpr("page_id", "url", "html", "1 as _at", "2 as _node", "3 as _bad", "4 as _rule", "5 as at", "6 as own")
+    assert set(clash.columns) < set(urls.judge(clash).columns) and urls.judge(clash).where("_rule = 4 and own = 6").count() == len(heads)
