@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ANY, BOUNDARY = "**", ""  # tokens of a pattern that are no character
+WILD = "\ue000"  # stands for ANY in a key's text
 RANKS = {"exact": 4, "component_wildcard": 3, "boundary_wildcard": 2, "shared_anchored": 1, "shared_text": 0}
 
 
@@ -124,6 +125,33 @@ def pattern_kind(a: Sequence[str], b: Sequence[str]) -> str | None:
     return "boundary_wildcard" if True in meet(stream(tuple(a)), stream(tuple(b))) else None
 
 
+def quoted(text: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit("\\E" + r"\\E\Q")), F.lit(r"\E"))
+
+
+def expression(pieces: Column) -> Column:
+    """The regular expression of the literal pieces, two at least, around patterns: head, then each middle piece where it first fits, then the tail."""
+    middles = F.filter(F.slice(pieces, 2, F.size(pieces) - 2), lambda m: m != "")
+    found = F.array_join(F.transform(middles, lambda m: F.concat(F.lit("(?>.*?"), quoted(m), F.lit(")"))), "")
+    return F.concat(F.lit(r"(?s)\A"), quoted(F.get(pieces, 0)), found, F.lit(".*"), quoted(F.get(pieces, F.size(pieces) - 1)), F.lit(r"\z"))
+
+
+def literal_pieces(key: Column) -> Column:
+    """What stands around the patterns of the key's components, written one after the other."""
+    return F.split(F.array_join(F.transform(key, lambda c: F.replace(c, F.lit(ANY), F.lit(WILD))), ""), WILD, -1)
+
+
+def components_fit(pattern: Column, key: Column) -> Column:
+    """Whether each component of a key without patterns fits the pattern's component."""
+    one = lambda p, k: F.when(F.contains(p, F.lit(ANY)), F.regexp_like(k, expression(F.split(p, r"\*\*", -1)))).otherwise(p == k)
+    return (F.size(pattern) == F.size(key)) & F.forall(F.zip_with(pattern, key, one), lambda x: x)
+
+
+def may_fit(pattern: Column, key: Column) -> Column:
+    """Whether the texts fit where ends of components do not count: what no boundary pattern does without."""
+    return F.regexp_like(F.array_join(key, ""), expression(literal_pieces(pattern)))
+
+
 def pattern_match(key_a: Column, key_b: Column) -> Column:
     @F.pandas_udf("string")
     def kinds(a: pd.Series, b: pd.Series) -> pd.Series:

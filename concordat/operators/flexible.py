@@ -1,28 +1,28 @@
 """Flexible key matching: candidates by blocking, weak ones pruned, one-to-one assignment.
 
-No key meets every other.  Equal keys meet by an equi-join.  Keys without patterns meet on a term of one
-component: the component itself, a number or identifier where both sides have digits, else a word.  Keys with
-``**`` meet on what stands before it.  Whatever meets is then classified exactly.
+No key meets every other.  Equal keys meet by an equi-join.  Keys without patterns meet on two terms at once, so that a word that most keys hold
+makes no large block: of one component a number with a word, or two words; of several components a term each of two of them.  Pairs that
+share one word only count where neither key has another candidate, so those words alone are met that a single key of one side holds.
+A key with ``**`` meets keys without on the rarest of what must stand in them: its head, its tail, or a few letters between
+its patterns; regular expressions decide these pairs in the JVM.  Two keys with ``**`` meet on their heads or tails.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concordat.functions.tokens import ANY, RANKS, component_tokens, has_numbers, has_pattern, pattern_match, shared_tokens
-from concordat.operators.graph import components, cut
+from concordat.functions.tokens import (
+    ANY, RANKS, component_tokens, components_fit, has_numbers, has_pattern, literal_pieces, may_fit, pattern_match, shared_tokens,
+)
+from concordat.operators.graph import cut
+from concordat.operators.matching import assign, assigned, preference  # noqa: F401
 from concordat.spec import ReconError, ReconSpec
 
-#: Parts into which keys are dealt that patterns without a first character meet.
+#: Parts into which keys are dealt that patterns without any letter meet.
 SALTS = 32
-#: Candidates that a task takes on average when it chooses among those of its components.
-EDGES = 20_000
-#: Lengths of the prefixes that keys with patterns meet on.
-PREFIXES = (1, 2, 4, 8, 16)
+#: Lengths of the heads and tails that keys with patterns meet on, and most letters of what they meet on in between.
+PREFIXES, GRAM = (1, 2, 4, 8, 16), 3
 
 
 def _terms(component: Column, tokens: Column, side: str) -> Column:
@@ -36,50 +36,173 @@ def _terms(component: Column, tokens: Column, side: str) -> Column:
     return F.concat(F.array(F.concat(F.lit("=:"), component)), F.when(has_numbers(tokens), with_digits).otherwise(without))
 
 
-def token_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(nkey_a, nkey_b, kind) of unequal keys without patterns that share tokens."""
-    plain = [k.where(~has_pattern(F.col("nkey"))).select("nkey", F.transform("nkey", component_tokens).alias("t")) for k in (a, b)]
-    sizes = plain[0].select(F.explode(F.transform(F.sequence(F.lit(0), F.size("nkey") - 1), lambda i: F.struct(i.alias("i"), F.get("nkey", i).alias("c")))).alias("x"))
-    # any one component is enough; the one of most values makes the smallest blocks
-    best = sizes.groupBy("x.i").agg(F.approx_count_distinct("x.c").alias("n")).orderBy(F.desc("n"), "i").first()
-    at = best["i"] if best else 0
+def _pairs_of(words: Column) -> Column:
+    """Every two of an array's entries, the lesser first."""
+    return F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: x < y), lambda y: F.concat(F.lit("w:"), x, F.lit("\x1f"), y))))
+
+
+def _products(left: Column, right: Column) -> Column:
+    return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.concat(x, F.lit("\x1f"), y))))
+
+
+def _plain(a: DataFrame, b: DataFrame) -> list[DataFrame]:
+    return [k.where(~has_pattern(F.col("nkey"))).select("nkey", F.transform("nkey", component_tokens).alias("t")) for k in (a, b)]
+
+
+def token_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] | None = None) -> DataFrame:
+    """(nkey_a, nkey_b, kind) of unequal keys without patterns that share tokens; of keys of one component those alone that share more than a word.
+
+    parts: how many components the keys of each side have; found out if not given.
+    """
+    plain = _plain(a, b)
+    if parts is None:
+        parts = tuple(max((k.select(F.size("nkey")).first() or [0])[0], 0) for k in plain)
+    if parts[0] != parts[1] or not parts[0]:
+        none = "nkey_a array<string>, nkey_b array<string>, kind string"
+        return a.sparkSession.createDataFrame([], none)
+    if parts[0] == 1:
+        t = F.get("t", 0)
+        numbers = F.concat(F.transform(t["numbers"], lambda n: F.concat(F.lit("n:"), n)), F.transform(t["identifiers"], lambda n: F.concat(F.lit("i:"), n)))
+        terms = [F.concat(_products(numbers, t["alpha"]), F.when(has_numbers(t), F.array().cast("array<string>")).otherwise(_pairs_of(t["alpha"])))] * 2
+    else:
+        each = F.explode(F.transform(F.sequence(F.lit(0), F.size("nkey") - 1), lambda i: F.struct(i.alias("i"), F.get("nkey", i).alias("c"))))
+        sizes = plain[0].select(each.alias("x")).groupBy("x.i").agg(F.approx_count_distinct("x.c").alias("n")).orderBy(F.desc("n"), "i").limit(2).collect()
+        # any two components are enough; those of most values make the smallest blocks
+        one, two = (r["i"] for r in sizes) if len(sizes) == 2 else (0, 1)
+        terms = [_products(*(_terms(F.get("nkey", i), F.get("t", i), s) for i in (one, two))) for s in "ab"]
     blocked = [
-        k.select(
-            F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.size("nkey").alias("parts"), F.explode(_terms(F.get("nkey", at), F.get("t", at), s)).alias("term")
-        )
-        for s, k in zip("ab", plain, strict=True)
+        k.select(F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.array_distinct(x)).alias("term"))
+        for s, k, x in zip("ab", plain, terms, strict=True)
     ]
-    met = blocked[0].join(blocked[1], ["parts", "term"]).where("nkey_a != nkey_b")
+    met = blocked[0].join(blocked[1], "term").where("nkey_a != nkey_b")
     kind = shared_tokens(F.col("nkey_a"), F.col("nkey_b"), F.col("t_a"), F.col("t_b"))
     return met.select("nkey_a", "nkey_b", kind.alias("kind")).where("kind is not null").distinct()
 
 
-def pattern_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+def lone_word_candidates(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((nkey_a, nkey_b) of keys of one component that share one word and no more, keys of each side that have several such partners).
+
+    Pairs by a word that several keys of both sides hold are not met: each of those keys is listed as one of several partners.
+    """
+    words = [
+        k.where(~has_numbers(F.get("t", 0))).select(F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.get("t", 0)["alpha"]).alias("word"))
+        for s, k in zip("ab", _plain(a, b), strict=True)
+    ]
+    counts = words[0].groupBy("word").agg(F.count("*").alias("n_a")).join(words[1].groupBy("word").agg(F.count("*").alias("n_b")), "word")
+    met = words[0].join(counts.where("n_a = 1 or n_b = 1"), "word").join(words[1], "word").where("nkey_a != nkey_b")
+    kind = shared_tokens(F.col("nkey_a"), F.col("nkey_b"), F.col("t_a"), F.col("t_b"))
+    pairs = met.where(kind == "shared_text").select("nkey_a", "nkey_b").distinct()
+    several = [words[n].join(counts.where(f"n_{other} > 1"), "word", "left_semi").select(f"nkey_{s}").distinct() for n, (s, other) in enumerate(("ab", "ba"))]
+    return pairs, several
+
+
+def _sizes(text: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(text))
+
+
+def _block(mark: str, n: Column, text: Column) -> Column:
+    return F.concat(F.lit(mark), n.cast("string"), F.lit(":"), text)
+
+
+def _head(text: Column, n: Column) -> Column:
+    return _block("h", n, F.substring(text, F.lit(1), n))
+
+
+def _tail(text: Column, n: Column) -> Column:
+    return _block("t", n, F.substring(text, F.length(text) - n + 1, n))
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """All stretches of n letters."""
+    cut_up = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: _block("g", n, F.substring(text, i, n)))
+    return F.when(F.length(text) >= n, F.array_distinct(cut_up)).otherwise(F.array().cast("array<string>"))
+
+
+def _parts(mark: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit(mark), i.cast("string")))
+
+
+def _own_part(mark: str, key: str) -> Column:
+    return F.concat(F.lit(mark), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("string"))
+
+
+def _patterns(keys: DataFrame, name: str) -> DataFrame:
+    pieces = literal_pieces(F.col("nkey"))
+    found = keys.where(has_pattern(F.col("nkey"))).select(F.col("nkey").alias(name), pieces.alias("pieces"))
+    return found.select(name, F.get("pieces", 0).alias("head"), F.get("pieces", F.size("pieces") - 1).alias("tail"), "pieces")
+
+
+def patterns_with_texts(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(p, k): each pattern of patterns with the keys without patterns of texts that hold the rarest of what its own must hold."""
+    p = _patterns(patterns, "p")
+    k = texts.where(~has_pattern(F.col("nkey"))).select(F.col("nkey").alias("k"), F.array_join("nkey", "").alias("s"))
+    longest = F.array_max(F.transform("pieces", F.length))
+    size = F.least(F.lit(GRAM), longest)
+    edges = F.array_compact(F.array(*(F.when(F.col(c) != "", made(F.col(c), F.array_max(_sizes(F.col(c))))) for c, made in (("head", _head), ("tail", _tail)))))
+    between = F.array_distinct(F.flatten(F.transform("pieces", lambda x: _grams(x, size))))
+    wanted = p.select("p", F.explode(F.when(F.size(edges) > 0, edges).when(longest > 0, between).otherwise(_parts("s"))).alias("block"), F.size(edges).alias("edges"), longest.alias("longest"))
+    wanted = wanted.withColumn("all", (F.col("edges") == 0) & (F.col("longest") == 0))
+    s = F.col("s")
+    held = F.concat(
+        F.transform(_sizes(s), lambda n: _head(s, n)), F.transform(_sizes(s), lambda n: _tail(s, n)), *(_grams(s, F.lit(n)) for n in range(1, GRAM + 1)), F.array(_own_part("s", "k"))
+    )
+    texts_at = k.select("k", F.explode(held).alias("block")).join(wanted.select("block").distinct(), "block", "left_semi")
+    texts_at = cut(texts_at)
+    counts = texts_at.groupBy("block").agg(F.count("*").alias("n"))
+    counted = wanted.join(counts, "block", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.where("not all").groupBy("p").agg(F.min_by("block", F.struct("n", "block")).alias("block"))
+    return rarest.union(counted.where("all").select("p", "block")).join(texts_at, "block").select("p", "k")
+
+
+def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(nkey_a, nkey_b): keys that both hold patterns, and whose heads and tails agree as far as both go, or of which one has none where the other has."""
+    left, right = (_patterns(k, f"nkey_{s}").withColumnRenamed("head", f"head_{s}").withColumnRenamed("tail", f"tail_{s}").drop("pieces") for s, k in (("a", a), ("b", b)))
+
+    def along(edge: str, made) -> DataFrame:
+        """Pairs of which both have the edge, met at the longest size that both have."""
+        sides = []
+        for s, k in (("a", left), ("b", right)):
+            text = F.col(f"{edge}_{s}")
+            at = k.select("*", F.array_max(_sizes(text)).alias(f"most_{s}"), F.explode(_sizes(text)).alias(f"n_{s}"))
+            sides.append(at.withColumn("block", made(text, F.col(f"n_{s}"))))
+        return sides[0].join(sides[1], "block").where("n_a = most_a or n_b = most_b")
+
+    heads = along("head", _head).select("nkey_a", "nkey_b")
+    tails = along("tail", _tail).where("head_a = '' or head_b = ''").select("nkey_a", "nkey_b")
+
+    def open_sides(k: DataFrame, s: str) -> DataFrame:
+        no_head, no_tail, key = F.col(f"head_{s}") == "", F.col(f"tail_{s}") == "", f"nkey_{s}"
+        every = lambda mark: _parts(mark)
+        own = lambda mark: F.array(_own_part(mark, key))
+        none = F.array().cast("array<string>")
+        first = s == "a"
+        blocks = [
+            F.when(no_head & no_tail, every("n") if first else none) if first else own("n"),
+            F.when(~(no_head & no_tail), own("m")) if first else F.when(no_head & no_tail, every("m")),
+            F.when(~no_head & no_tail, every("ht")) if first else F.when(no_head & ~no_tail, own("ht")),
+            F.when(no_head & ~no_tail, own("th")) if first else F.when(~no_head & no_tail, every("th")),
+        ]
+        return k.select(key, F.explode(F.concat(*(F.coalesce(x, none) for x in blocks))).alias("block"))
+
+    rest = open_sides(left, "a").join(open_sides(right, "b"), "block").select("nkey_a", "nkey_b")
+    return heads.union(tails).union(rest)
+
+
+def pattern_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] = (2, 2)) -> DataFrame:
     """(nkey_a, nkey_b, kind) of unequal keys of which one or both hold a pattern.
 
-    What stands before the first pattern of a key's first component must agree, so keys meet on that prefix, cut to a power
-    of two of characters.  Patterns that open with ``**`` meet all keys, which are dealt out for that.
+    Python tells pairs apart of which both hold one, and, of keys of several components, those that fit across the ends of components only.
     """
-    prefix = F.substring_index(F.get("nkey", 0), ANY, 1)
-    opens = F.get("nkey", 0).startswith(ANY)
-    sizes = F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(prefix))
-    block = lambda mark, n: F.concat(F.lit(mark), n.cast("string"), F.lit(":"), F.substring(prefix, F.lit(1), n))
-    longest = F.coalesce(F.array_max(sizes), F.lit(0))
-    every = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit("s"), i.cast("string")))
-    own_salt = F.concat(F.lit("s"), F.pmod(F.xxhash64("nkey"), F.lit(SALTS)).cast("string"))
-    of_any_size = lambda mark: F.when(F.size(sizes) > 0, F.transform(sizes, lambda n: block(mark, n))).otherwise(F.array(block(mark, F.lit(0))))
-
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """left's patterns with right's keys; two patterns meet where the one on the right has no longer prefix."""
-        blocks = F.when(opens, every).otherwise(F.concat(F.array(block("k", longest)), of_any_size("p")))
-        patterns = left.where(has_pattern(F.col("nkey"))).select(F.col("nkey").alias("p"), F.explode(blocks).alias("block"))
-        plain = F.when(has_pattern(F.col("nkey")), F.array(block("p", longest))).otherwise(of_any_size("k"))
-        keys = right.select(F.col("nkey").alias("k"), F.explode(F.concat(F.array(own_salt), plain)).alias("block"))
-        return patterns.join(keys, "block").select("p", "k")
-
-    pairs = met(a, b).select(F.col("p").alias("nkey_a"), F.col("k").alias("nkey_b")).union(met(b, a).select("k", "p"))
-    pairs = pairs.where("nkey_a != nkey_b").distinct()
-    return pairs.withColumn("kind", pattern_match(F.col("nkey_a"), F.col("nkey_b"))).where("kind is not null")
+    one = patterns_with_texts(a, b).select(F.col("p").alias("nkey_a"), F.col("k").alias("nkey_b"), F.lit(True).alias("left"))
+    one = one.union(patterns_with_texts(b, a).select("k", "p", F.lit(False)))
+    p, k = F.when(F.col("left"), F.col("nkey_a")).otherwise(F.col("nkey_b")), F.when(F.col("left"), F.col("nkey_b")).otherwise(F.col("nkey_a"))
+    fits = components_fit(p, k)
+    two = patterns_with_patterns(a, b).where("nkey_a != nkey_b")
+    python = two
+    if parts != (1, 1):
+        python = python.union(one.where(~fits & may_fit(p, k)).select("nkey_a", "nkey_b"))
+    by_python = python.withColumn("kind", pattern_match(F.col("nkey_a"), F.col("nkey_b"))).where("kind is not null")
+    return one.where(fits).select("nkey_a", "nkey_b", F.lit("component_wildcard").alias("kind")).union(by_python)
 
 
 def candidates(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
@@ -90,10 +213,18 @@ def candidates(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
         if n_a * n_b > spec.max_comparisons:
             raise ReconError(f"flexible matching would compare more than {spec.max_comparisons} key pairs; at least {spec.max_comparisons + 1}")
     same = keys[0].select(F.col("nkey").alias("nkey_a")).join(keys[1].select(F.col("nkey").alias("nkey_b")), F.col("nkey_a") == F.col("nkey_b"))
-    found = same.select("nkey_a", "nkey_b", F.lit("exact").alias("kind")).union(token_candidates(*keys)).union(pattern_candidates(*keys))
+    parts = (len(spec.keys_a), len(spec.keys_b))
+    found = same.select("nkey_a", "nkey_b", F.lit("exact").alias("kind")).union(token_candidates(*keys, parts)).union(pattern_candidates(*keys, parts))
+    strong = found = cut(found)
+    if parts == (1, 1):
+        pairs, several = lone_word_candidates(*keys)
+        pairs = cut(pairs)
+        every = found.select("nkey_a", "nkey_b").union(pairs)
+        for s, many in zip("ab", several, strict=True):
+            lone = every.groupBy(f"nkey_{s}").count().where("count = 1").select(f"nkey_{s}")
+            pairs = pairs.join(many, f"nkey_{s}", "left_anti").join(lone, f"nkey_{s}", "left_semi").select("nkey_a", "nkey_b")
+        strong = found.union(pairs.withColumn("kind", F.lit("shared_text")))
     rank = F.coalesce(*(F.when(F.col("kind") == k, r) for k, r in RANKS.items()))
-    degree = lambda side: F.count("*").over(W.partitionBy(f"nkey_{side}"))
-    strong = found.withColumn("d_a", degree("a")).withColumn("d_b", degree("b")).where((rank > 0) | ((F.col("d_a") == 1) & (F.col("d_b") == 1)))
     both = F.filter(F.concat("nkey_a", "nkey_b"), lambda c: F.contains(c, F.lit(ANY)))
     literals = F.aggregate(both, F.lit(0), lambda n, c: n + F.length(F.replace(c, F.lit(ANY), F.lit(""))))
     stars = F.aggregate(both, F.lit(0), lambda n, c: n + F.floor((F.length(c) - F.length(F.replace(c, F.lit(ANY), F.lit("")))) / 2).cast("int"))
@@ -105,101 +236,6 @@ def candidates(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
     return scored
 
 
-def preference() -> list[Column]:
-    return [F.desc("rank"), F.desc("literals"), F.asc("patterns"), F.asc("first_a"), F.asc("first_b"), F.asc("nkey_a"), F.asc("nkey_b")]
-
-
-def assign(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Of edges in order of preference, those chosen: as many as can be one to one, and of such choices the most preferred.
-
-    left and right number the ends of each edge from 0.
-    """
-    ahead: list[list[int]] = [[] for _ in range(int(left.max()) + 1)]
-    behind: list[list[int]] = [[] for _ in range(int(right.max()) + 1)]
-    for x, y in zip(left.tolist(), right.tolist(), strict=True):
-        ahead[x].append(y)
-        behind[y].append(x)
-    to, back = [-1] * len(ahead), [-1] * len(behind)
-    done_l, done_r = [False] * len(ahead), [False] * len(behind)
-
-    def augment(start: int, edges: list[list[int]], mate: list[int], other: list[int], shut: list[bool]) -> bool:
-        """Matches start, which is free, along an alternating path to a free end on the other side."""
-        came: dict[int, int] = {}
-        queue = [start]
-        for x in queue:
-            for y in edges[x]:
-                if shut[y] or y in came:
-                    continue
-                came[y] = x
-                if other[y] < 0:
-                    while True:
-                        x = came[y]
-                        mate[x], other[y], y = y, x, mate[x]
-                        if x == start:
-                            return True
-                queue.append(other[y])
-        return False
-
-    for x in range(len(ahead)):
-        augment(x, ahead, to, back, done_r)
-    chosen = []
-    for e, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        if done_l[x] or done_r[y]:
-            continue
-        mate_y, mate_x = to[x], back[y]
-        keep = mate_y == y
-        if not keep:
-            # forcing the edge frees its ends' mates; a full matching remains if one of two freed mates finds another
-            for side, one, two in ((to, x, mate_x), (back, y, mate_y)):
-                side[one] = -1
-                if two >= 0:
-                    side[two] = -1
-            done_l[x] = done_r[y] = True
-            keep = mate_x < 0 or mate_y < 0 or augment(mate_x, ahead, to, back, done_r) or augment(mate_y, behind, back, to, done_l)
-        if keep:
-            to[x], back[y] = y, x
-            done_l[x] = done_r[y] = True
-            chosen.append(e)
-        else:  # no path was found, so that only the freed ends have changed
-            to[x], back[y] = mate_y, mate_x
-            if mate_x >= 0:
-                to[mate_x] = y
-            if mate_y >= 0:
-                back[mate_y] = x
-            done_l[x] = done_r[y] = False
-    return np.array(chosen, np.int64)
-
-
-def assigned(pairs: DataFrame) -> DataFrame:
-    """The candidates chosen.  Pairs whose two keys have no other are chosen at once; the rest by connected component."""
-    pairs = cut(pairs)
-    degree = lambda side: F.count("*").over(W.partitionBy(f"nkey_{side}"))
-    counted = pairs.withColumn("d_a", degree("a")).withColumn("d_b", degree("b"))
-    alone = (F.col("d_a") == 1) & (F.col("d_b") == 1)
-    node = lambda s: F.struct(F.lit(s).alias("s"), F.col(f"nkey_{s}").alias("k"))
-    rest = counted.where(~alone).select(*pairs.columns, node("a").alias("a"), node("b").alias("b"))
-    parts = components(rest.select("a", "b"))
-    grouped = rest.join(parts, rest["a"] == parts["node"]).select(*pairs.columns, F.xxhash64("component").alias("component"))
-    numbered = grouped.select(
-        "*",
-        F.row_number().over(W.partitionBy("component").orderBy(*preference())).alias("turn"),
-        F.xxhash64("nkey_a").alias("x"),
-        F.xxhash64("nkey_b").alias("y"),
-    )
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["component", "turn"])
-        component, x, y = (rows[c].to_numpy() for c in ("component", "x", "y"))
-        edges = np.flatnonzero(np.r_[True, component[1:] != component[:-1], True])
-        kept = [lo + assign(pd.factorize(x[lo:hi])[0], pd.factorize(y[lo:hi])[0]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return rows[["component", "turn"]].iloc[np.concatenate(kept)]
-
-    # small components share a task
-    batch = F.pmod("component", F.lit(1 + pairs.count() // EDGES)).alias("batch")
-    chosen = numbered.select("component", "turn", "x", "y").groupBy(batch).applyInPandas(choose, "component long, turn int")
-    return counted.where(alone).select(pairs.columns).union(numbered.join(chosen, ["component", "turn"], "left_semi").select(pairs.columns))
-
-
 def matched_groups(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
     """Groups side by side, with the place of each pair in the order of preference; unmatched groups have one side."""
     a, b = cut(a), cut(b)
