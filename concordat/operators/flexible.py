@@ -21,8 +21,8 @@ from concordat.spec import ReconError, ReconSpec
 
 #: Parts into which keys are dealt that patterns without any letter meet.
 SALTS = 32
-#: Lengths of the heads and tails that keys with patterns meet on, and most letters of what they meet on in between.
-PREFIXES, GRAM = (1, 2, 4, 8, 16), 3
+#: Most lengths of heads, and of tails, that keys with patterns meet on, and most letters of what they meet on in between.
+LENGTHS, GRAM = 32, 3
 
 
 def _terms(component: Column, tokens: Column, side: str) -> Column:
@@ -96,8 +96,18 @@ def lone_word_candidates(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[Da
     return pairs, several
 
 
-def _sizes(text: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(text))
+def _lengths(*patterns: DataFrame) -> dict[str, list[int]]:
+    """The lengths that heads and tails of patterns have; of many, LENGTHS in even steps from the shortest on."""
+    found: dict[str, set[int]] = {"head": set(), "tail": set()}
+    for p in patterns:
+        row = p.agg(*(F.collect_set(F.length(edge)).alias(edge) for edge in found)).first()  # no more numbers than a key has letters
+        for edge, lengths in found.items():
+            lengths.update(n for n in row[edge] if n)
+    return {edge: sorted(n)[:: -(-len(n) // LENGTHS) or 1] for edge, n in found.items()}
+
+
+def _sizes(text: Column, lengths: list[int]) -> Column:
+    return F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(text))
 
 
 def _block(mark: str, n: Column, text: Column) -> Column:
@@ -136,15 +146,16 @@ def patterns_with_texts(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """(p, k): each pattern of patterns with the keys without patterns of texts that hold the rarest of what its own must hold."""
     p = _patterns(patterns, "p")
     k = texts.where(~has_pattern(F.col("nkey"))).select(F.col("nkey").alias("k"), F.array_join("nkey", "").alias("s"))
+    lengths = _lengths(p)
     longest = F.array_max(F.transform("pieces", F.length))
     size = F.least(F.lit(GRAM), longest)
-    edges = F.array_compact(F.array(*(F.when(F.col(c) != "", made(F.col(c), F.array_max(_sizes(F.col(c))))) for c, made in (("head", _head), ("tail", _tail)))))
+    edges = F.array_compact(F.array(*(F.when(F.col(c) != "", made(F.col(c), F.array_max(_sizes(F.col(c), lengths[c])))) for c, made in (("head", _head), ("tail", _tail)))))
     between = F.array_distinct(F.flatten(F.transform("pieces", lambda x: _grams(x, size))))
     wanted = p.select("p", F.explode(F.when(F.size(edges) > 0, edges).when(longest > 0, between).otherwise(_parts("s"))).alias("block"), F.size(edges).alias("edges"), longest.alias("longest"))
     wanted = wanted.withColumn("all", (F.col("edges") == 0) & (F.col("longest") == 0))
     s = F.col("s")
     held = F.concat(
-        F.transform(_sizes(s), lambda n: _head(s, n)), F.transform(_sizes(s), lambda n: _tail(s, n)), *(_grams(s, F.lit(n)) for n in range(1, GRAM + 1)), F.array(_own_part("s", "k"))
+        F.transform(_sizes(s, lengths["head"]), lambda n: _head(s, n)), F.transform(_sizes(s, lengths["tail"]), lambda n: _tail(s, n)), *(_grams(s, F.lit(n)) for n in range(1, GRAM + 1)), F.array(_own_part("s", "k"))
     )
     texts_at = k.select("k", F.explode(held).alias("block")).join(wanted.select("block").distinct(), "block", "left_semi")
     texts_at = cut(texts_at)
@@ -158,12 +169,14 @@ def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
     """(nkey_a, nkey_b): keys that both hold patterns, and whose heads and tails agree as far as both go, or of which one has none where the other has."""
     left, right = (_patterns(k, f"nkey_{s}").withColumnRenamed("head", f"head_{s}").withColumnRenamed("tail", f"tail_{s}").drop("pieces") for s, k in (("a", a), ("b", b)))
 
+    lengths = _lengths(*(k.select(F.col(f"head_{s}").alias("head"), F.col(f"tail_{s}").alias("tail")) for s, k in (("a", left), ("b", right))))
+
     def along(edge: str, made) -> DataFrame:
         """Pairs of which both have the edge, met at the longest size that both have."""
         sides = []
         for s, k in (("a", left), ("b", right)):
             text = F.col(f"{edge}_{s}")
-            at = k.select("*", F.array_max(_sizes(text)).alias(f"most_{s}"), F.explode(_sizes(text)).alias(f"n_{s}"))
+            at = k.select("*", F.array_max(_sizes(text, lengths[edge])).alias(f"most_{s}"), F.explode(_sizes(text, lengths[edge])).alias(f"n_{s}"))
             sides.append(at.withColumn("block", made(text, F.col(f"n_{s}"))))
         return sides[0].join(sides[1], "block").where("n_a = most_a or n_b = most_b")
 

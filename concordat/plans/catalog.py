@@ -255,12 +255,74 @@ def flex_assignment(spark, sf):
     return reconcile(side(PATTERNS), side(FITTING).where("(part + j) % 5 != 0"), flex_spec()).results.select("result_type", F.array_join("key", "|").alias("key"))
 
 
+def recon_order(spark, sf):
+    """Where each result stands: phase, then the first row of the leading side."""
+    found = orders_run(spark, sf).results
+    return found.select("result_type", F.array_join("key", "|").alias("key"), "_order.phase", F.col("_order.first_a.n").alias("first_a"), F.col("_order.first_b.n").alias("first_b"))
+
+
+def recon_blanks(spark, sf):
+    """Cells with white space around them, of white space alone, and empty ones."""
+    n, status = F.col("n"), F.col("status")
+    spaced = F.when(n % 7 == 0, "").when(n % 7 == 1, " \t ").when(n % 7 == 2, F.concat(F.lit(" \t"), status, F.lit("\n "))).otherwise(status)
+    keyed = F.when(n % 13 == 0, "").when(n % 13 == 1, "  ").when(n % 13 == 2, F.concat(F.lit(" "), "k", F.lit("\t"))).otherwise(F.col("k"))
+    a = orders_a(spark, sf).withColumn("k", keyed).withColumn("status", F.when(n % 5 == 0, "").otherwise(status))
+    b = orders_a(spark, sf).withColumn("status", spaced)
+    spec = replace(SPEC, values_a=("status",), values_b=("status",), normalization=Normalization(trim=True))
+    found = reconcile(a, b, spec).results
+    return found.select("result_type", F.array_join("key", "|").alias("key"), F.array_join("values_a", "|").alias("values_a"), F.array_join("values_b", "|").alias("values_b"))
+
+
+def flex_pairs(spark, sf):
+    """Which key is matched with which, keys of both sides left over, and where each result stands."""
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part"))
+
+    def side(ends: tuple[str, ...]) -> DataFrame:
+        each = parts.select("part", F.posexplode(F.array(*map(F.lit, ends))).alias("j", "end"))
+        return each.withColumn("n", 4 * F.col("part") + F.col("j")).withColumn("k", F.concat(F.lpad(F.col("part").cast("string"), 15, "0"), "end"))
+
+    b = side((*FITTING, "-ZZ")).where("(part + j) % 5 != 0 and (j < 3 or part % 7 = 0)")
+    spec = replace(flex_spec(), values_a=("k",), values_b=("k",))
+    found = reconcile(side(PATTERNS), b, spec).results
+    join = lambda c: F.array_join(c, "|").alias(c)
+    return found.select("result_type", join("key"), join("values_a"), join("values_b"), "_order.phase", F.col("_order.first_a.n").alias("first_a"), F.col("_order.first_b.n").alias("first_b"))
+
+
+def flex_boundaries(spark, sf):
+    """Keys of two components: patterns that take the end of a component, patterns that meet patterns, and such as meet nothing."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("P"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("t"))
+
+    def side(*ends: tuple[str, str]) -> DataFrame:
+        one, two = (F.when(F.col("n") % 3 == 0, ends[0][i]).when(F.col("n") % 3 == 1, ends[1][i]).otherwise(ends[2][i]) for i in (0, 1))
+        return orders.select("n", F.concat("t", one).alias("k"), two.alias("l"))
+
+    a, b = side(("**", "CODE"), ("-**-A", "x"), ("-**", "x")), side(("7", "TAILCODE"), ("-B-**", "x"), ("-1", "y"))
+    spec = replace(flex_spec(), keys_a=("k", "l"), keys_b=("k", "l"), values_a=("l",), values_b=("l",))
+    return reconcile(a, b, spec).results.select("result_type", F.array_join("key", "|").alias("key"), F.array_join("values_b", "|").alias("values_b"))
+
+
+def flex_lone_words(spark, sf):
+    """Keys that share one word: matched where neither has another candidate."""
+    word = F.concat(F.lit("w"), F.translate(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), "0123456789", "abcdefghij"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("n"), word.alias("w"), "o_orderstatus")
+    a = orders.withColumn("k", F.concat("w", F.lit(" left")))
+    ends = F.when(F.col("n") % 5 == 0, F.array(F.lit(" right"), F.lit(" other"))).otherwise(F.array(F.lit(" right")))
+    b = orders.where("n % 17 != 0").withColumn("end", F.explode(ends)).withColumn("k", F.concat("w", "end"))
+    return reconcile(a, b, flex_spec()).results.select("result_type", F.array_join("key", "|").alias("key"))
+
+
+def search_everything(spark, sf):
+    """A search in all that a row shows."""
+    return flat(views.search_results(orders_run(spark, sf).results, "1.5", "all"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         recon_exact_default, recon_summary, recon_facets, recon_overview, recon_case_trim, recon_dates, recon_numeric, recon_decimal_trim, recon_differences,
         recon_paired_values, recon_unkeyed, recon_multi_key, search_results, sort_results, export_table, recon_duplicates, recon_json_field, recon_json_equal,
         json_paths, column_types, column_profile, column_overlap, pair_suggestions, flex_wildcard, flex_tokens, flex_assignment,
+        recon_order, recon_blanks, flex_pairs, flex_boundaries, flex_lone_words, search_everything,
     )
 }
 
@@ -351,4 +413,33 @@ ORACLE_SQL = {
         'ORDER-' || cast(o_orderkey as varchar) || ' ACME' || cast(o_orderkey as varchar) || ' INV' as key from orders""",
     "flex_assignment": """select case when (p_partkey % 5 = 3 and j = 0) or (p_partkey % 5 = 4 and j = 1) or (p_partkey % 5 = 0 and j = 2) then 'missing_right' else 'match' end as result_type,
         lpad(cast(p_partkey as varchar), 15, '0') || ends as key from part, (values (0, '-**'), (1, '-A**'), (2, '-AB**')) t(j, ends)""",
+    "recon_order": f"""with {resolved_sql()} select result_type, key, case when result_type = 'unkeyed_left' then 1 when result_type = 'missing_left' or ca = 0 then 3 else 2 end as phase,
+        case when ca > 0 then fa end as first_a, case when ca = 0 then fb end as first_b from r join m on m.k = r.key where result_type <> 'unkeyed_left'
+        union all select 'unkeyed_left', y.k, 1, null, y.n from b y where lower(y.k) in ('', 'null', 'na', 'n/a', 'none')""",
+    "recon_blanks": """with t as (select o_orderkey as n, cast(o_orderkey as varchar) as k, o_orderstatus as s from orders),
+        c as (select n, k, case n % 13 when 0 then '' when 1 then '  ' when 2 then ' ' || k || chr(9) else k end as ka, case when n % 5 = 0 then '' else s end as va,
+          case n % 7 when 0 then '' when 1 then ' ' || chr(9) || ' ' when 2 then ' ' || chr(9) || s || chr(10) || ' ' else s end as vb,
+          case when n % 5 = 0 then null else s end as na, case when n % 7 in (0, 1) then null else s end as nb from t)
+        select case when na is not distinct from nb then 'match' else 'mismatch' end as result_type, ka as key, va as values_a, vb as values_b from c where n % 13 > 1
+        union all select 'missing_left', k, '', vb from c where n % 13 <= 1
+        union all select 'unkeyed_right', ka, va, '' from c where n % 13 <= 1""",
+    "flex_pairs": """with p as (select p_partkey as part, lpad(cast(p_partkey as varchar), 15, '0') as t from part),
+        a as (select part, 4 * part + j as n, t || e as k, j from p, (values (0, '-**'), (1, '-A**'), (2, '-AB**')) x(j, e)),
+        b as (select part, 4 * part + j as n, t || e as k, j from p, (values (0, '-ABC'), (1, '-AX'), (2, '-Y'), (3, '-ZZ')) x(j, e) where (part + j) % 5 <> 0 and (j < 3 or part % 7 = 0)),
+        w as (select a.part, a.j, case when a.j = 0 and not exists (select 1 from b where b.part = a.part and b.j = 2) then 3 else 2 - a.j end as jb from a),
+        met as (select a.n as na, b.n as nb, a.k as ka, b.k as kb from a join w on w.part = a.part and w.j = a.j join b on b.part = w.part and b.j = w.jb)
+        select 'mismatch' as result_type, ka as key, ka as values_a, kb as values_b, 2 as phase, na as first_a, nb as first_b from met
+        union all select 'missing_right', k, k, '', 3, n, null from a where n not in (select na from met)
+        union all select 'missing_left', k, '', k, 4, null, n from b where n not in (select nb from met)""",
+    "flex_boundaries": """with t as (select o_orderkey % 3 as m, 'P' || lpad(cast(o_orderkey as varchar), 12, '0') as t from orders)
+        select 'mismatch' as result_type, t || '**|CODE' as key, 'TAILCODE' as values_b from t where m = 0
+        union all select 'match', t || '-**-A|x', 'x' from t where m = 1
+        union all select 'missing_right', t || '-**|x', '' from t where m = 2
+        union all select 'missing_left', t || '-1|y', 'y' from t where m = 2""",
+    "flex_lone_words": """with t as (select o_orderkey as n, 'w' || translate(lpad(cast(o_orderkey as varchar), 12, '0'), '0123456789', 'abcdefghij') as w from orders)
+        select case when n % 17 <> 0 and n % 5 <> 0 then 'match' else 'missing_right' end as result_type, w || ' left' as key from t
+        union all select 'missing_left', w || e from t, (values (' right'), (' other')) x(e) where n % 17 <> 0 and n % 5 = 0""",
+    "search_everything": f"""with {resolved_sql()}, dup as (select k, string_agg(status || ' ' || price || ' ' || odate, ' ' order by n) as txt from b group by k)
+        select result_type, key, values_a, values_b, differences from r left join dup on dup.k = r.key and r.result_type = 'duplicate_file_b'
+        where contains(concat_ws(' ', key, replace(values_a, '|', ' '), replace(values_b, '|', ' '), txt, differences), '1.5')""",
 }
