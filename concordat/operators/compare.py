@@ -1,7 +1,8 @@
 """Reconciliation: one result for every key of two tables, unusable keys apart.
 
 Each side is grouped by its normalised key (one shuffle a side, with partial aggregation), and the groups meet
-in a full outer join on that key, which reuses the grouping's partitioning.
+in a full outer join on that key, which reuses the grouping's partitioning.  Rows without a usable key go the same way, each as a group of its own,
+so that a side is read once; the totals of a summary are the sums of the groups' sizes.
 """
 
 from __future__ import annotations
@@ -42,16 +43,20 @@ def usable(nkey: str = "nkey") -> Column:
     return F.forall(nkey, lambda x: x.isNotNull())
 
 
-def groups(side: DataFrame, name: str) -> DataFrame:
-    """One row for each usable key: its first row, number of rows and, where several, all rows in source order."""
+def groups(side: DataFrame, name: str, unkeyed: bool = False) -> DataFrame:
+    """One row for each usable key: its first row, number of rows and, where several, all rows in source order.
+
+    unkeyed: rows without a usable key stay too, each alone, told by ``apart``, which is empty for the others.
+    """
     every = F.transform(F.sort_array(F.collect_list(F.struct("rid", "vals"))), lambda r: r["vals"])
     first = F.min(F.struct("rid", "key", "vals"))
-    return (
-        side.where(usable())
-        .groupBy("nkey")
-        .agg(F.count("*").alias("n"), first.alias("first"), every.alias("rows"))
-        .select("nkey", *(F.col(c).alias(f"{c}_{name}") for c in ("n", "first", "rows")))
-    )
+    keys = ["nkey"]
+    if unkeyed:
+        alone = F.concat(F.lit(name), F.monotonically_increasing_id().cast("string"))
+        side, keys = side.withColumn("apart", F.when(usable(), "").otherwise(alone)), ["nkey", "apart"]
+    else:
+        side = side.where(usable())
+    return side.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("first"), every.alias("rows")).select(*keys, *(F.col(c).alias(f"{c}_{name}") for c in ("n", "first", "rows")))
 
 
 def difference_list(met: DataFrame, spec: ReconSpec, name: str) -> DataFrame:
@@ -83,13 +88,15 @@ def shown(values: Column, spec: ReconSpec) -> Column:
 
 
 def resolved(met: DataFrame, spec: ReconSpec, order: Column) -> DataFrame:
-    """Results of rows (n_a, first_a, rows_a, n_b, first_b, rows_b), one side of which may be null."""
+    """Results of rows (n_a, first_a, rows_a, n_b, first_b, rows_b), one side of which may be null, with the number of rows of each side."""
     none, empty = F.array().cast("array<string>"), F.array().cast(ROWS)
     n_a, n_b = F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))
     single = (n_a <= 1) & (n_b <= 1)
     met = difference_list(met.withColumn("_place", order), spec, "_diffs")
+    alone = F.col("apart") != "" if "apart" in met.columns else F.lit(False)
     kind = (
-        F.when((n_a > 1) & (n_b > 1), "duplicate_both")
+        F.when(alone, F.when(n_b == 0, "unkeyed_right").otherwise("unkeyed_left"))
+        .when((n_a > 1) & (n_b > 1), "duplicate_both")
         .when(n_a > 1, "duplicate_file_a")
         .when(n_b > 1, "duplicate_file_b")
         .when(n_a == 0, "missing_left")
@@ -108,6 +115,8 @@ def resolved(met: DataFrame, spec: ReconSpec, order: Column) -> DataFrame:
         rows("b", n_b).alias("duplicate_values_b"),
         F.col("_diffs").alias("differences"),
         F.col("_place").alias("_order"),
+        n_a.alias("n_a"),
+        n_b.alias("n_b"),
     )
 
 
@@ -139,17 +148,20 @@ def unkeyed(side: DataFrame, spec: ReconSpec, name: str, other: DataFrame) -> Da
         F.array().cast(ROWS).alias("duplicate_values_b"),
         F.array().cast(DIFFERENCES).alias("differences"),
         (ordering(F.lit(0), rid, blank) if name == "a" else ordering(F.lit(1), blank, rid)).alias("_order"),
+        F.lit(int(name == "a")).cast("long").alias("n_a"),
+        F.lit(int(name == "b")).cast("long").alias("n_b"),
     )
 
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Lazy results and what they came from."""
+    """Lazy results and what they came from; ``counted`` has the results with the number of rows of each side, n_a and n_b."""
 
     results: DataFrame
     spec: ReconSpec
     side_a: DataFrame
     side_b: DataFrame
+    counted: DataFrame
 
     @cached_property
     def ordered(self) -> DataFrame:
@@ -157,7 +169,7 @@ class Reconciliation:
 
     def summary(self) -> DataFrame:
         """One row of counters."""
-        return summarize(self.results, self.side_a, self.side_b)
+        return summarize(self.counted)
 
 
 def reconcile(df_a: DataFrame, df_b: DataFrame, spec: ReconSpec) -> Reconciliation:
@@ -175,18 +187,20 @@ def reconcile(df_a: DataFrame, df_b: DataFrame, spec: ReconSpec) -> Reconciliati
         met = matched_groups(groups(a, "a"), groups(b, "b"), spec)
         rank = F.col("rank")
     else:
-        met = groups(a, "a").join(groups(b, "b"), "nkey", "full_outer")
+        met = groups(a, "a", unkeyed=True).join(groups(b, "b", unkeyed=True), ["nkey", "apart"], "full_outer")
         rank = None
     first_a, first_b = F.col("first_a.rid"), F.col("first_b.rid")
     paired = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
     if spec.flexible:
         phase = F.when(paired, 2).when(F.col("n_a").isNotNull(), 3).otherwise(4)
         order = ordering(phase, first_a, first_b, F.coalesce(rank, F.lit(0)), F.col("nkey"))
+        counted = unkeyed(a, spec, "a", b).unionByName(unkeyed(b, spec, "b", a)).unionByName(resolved(met, spec, order))
     else:
-        phase = F.when(F.col("n_a").isNotNull(), 2).otherwise(3)
-        order = ordering(phase, first_a, F.when(F.col("n_a").isNull(), first_b), None, F.col("nkey"))
-    results = unkeyed(a, spec, "a", b).unionByName(unkeyed(b, spec, "b", a)).unionByName(resolved(met, spec, order))
-    return Reconciliation(results, spec, df_a, df_b)
+        alone, on_a = F.col("apart") != "", F.col("n_a").isNotNull()
+        phase = F.when(alone, F.when(on_a, 0).otherwise(1)).when(on_a, 2).otherwise(3)
+        order = ordering(phase, first_a, F.when(F.col("n_a").isNull(), first_b), None, F.when(~alone, F.col("nkey")))
+        counted = resolved(met, spec, order)
+    return Reconciliation(counted.select(*RESULT_COLUMNS), spec, df_a, df_b, counted)
 
 
 COUNTED = {
@@ -201,8 +215,7 @@ COUNTED = {
 }
 
 
-def summarize(results: DataFrame, side_a: DataFrame, side_b: DataFrame) -> DataFrame:
-    """total_rows_a, total_rows_b and a count for each kind; a key that is duplicated on both sides counts on both."""
-    counts = results.agg(*(F.count_if(F.col("result_type").isin(kinds)).alias(name) for name, kinds in COUNTED.items()))
-    totals = [side.agg(F.count("*").alias(f"total_rows_{s}")) for s, side in (("a", side_a), ("b", side_b))]
-    return totals[0].join(totals[1]).join(counts)  # one row each
+def summarize(counted: DataFrame) -> DataFrame:
+    """total_rows_a, total_rows_b and a count for each kind, of results with n_a and n_b; a key that is duplicated on both sides counts on both."""
+    totals = (F.coalesce(F.sum(f"n_{s}"), F.lit(0).cast("long")).alias(f"total_rows_{s}") for s in "ab")
+    return counted.agg(*totals, *(F.count_if(F.col("result_type").isin(kinds)).alias(name) for name, kinds in COUNTED.items()))

@@ -14,7 +14,7 @@ from concordat.sources.delimited import describe_side
 from concordat.sources.jsonfields import resolve
 from concordat.spec import ReconError, ReconSpec
 
-VERSION = 2
+VERSION = 3
 # Labels of the export, which tell the duplicates apart.
 EXPORT_LABELS = LABELS | {
     "duplicate_file_a": "Duplicate (File A)", "duplicate_file_b": "Duplicate (File B)", "duplicate_both": "Duplicate (Both Files)",
@@ -91,8 +91,8 @@ def load_selection(spark: SparkSession, folder: str, columns_a: Sequence[str], c
 def save_run(run: Reconciliation, folder: str) -> None:
     """results/, summary/, columns_a/, columns_b/ and spec/ under folder."""
     spark = run.results.sparkSession
-    run.results.select(*RESULT_COLUMNS).write.parquet(f"{folder}/results")
-    summarize(spark.read.parquet(f"{folder}/results"), run.side_a, run.side_b).write.parquet(f"{folder}/summary")
+    run.counted.write.parquet(f"{folder}/results")
+    summarize(spark.read.parquet(f"{folder}/results")).write.parquet(f"{folder}/summary")
     for side, df in (("a", run.side_a), ("b", run.side_b)):
         describe_side(df).coalesce(1).write.parquet(f"{folder}/columns_{side}")
     text = json.dumps({"version": VERSION, "spec": run.spec.to_dict()})
@@ -116,7 +116,7 @@ def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Re
         if lost := [c for c in chosen if not resolve(names, c)]:
             raise ReconError(f"saved columns of side {side} lack: {', '.join(lost)}")
     stored = summary.first()
-    counted = summarize(results, spark.range(0), spark.range(0)).drop("total_rows_a", "total_rows_b").first().asDict()
+    counted = summarize(results).first().asDict()
     if wrong := sorted(k for k, v in counted.items() if stored[k] != v):
         raise ReconError(f"the saved summary does not agree with the saved results: {', '.join(wrong)}")
-    return results, summary, spec
+    return results.select(*RESULT_COLUMNS), summary, spec
