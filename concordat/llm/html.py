@@ -37,7 +37,7 @@ SHARE, SPREAD, PAGES = 0.8, 0.5, 2
 #: A marked article with less of a page's text than this is not the whole of it.
 MARKED = 0.5
 BROADCAST_BYTES = 8 << 20
-#: Elements nested deeper count as part of the one above.
+#: Elements nested deeper count as part of the one above, but for articles and the outermost region that may be left out.
 DEPTH = 60
 
 _TAG = re.compile(
@@ -232,11 +232,11 @@ def parse_whole(page: str) -> Node:
             or tag in LEFT_OUT
             or (tag == "header" or _is(names, HEADERS)) and not inside and not top
             or bool(attributes) and bool(_HIDDEN.search(attributes))
-            or soft and len(stack) >= DEPTH
         )
         if tag in BLOCK or out or soft:
             flush()
-            if not out and len(stack) < DEPTH:
+            # deeper than that, a region that may be left out and the article have nodes still, so that depth drops nothing
+            if not out and (len(stack) < DEPTH or soft and not node.soft or article and not inside):
                 child = Node(tag)
                 child.article, child.soft = article and not inside, soft
                 node.children.append(child)

@@ -218,3 +218,19 @@ def test_links_as_a_browser_reads_them(spark):
     assert found == {f"a.com/x/p{k}": target.split("://")[1] for k, (_, target) in enumerate(heads) if target}
     clash = pages.selectExpr("page_id", "url", "html", "1 as _at", "2 as _node", "3 as _bad", "4 as _rule", "5 as at", "6 as own")
     assert set(clash.columns) < set(urls.judge(clash).columns) and urls.judge(clash).where("_rule = 4 and own = 6").count() == len(heads)
+
+
+def test_depth_drops_no_article(spark):
+    from concordat.llm import html
+
+    def page(depth, nested):
+        inner = "".join(f"<form><div class={nested}>" for _ in range(20)) if nested else "<form>"
+        story = "<article><h1>Title</h1><p>" + "All of the story, word for word. " * 20 + "</p><form>Subscribe</form></article>"
+        return "<html><body>" + "<div id=x>" * depth + inner + story + "</div>" * depth + "</body></html>"
+
+    rows = [(k, f"http://h{k}.com/", page(*kind)) for k, kind in enumerate((d, n) for d in (5, 57, 58, 59, 60, 61, 62, 63, 200, 3000) for n in ("", "sidebar"))]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    wanted = "Title\n\n" + ("All of the story, word for word. " * 20).strip()
+    plain = {k: t for k, t in found.items() if k % 2 == 0}
+    assert set(plain.values()) == {wanted}, {k: t[:40] for k, t in plain.items()}
+    assert len(found) == len(rows)
