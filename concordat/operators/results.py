@@ -38,7 +38,8 @@ def bucket() -> Column:
 def filter_results(results: DataFrame, name: str = "all") -> DataFrame:
     if name not in BUCKETS:
         raise ReconError(f"unknown filter: {name}")
-    return results if name == "all" else results.where(bucket() == name)
+    kind = F.col("bucket") if "bucket" in results.columns else bucket()  # saved results are parted by it
+    return results if name == "all" else results.where(kind == name)
 
 
 def facet_counts(results: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def _flat(rows: str) -> Column:
     return F.array_join(F.flatten(F.col(rows)), " ")
 
 
-def _texts(spec: ReconSpec | None) -> dict[str, Column]:
+def search_texts(spec: ReconSpec | None) -> dict[str, Column]:
+    """What each field of a search looks at; the text of all holds those of the others."""
     join = lambda *parts: F.lower(F.btrim(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), " ")))
     kind = join(named(LABELS), F.col("result_type"), bucket())
     key = join(F.array_join("key", " "))
@@ -67,7 +69,7 @@ def _texts(spec: ReconSpec | None) -> dict[str, Column]:
 def search_results(results: DataFrame, query: str, field: str = "all", spec: ReconSpec | None = None) -> DataFrame:
     """Rows whose text holds the query, any case; an unknown field means all.  spec adds the names of compared columns."""
     wanted = query.strip().lower()
-    return results.where(F.contains(_texts(spec)[field if field in FIELDS else "all"], F.lit(wanted))) if wanted else results
+    return results.where(F.contains(search_texts(spec)[field if field in FIELDS else "all"], F.lit(wanted))) if wanted else results
 
 
 def natural(value: Column) -> Column:

@@ -6,6 +6,7 @@ unusable, and cells written in other ways.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from concordat.operators import results as views
 from concordat.operators.compare import Reconciliation, reconcile
+from concordat.operators.graph import set_folder
 from concordat.operators.pairing import suggest_pairs
 from concordat.operators.profile import overlap, profile, values_of
 from concordat.sources.delimited import infer_types
 from concordat.sources.jsonfields import discover
-from concordat.sources.sink import difference_text, duplicate_json, duplicate_text, export_rows
+from concordat.sources.sink import difference_text, duplicate_json, duplicate_text, export_rows, page_saved, save_run, search_saved
 from concordat.spec import Normalization, Pair, ReconSpec
 
 VALUES = ("status", "price", "odate")
@@ -316,13 +318,32 @@ def search_everything(spark, sf):
     return flat(views.search_results(orders_run(spark, sf).results, "1.5", "all"))
 
 
+def saved_orders(spark, sf, searchable=False):
+    """A run saved in the shared folder, in eight ranges."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        set_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+    save_run(orders_run(spark, sf), folder, ranges=8, searchable=searchable)
+    return folder
+
+
+def saved_page(spark, sf):
+    """A page of the mismatches of a saved run."""
+    return flat(page_saved(spark, saved_orders(spark, sf), 200, 500, "mismatch"))
+
+
+def saved_search(spark, sf):
+    """A search in all that a saved run shows, by its index."""
+    return flat(search_saved(spark, saved_orders(spark, sf, searchable=True), "1.5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         recon_exact_default, recon_summary, recon_facets, recon_overview, recon_case_trim, recon_dates, recon_numeric, recon_decimal_trim, recon_differences,
         recon_paired_values, recon_unkeyed, recon_multi_key, search_results, sort_results, export_table, recon_duplicates, recon_json_field, recon_json_equal,
         json_paths, column_types, column_profile, column_overlap, pair_suggestions, flex_wildcard, flex_tokens, flex_assignment,
-        recon_order, recon_blanks, flex_pairs, flex_boundaries, flex_lone_words, search_everything,
+        recon_order, recon_blanks, flex_pairs, flex_boundaries, flex_lone_words, search_everything, saved_page, saved_search,
     )
 }
 
@@ -439,7 +460,9 @@ ORACLE_SQL = {
     "flex_lone_words": """with t as (select o_orderkey as n, 'w' || translate(lpad(cast(o_orderkey as varchar), 12, '0'), '0123456789', 'abcdefghij') as w from orders)
         select case when n % 17 <> 0 and n % 5 <> 0 then 'match' else 'missing_right' end as result_type, w || ' left' as key from t
         union all select 'missing_left', w || e from t, (values (' right'), (' other')) x(e) where n % 17 <> 0 and n % 5 = 0""",
+    "saved_page": f"with {resolved_sql()} select result_type, key, values_a, values_b, differences from r join m on m.k = r.key where result_type = 'mismatch' order by fa limit 200 offset 500",
     "search_everything": f"""with {resolved_sql()}, dup as (select k, string_agg(status || ' ' || price || ' ' || odate, ' ' order by n) as txt from b group by k)
         select result_type, key, values_a, values_b, differences from r left join dup on dup.k = r.key and r.result_type = 'duplicate_file_b'
         where contains(concat_ws(' ', key, replace(values_a, '|', ' '), replace(values_b, '|', ' '), txt, differences), '1.5')""",
 }
+ORACLE_SQL["saved_search"] = ORACLE_SQL["search_everything"]

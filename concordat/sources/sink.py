@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.operators.compare import RESULT_COLUMNS, Reconciliation, summarize
-from concordat.operators.results import LABELS, named
+from concordat.operators.results import LABELS, named, search_results
 from concordat.sources.delimited import describe_side
 from concordat.sources.jsonfields import resolve
+from concordat.sources.saved import page_of, read_results, search_pieces, write_pieces, write_results
 from concordat.spec import ReconError, ReconSpec
 
-VERSION = 3
+VERSION = 4
 # Labels of the export, which tell the duplicates apart.
 EXPORT_LABELS = LABELS | {
     "duplicate_file_a": "Duplicate (File A)", "duplicate_file_b": "Duplicate (File B)", "duplicate_both": "Duplicate (Both Files)",
@@ -88,25 +89,49 @@ def load_selection(spark: SparkSession, folder: str, columns_a: Sequence[str], c
     return spec
 
 
-def save_run(run: Reconciliation, folder: str) -> None:
-    """results/, summary/, columns_a/, columns_b/ and spec/ under folder."""
+def save_run(run: Reconciliation, folder: str, ranges: int | None = None, searchable: bool = False) -> None:
+    """results/, places/, summary/, columns_a/, columns_b/ and spec/ under folder, and for searches pieces/ and piece_counts/.
+
+    Results are in ranges of their order (by default as many as the session's shuffles have), each parted by bucket.
+    """
     spark = run.results.sparkSession
-    run.counted.write.parquet(f"{folder}/results")
-    summarize(spark.read.parquet(f"{folder}/results")).write.parquet(f"{folder}/summary")
+    schema = write_results(run.counted, folder, ranges)
+    results = read_results(spark, folder, schema)
+    summarize(results).write.parquet(f"{folder}/summary")
     for side, df in (("a", run.side_a), ("b", run.side_b)):
         describe_side(df).coalesce(1).write.parquet(f"{folder}/columns_{side}")
-    text = json.dumps({"version": VERSION, "spec": run.spec.to_dict()})
+    if searchable:
+        write_pieces(results, run.spec, folder)
+    text = json.dumps({"version": VERSION, "spec": run.spec.to_dict(), "schema": schema, "searchable": searchable})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/spec")
 
 
-def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, ReconSpec]:
-    """(results, summary, spec) of a saved run; a run that does not agree with itself is refused."""
+def _opened(spark: SparkSession, folder: str) -> tuple[DataFrame, ReconSpec, bool]:
     saved = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/spec").collect()))
     if saved.get("version") != VERSION:
         raise ReconError(f"unsupported version of a saved run: {saved.get('version')}")
     spec = ReconSpec.from_dict(saved["spec"])
     spec.validate()
-    results, summary = spark.read.parquet(f"{folder}/results"), spark.read.parquet(f"{folder}/summary")
+    return read_results(spark, folder, saved["schema"]), spec, saved["searchable"]
+
+
+def page_saved(spark: SparkSession, folder: str, size: int = 200, start: int = 0, name: str = "all") -> DataFrame:
+    """A page of a saved run, of all results or of one bucket; only the ranges that hold it are read."""
+    return page_of(_opened(spark, folder)[0], folder, size, start, name).select(*RESULT_COLUMNS)
+
+
+def search_saved(spark: SparkSession, folder: str, query: str, field: str = "all") -> DataFrame:
+    """A search of a saved run in the texts that it shows, compared columns' names among them."""
+    results, spec, searchable = _opened(spark, folder)
+    if not searchable:
+        return search_results(results, query, field, spec).select(*RESULT_COLUMNS)
+    return search_pieces(results, spec, folder, query, field).select(*RESULT_COLUMNS)
+
+
+def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, ReconSpec]:
+    """(results with their bucket, summary, spec) of a saved run; a run that does not agree with itself is refused."""
+    results, spec, _ = _opened(spark, folder)
+    summary = spark.read.parquet(f"{folder}/summary")
     for side, chosen in (("a", (*spec.keys_a, *spec.values_a)), ("b", (*spec.keys_b, *spec.values_b))):
         rows = spark.read.parquet(f"{folder}/columns_{side}").collect()  # one row for each column
         physical = sorted((r for r in rows if r["index"] is not None), key=lambda r: r["index"])
@@ -119,4 +144,4 @@ def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Re
     counted = summarize(results).first().asDict()
     if wrong := sorted(k for k, v in counted.items() if stored[k] != v):
         raise ReconError(f"the saved summary does not agree with the saved results: {', '.join(wrong)}")
-    return results.select(*RESULT_COLUMNS), summary, spec
+    return results.select(*RESULT_COLUMNS, "bucket"), summary, spec

@@ -1,3 +1,4 @@
+import random
 import tempfile
 from dataclasses import replace
 from pathlib import Path
@@ -10,7 +11,7 @@ from concordat.operators import results as views
 from concordat.operators.compare import reconcile
 from concordat.sources.delimited import describe_side, infer_types, malformed_rows, read_side
 from concordat.sources.jsonfields import discover, resolve, split_path
-from concordat.sources.sink import export_csv, load_run, load_selection, save_run, save_selection
+from concordat.sources.sink import export_csv, load_run, load_selection, page_saved, save_run, save_selection, search_saved
 from concordat.spec import Pair, ReconError, ReconSpec
 
 
@@ -118,6 +119,40 @@ def test_export_and_saved_runs(spark):
         load_run(spark, f"{folder}/bad")
 
 
+def test_pages_and_searches_of_saved_runs(spark):
+    rng = random.Random(5)
+    words = ["alpha", "Beta", "x", "", "50%", "naïve 𝒳y", "a b", "late"]
+    rows_of = lambda n: [(str(rng.randrange(n)), rng.choice(words), rng.choice(words)) for _ in range(n)]
+    a, b = table(spark, "id v w", rows_of(300)), table(spark, "id v w", [*rows_of(250), ("N/A", "x", "late")])
+    spec = ReconSpec(("id",), ("id",), ("v", "w"), ("v", "w"), order_a=("_n",), order_b=("_n",))
+    run = reconcile(a, b, spec)
+    folder = f"{tempfile.mkdtemp(prefix='concordat-test-')}/run"
+    save_run(run, folder, ranges=7, searchable=True)
+    every = [r["key"] for r in run.ordered.collect()]
+    for size, start in ((40, 33), (len(every), 0), (50, len(every) - 9), (5, len(every))):
+        assert [r["key"] for r in page_saved(spark, folder, size, start).collect()] == every[start : start + size]
+    results, _, _ = load_run(spark, folder)
+    for name in views.BUCKETS[1:]:
+        own = [r["key"] for r in views.filter_results(run.results, name).orderBy("_order").collect()]
+        assert views.filter_results(results, name).count() == len(own)
+        for size, start in ((20, 7), (len(own) + 1, 0)):
+            assert [r["key"] for r in page_saved(spark, folder, size, start, name).collect()] == own[start : start + size]
+    plan = page_saved(spark, folder, 3, 20, "mismatch")._jdf.queryExecution().executedPlan().toString()
+    parted = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in parted and "part" in parted and "GreaterThanOrEqual(_seat" in plan
+    stored = results.cache()
+    tried = [(" LATE ", "all"), ("50%", "fileB"), ("ve 𝒳y", "all"), ("𝒳y", "fileA"), ("only in", "type"), ("v w", "all"), ("nowhere", "all"), ("late", "key"), ("", "all")]
+    for query, field in tried:
+        seen, scanned = search_saved(spark, folder, query, field), views.search_results(stored, query, field, spec)
+        assert sorted(r["key"] for r in seen.collect()) == sorted(r["key"] for r in scanned.collect()), (query, field)
+    stored.unpersist()
+    with pytest.raises(ReconError):
+        page_saved(spark, folder, 3, 0, "nope")
+    empty = f"{folder}-empty"
+    save_run(reconcile(a.limit(0), b.limit(0), spec), empty, searchable=True)
+    assert page_saved(spark, empty).count() == 0 == search_saved(spark, empty, "late").count() and load_run(spark, empty)[1].first()["matches"] == 0
+
+
 def test_views(spark):
     run, spec = sample(spark)
     results = run.results
