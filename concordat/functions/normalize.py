@@ -9,13 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concordat.functions.jsontext import canonical_json
-from concordat.spec import Normalization
+from concordat.spec import Normalization, ReconError
 
-# What a date directive accepts, and how the JVM spells it.
+# What a date directive accepts, the directives that stand for others, and the names of months and days.
 DIRECTIVES = {
-    "%Y": (r"\d{4}", "yyyy"), "%y": (r"\d{2}", "yy"), "%m": (r"\d{1,2}", "M"), "%d": (r"\d{1,2}", "d"), "%b": ("[A-Za-z]{3}", "MMM"),
-    "%B": ("[A-Za-z]{3,9}", "MMMM"), "%H": (r"\d{1,2}", "H"), "%M": (r"\d{1,2}", "m"), "%S": (r"\d{1,2}", "s"),
+    "%Y": r"\d{4}", "%y": r"\d{2}", "%m": r"\d{1,2}", "%d": r"\d{1,2}", "%e": r" ?\d{1,2}", "%j": r"\d{1,3}",
+    "%b": "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec",
+    "%B": "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec",
+    "%a": "mon|tue|wed|thu|fri|sat|sun",
+    "%A": "monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun",
+    "%H": r"[01]?\d|2[0-3]", "%I": r"0?[1-9]|1[0-2]", "%M": r"[0-5]?\d", "%S": r"[0-5]?\d|60", "%p": "am|pm", "%P": "am|pm",
+    "%f": r"\d+", "%.f": r"(?:\.\d+)?", "%z": r"[+-]\d{2}:?\d{2}", "%%": "%", "%n": r"\s*", "%t": r"\s*",
 }
+STANDS_FOR = {
+    "%F": "%Y-%m-%d", "%D": "%m/%d/%y", "%x": "%m/%d/%y", "%v": "%e-%b-%Y", "%T": "%H:%M:%S", "%X": "%H:%M:%S", "%R": "%H:%M",
+    "%r": "%I:%M:%S %p", "%c": "%a %b %e %H:%M:%S %Y", "%h": "%b",
+}
+MONTHS, DAYS = "janfebmaraprmayjunjulaugsepoctnovdec", "montuewedthufrisatsun"
 _NUMBER = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?$"
 
 
@@ -33,38 +43,71 @@ def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
-def java_format(pattern: str) -> tuple[str, str] | None:
-    """(regular expression, JVM pattern) of a strftime date format; None if it is not a full date."""
-    guard, spelt, have = "", "", set()
-    parts = re.findall(r"%.|[^%]+", pattern)
+def date_parts(pattern: str) -> list[str]:
+    """The directives and the texts between them, of a strftime format, those that stand for others written out; an unknown directive is an error."""
+    parts = []
+    for part in re.findall(r"%\.f|%.|[^%]+|%", pattern):
+        if part in STANDS_FOR:
+            parts += date_parts(STANDS_FOR[part])
+        elif part.startswith("%") and part not in DIRECTIVES:
+            raise ReconError(f"unknown directive {part} in the date format {pattern}")
+        else:
+            parts.append(part)
+    return parts
+
+
+def date_format(pattern: str) -> tuple[str, dict[str, int]] | None:
+    """(regular expression, group of each directive that tells the date) of a strftime date format; None if it is not a full date."""
+    parts, guard, groups = date_parts(pattern), "", {}
     for i, part in enumerate(parts):
-        if part.startswith("%"):
-            if part not in DIRECTIVES:
-                return None
-            expression, letters = DIRECTIVES[part]
-            near = [p for p in (parts[i - 1] if i else "", parts[i + 1] if i + 1 < len(parts) else "") if p.startswith("%")]
-            if near and part in ("%m", "%d"):  # without a separator the width is fixed
-                expression, letters = r"\d{2}", letters * 2
-            guard, spelt = guard + expression, spelt + letters
-            have.add(part[1])
+        if not part.startswith("%"):
+            guard += re.escape(part)
+            continue
+        expression = DIRECTIVES[part]
+        near = [p for p in (parts[i - 1] if i else "", parts[i + 1] if i + 1 < len(parts) else "") if p.startswith("%")]
+        if near and part in ("%m", "%d", "%j"):  # without a separator the width is fixed
+            expression = r"\d{3}" if part == "%j" else r"\d{2}"
+        if part[1] in "YymbBdejaA" and part[1] not in groups:
+            guard += f"((?i){expression})"
+            groups[part[1]] = len(groups) + 1
         else:
-            guard, spelt = guard + re.escape(part), spelt + re.sub("([A-Za-z]+)", r"'\1'", part)
-    return (f"^{guard}$", spelt) if have >= {"d"} and have & set("mbB") and have & set("yY") else None
+            guard += f"(?i:{expression})"
+    told = groups.keys()
+    full = told & set("Yy") and ("j" in told or told & set("de") and told & set("mbB"))
+    return (rf"^{guard}\z", groups) if full else None
+
+
+def _date(value: Column, guard: str, groups: dict[str, int]) -> Column:
+    """The date of a text that fits guard, as text; null if there is no such day."""
+    group = lambda k: F.regexp_extract(value, guard, groups[k])
+    number = lambda k: F.ltrim(group(k)).try_cast("int")
+    place = lambda names, k: (F.instr(F.lit(names), F.lower(F.left(group(k), F.lit(3)))) + 2) / 3
+    digits = lambda n, width: F.lpad(n.cast("int").cast("string"), width, "0")
+    year = number("Y") if "Y" in groups else number("y") + F.when(number("y") < 70, 2000).otherwise(1900)
+    day, month = (next((k for k in kinds if k in groups), None) for kinds in ("de", "mbB"))
+    tests = []
+    if day and month:
+        which = number("m") if month == "m" else place(MONTHS, month)
+        date = F.concat_ws("-", digits(year, 4), digits(which, 2), digits(number(day), 2)).try_cast("date")
+        if "j" in groups:
+            tests.append(F.dayofyear(date) == number("j"))
+    else:
+        date = F.date_add(F.concat(digits(year, 4), F.lit("-01-01")).try_cast("date"), number("j") - 1)
+        tests.append((number("j") > 0) & (F.year(date) == year))
+    tests += [F.weekday(date) + 1 == place(DAYS, k) for k in "aA" if k in groups]
+    for test in tests:
+        date = F.when(test, date)
+    return date.cast("string")
 
 
 def iso_date(value: Column, formats: Sequence[str]) -> Column:
-    """yyyy-MM-dd by the first format that fits the whole text; else null."""
-    tried = []
-    for pattern in formats:
-        if not (found := java_format(pattern)):
-            continue
-        guard, spelt = found
-        read = F.try_to_timestamp(F.when(value.rlike(guard), value), F.lit(spelt))
-        if "%B" in pattern:
-            read = F.coalesce(read, F.try_to_timestamp(F.when(value.rlike(guard), value), F.lit(spelt.replace("MMMM", "MMM"))))
-        if "%y" in pattern:
-            read = F.when(F.year(read) >= 2070, F.add_months(read, -1200).cast("timestamp")).otherwise(read)
-        tried.append(F.date_format(read, "yyyy-MM-dd"))
+    """yyyy-MM-dd by the first format that fits the whole text; else null.
+
+    Two-digit years are from 1970 to 2069.  A time of day is checked and left out, a weekday must be that of the date, and a day of the year
+    that of the day and month where both are there.
+    """
+    known = [found for pattern in formats if (found := date_format(pattern))]
+    tried = [F.when(value.rlike(guard), _date(value, guard, groups)) for guard, groups in known]
     return F.coalesce(*tried) if tried else F.lit(None).cast("string")
 
 

@@ -130,6 +130,17 @@ def recon_dates(spark, sf):
     return flat(orders_run(spark, sf, dates=True, date_formats=("%Y-%m-%d", "%d/%m/%Y")).results)
 
 
+def recon_date_forms(spark, sf):
+    """Dates as day of the year, with names of days and months, and with a time of day; every tenth one with a day that is not that date's."""
+    n, day = F.col("n"), F.to_date("odate")
+    forms = F.when(n % 4 == 0, F.date_format(day, "yyyy-DDD")).when(n % 4 == 1, F.date_format(day, "EEEE, d MMMM yyyy")).when(n % 4 == 2, F.concat(F.date_format(day, "dd-MMM-yy"), F.lit(" 07:30 PM")))
+    wrong = F.when(n % 10 == 9, F.concat(F.date_format(F.date_add(day, 1), "EEEE, "), F.date_format(day, "d MMMM yyyy")))
+    b = orders_a(spark, sf).withColumn("odate", F.coalesce(wrong, forms, "odate"))
+    rules = Normalization(dates=True, date_formats=("%F", "%Y-%j", "%A, %e %B %Y", "%d-%b-%y %I:%M %p"))
+    spec = replace(SPEC, values_a=("odate",), values_b=("odate",), normalization=rules)
+    return flat(reconcile(orders_a(spark, sf), b, spec).results)
+
+
 def recon_numeric(spark, sf):
     b = orders_b(spark, sf).withColumn("price", F.concat(F.lit("+00"), "price", F.lit("00")))
     return flat(reconcile(orders_a(spark, sf), b, replace(SPEC, normalization=Normalization(numbers=True))).results)
@@ -340,7 +351,7 @@ def saved_search(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        recon_exact_default, recon_summary, recon_facets, recon_overview, recon_case_trim, recon_dates, recon_numeric, recon_decimal_trim, recon_differences,
+        recon_exact_default, recon_summary, recon_facets, recon_overview, recon_case_trim, recon_dates, recon_date_forms, recon_numeric, recon_decimal_trim, recon_differences,
         recon_paired_values, recon_unkeyed, recon_multi_key, search_results, sort_results, export_table, recon_duplicates, recon_json_field, recon_json_equal,
         json_paths, column_types, column_profile, column_overlap, pair_suggestions, flex_wildcard, flex_tokens, flex_assignment,
         recon_order, recon_blanks, flex_pairs, flex_boundaries, flex_lone_words, search_everything, saved_page, saved_search,
@@ -384,6 +395,11 @@ ORACLE_SQL = {
         'Duplicates found: ' || cast(duplicates_a as varchar) || ' in File A, ' || cast(duplicates_b as varchar) || ' in File B' as duplicate_notice from s""",
     "recon_case_trim": f"with {resolved_sql(status='lower({}.status)')} {_R}",
     "recon_dates": f"""with {resolved_sql(odate="(case when {0}.odate like '%/%' then substr({0}.odate, 7, 4) || '-' || substr({0}.odate, 4, 2) || '-' || substr({0}.odate, 1, 2) else {0}.odate end)")} {_R}""",
+    "recon_date_forms": """with t as (select o_orderkey as n, cast(o_orderkey as varchar) as k, cast(o_orderdate as date) as d from orders),
+        f as (select n, k, strftime(d, '%Y-%m-%d') as va, case when n % 10 = 9 then dayname(d + 1) || strftime(d, ', %-d %B %Y') when n % 4 = 0 then strftime(d, '%Y-%j')
+          when n % 4 = 1 then strftime(d, '%A, %-d %B %Y') when n % 4 = 2 then strftime(d, '%d-%b-%y 07:30 PM') else strftime(d, '%Y-%m-%d') end as vb from t)
+        select case when n % 10 = 9 then 'mismatch' else 'match' end as result_type, k as key, va as values_a, vb as values_b,
+        case when n % 10 = 9 then 'odate: ' || va || ' -> ' || vb else '' end as differences from f""",
     "recon_numeric": f"""with {resolved_sql(AB.replace("b as (", "b1 as (") + ", b as (select n, k, status, '+00' || price || '00' as price, odate, prio from b1)", price="cast({}.price as decimal(18,4))")} {_R}""",
     "recon_decimal_trim": f"with {resolved_sql(price=_TRIM1, shown=_TRIM1)} {_R}",
     "recon_differences": f"""with {resolved_sql()}, p as (select r.*, x.status as s1, x.price as p1, x.odate as d1, y.status as s2, y.price as p2, y.odate as d2

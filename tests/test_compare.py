@@ -1,8 +1,11 @@
 import random
+from datetime import date, datetime
 
 import pytest
 from helpers import outcome, request, table
+from pyspark.sql import functions as F
 
+from concordat.functions import normalize
 from concordat.operators.compare import reconcile
 from concordat.spec import Normalization, Pair, ReconError, ReconSpec
 
@@ -81,6 +84,30 @@ def test_clean_up(spark):
         assert [t == "match" for t, _ in found] == [c[3] for c in own], (rules, own, found)
 
 
+def test_dates(spark):
+    """Each format reads what it prints and nothing else."""
+    days = [date(1970, 1, 1), date(1999, 12, 31), date(2024, 2, 29), date(2023, 3, 1), date(2069, 5, 9), *(date(2021, m, 7 + m) for m in range(1, 13))]
+    formats = [
+        "%F", "%D", "%x", "%v", "%e.%m.%Y", "%Y-%j", "%Y%j", "%h %d, %Y", "%A, %d %B %Y", "%a %d %b %y", "%Y-%m-%dT%H:%M:%S", "%F %I:%M %p", "%c", "%d/%m/%Y %R",
+        "%Y.%m.%d %T%.f", "%F%%", "%d%b%Y", "%Y%m%d", "%F %j",
+    ]
+    printed = lambda d, f: datetime(d.year, d.month, d.day, 14, 5, 9).strftime(f.replace("%v", "%e-%b-%Y").replace("%.f", ".25"))
+    for part in (formats[:10], formats[10:]):
+        cells = spark.createDataFrame([(f, printed(d, f), d.isoformat()) for f in part for d in days], "f string, cell string, day string")
+        read = F.coalesce(*(F.when(F.col("f") == f, normalize.iso_date(F.col("cell"), [f])) for f in part))
+        assert [tuple(r) for r in cells.withColumn("read", read).where("read is distinct from day").collect()] == []
+    wrong = [
+        ("%F", "2023-02-29"), ("%F", "2023-02-28\n"), ("%F", " 2023-02-28"), ("%a %F", "Mon 2023-02-28"), ("%Y-%j", "2023-366"), ("%Y-%j", "2023-000"), ("%F %R", "2023-02-28 24:00"),
+        ("%F %I", "2023-02-28 13"), ("%d %b %Y", "3 Foo 2023"), ("%F %j", "2023-02-28 060"), ("%FT", "2023-02-28t"), ("%F", ""), ("%Y-%m", "2023-02"),
+    ]
+    one = spark.range(1).select(*(normalize.iso_date(F.lit(cell), [f]).alias(f"c{i}") for i, (f, cell) in enumerate(wrong)))
+    assert set(one.first()) == {None}
+    a = table(spark, "id v", [("1", "1")])
+    for bad in ("%Y-%m-%d %Q", "%Y-%m-%d %"):
+        with pytest.raises(ReconError, match="unknown directive"):
+            reconcile(a, a, request("id", values_a="v", rules={"dates": True, "date_formats": (bad,)}))
+
+
 def test_clean_up_of_keys_and_display(spark):
     a = table(spark, "id v", [("  AbC  ", "1"), ("100.4", "2")])
     b = table(spark, "id v", [("abc", "1"), ("100.49", "2")])
