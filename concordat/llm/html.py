@@ -19,9 +19,12 @@ the text replaces; an empty table gives an empty table.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -257,34 +260,137 @@ def leaves(node: Node) -> Iterator[Node]:
         todo += reversed(node.children)
 
 
+class _Matcher:
+    """Simple tree matching of two trees.
+
+    How well two subtrees match depends on their labels and on texts that both have, so that it is found once for subtrees which are alike in that.
+    A shape is a subtree's labels with those of the shared texts that are frequent; two subtrees that share no other text match as their shapes do.
+    Subtrees that share a rare text are told by classes, which hold all shared texts, and a rare text is in few of them.
+    A row of the table over two lists of children is made by array operations from the row above; only every so many rows are kept, and those
+    between are made again on the way back.
+    """
+
+    def __init__(self, a: Node, b: Node) -> None:
+        here, there = Counter(x.text for x in leaves(a)), Counter(x.text for x in leaves(b))
+        rare = math.isqrt(there.total()) + 16
+        self.token = {text: k for k, text in enumerate(sorted(here.keys() & there.keys()))}
+        self.often = {k for text, k in self.token.items() if there[text] > rare}
+        self.numbers: dict[tuple, int] = {}
+        #: (shape, class, rare shared texts) of a subtree
+        self.kind: dict[int, tuple[int, int, frozenset[int]]] = {}
+        self.by_shape: dict[tuple[int, int], int] = {}
+        self.by_class: dict[tuple[int, int], int] = {}
+        for root in (a, b):
+            self._classify(root)
+
+    def _classify(self, root: Node) -> None:
+        todo, order = [root], []
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += node.children
+        for node in reversed(order):
+            below = [self.kind[id(x)] for x in node.children]
+            token = self.token.get(node.text, -1) if node.label == "#" else -1
+            often = token if token in self.often else -1
+            shape = self.numbers.setdefault((node.label, often, *(k[0] for k in below)), len(self.numbers))
+            whole = self.numbers.setdefault((node.label, token, None, *(k[1] for k in below)), len(self.numbers))
+            tokens = frozenset().union(*(k[2] for k in below), () if token == often else (token,))
+            self.kind[id(node)] = shape, whole, tokens
+
+    def size(self, x: Node, y: Node, plain: bool = False) -> int:
+        """The size of the largest match; plain: as if rare texts were not shared."""
+        if x.label != y.label:
+            return 0
+        (shape_x, class_x, tokens_x), (shape_y, class_y, tokens_y) = self.kind[id(x)], self.kind[id(y)]
+        plain = plain or tokens_x.isdisjoint(tokens_y)
+        known, key = (self.by_shape, (shape_x, shape_y)) if plain else (self.by_class, (class_x, class_y))
+        if key not in known:
+            if x.label == "#":
+                same = self.token.get(x.text, -1)
+                known[key] = 1 + (x.text == y.text and (not plain or same in self.often))
+            elif not x.children or not y.children:
+                known[key] = 1
+            elif len(x.children) == len(y.children) == 1:
+                known[key] = 1 + self.size(x.children[0], y.children[0], plain)
+            else:
+                row = None
+                for row in self._rows(x.children, y.children, plain):  # noqa: B007
+                    pass
+                known[key] = 1 + int(row[-1])
+        return known[key]
+
+    def _sizes(self, xs: list[Node], ys: list[Node], plain: bool = False) -> Iterator[np.ndarray]:
+        """For each of xs its sizes with ys: by shape, and anew where a rare text is shared."""
+        shapes = np.array([self.kind[id(y)][0] for y in ys])
+        _, some, inverse = np.unique(shapes, return_index=True, return_inverse=True)
+        held: dict[int, list[int]] = {}
+        for j, y in enumerate(() if plain else ys):
+            for token in self.kind[id(y)][2]:
+                held.setdefault(token, []).append(j)
+        known: dict[int, np.ndarray] = {}  # by shape, the sizes with one of each shape of ys
+        for x in xs:
+            shape, _, tokens = self.kind[id(x)]
+            if shape not in known:
+                known[shape] = np.array([self.size(x, ys[k], True) for k in some], np.int32)
+            row = known[shape][inverse]
+            for j in {j for token in tokens for j in held.get(token, ())}:
+                row[j] = self.size(x, ys[j])
+            yield row
+
+    def _rows(self, xs: list[Node], ys: list[Node], plain: bool = False) -> Iterator[np.ndarray]:
+        row = np.zeros(len(ys) + 1, np.int32)
+        yield row
+        for sizes in self._sizes(xs, ys, plain):
+            row = _next(row, sizes)
+            yield row
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The pairs of leaves of the largest match of two trees."""
+        found, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            if x.label != y.label:
+                continue
+            if x.label == "#":
+                found.append((x, y))
+            elif len(x.children) == len(y.children) == 1:
+                todo.append((x.children[0], y.children[0]))
+            elif x.children and y.children:
+                todo += self._children(x.children, y.children)
+        return found
+
+    def _children(self, xs: list[Node], ys: list[Node]) -> Iterator[tuple[Node, Node]]:
+        step = math.isqrt(len(xs)) + 1
+        kept = [row for i, row in enumerate(self._rows(xs, ys)) if i % step == 0]
+        j = len(ys)
+        for block in range(len(kept) - 1, -1, -1):
+            rows = [kept[block]]
+            for sizes in self._sizes(xs[block * step : (block + 1) * step], ys):
+                rows.append(_next(rows[-1], sizes))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield xs[block * step + i], ys[j]
+
+
+def _next(above: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The table's row under above: the best of leaving out either child, and of matching the two."""
+    row = np.empty_like(above)
+    row[0] = 0
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + sizes), out=row[1:])
+    return row
+
+
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: (size of the largest top-down, order-keeping match, its pairs of leaves)."""
-    if a.label != b.label:
-        return 0, []
-    if a.label == "#":
-        return 1 + (a.text == b.text), [(a, b)]
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs = {}
-    for i, x in enumerate(a.children):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(b.children):
-            size = 0
-            if x.label == y.label:
-                pairs[i, j] = found = align(x, y)
-                size = found[0]
-            row[j + 1] = max(row[j], above[j + 1], above[j] + size)
-    matched: list[tuple[Node, Node]] = []
-    i, j = m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            matched += pairs[i, j][1]
-    return 1 + best[m][n], matched
+    matcher = _Matcher(a, b)
+    return matcher.size(a, b), matcher.pairs(a, b)
 
 
 def paths(node: Node) -> list[int]:
@@ -369,9 +475,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str =
             texts = []
             for page, pattern, slots in zip(batch.column(page_at), batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
                 tree, drop = parse_whole(page.as_py() or ""), set()
-                if slots.as_py():
+                if fixed := set(slots.as_py() or ()):
                     model = parse_whole(pattern.as_py())
-                    wanted = {id(x) for k, x in enumerate(leaves(model)) if k in set(slots.as_py())}
+                    wanted = {id(x) for k, x in enumerate(leaves(model)) if k in fixed}
                     own = {id(x) for part in articles(tree) for x in leaves(part)}
                     drop = {id(y) for x, y in align(model, tree)[1] if id(x) in wanted and x.text == y.text and id(y) not in own}
                 texts.append("\n\n".join(x.text for part in chosen(tree, drop) for x in leaves(part) if id(x) not in drop))

@@ -1,5 +1,6 @@
 """Urls, main text and vectors against plain versions, odd inputs, and the pipeline."""
 
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -234,3 +235,45 @@ def test_depth_drops_no_article(spark):
     plain = {k: t for k, t in found.items() if k % 2 == 0}
     assert set(plain.values()) == {wanted}, {k: t[:40] for k, t in plain.items()}
     assert len(found) == len(rows)
+
+
+def best_match(a, b):
+    """Simple tree matching by its definition: for lists of children every pair of first ones is left out or matched."""
+    if a.label != b.label:
+        return 0
+    if a.label == "#":
+        return 1 + (a.text == b.text)
+    table = {}
+    for i in range(len(a.children) - 1, -1, -1):
+        for j in range(len(b.children) - 1, -1, -1):
+            both = best_match(a.children[i], b.children[j]) + table.get((i + 1, j + 1), 0)
+            table[i, j] = max(table.get((i + 1, j), 0), table.get((i, j + 1), 0), both)
+    return 1 + table.get((0, 0), 0)
+
+
+def test_matching_of_random_trees():
+    rng = random.Random(9)
+
+    def tree(depth, width, texts):
+        node = html.Node(rng.choice("ab") if depth < 3 else "a")
+        for _ in range(rng.randrange(width)):
+            leaf = depth == 0 or rng.random() < 0.4
+            node.children.append(html.Node("#", rng.choice(texts)) if leaf else tree(depth - 1, 5, texts))
+        return node
+
+    for turn in range(400):
+        a, b = (tree(3, *((7, "uvwxyz") if turn % 4 else (40, "xxxxxxxyz"))) for _ in "ab")  # wide trees share texts that are frequent
+        size, pairs = html.align(a, b)
+        assert size == best_match(a, b)
+        places = [{id(x): k for k, x in enumerate(html.leaves(t))} for t in (a, b)]
+        met = sorted((places[0][id(x)], places[1][id(y)]) for x, y in pairs)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(met, met[1:], strict=False))  # in order, no leaf twice
+
+
+def test_pages_of_ten_thousand_blocks(spark):
+    """Three pages of one host that share a text in every second block: each keeps what is its own."""
+    block = lambda k, i: f"<div><p>page {k} says {i}</p><p>Reply</p></div>"
+    rows = [(k, "http://h.com/a", "<body><div>Site name</div>" + "".join(block(k, i) for i in range(10_000)) + "</body>") for k in range(3)]
+    found = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    for k in range(3):
+        assert [t for t in found[k].split("\n\n") if t != "Reply"] == [f"page {k} says {i}" for i in range(10_000)]
