@@ -141,6 +141,44 @@ def plain_lines(rows, least):
     return gone
 
 
+def lines_of_maximal_runs(rows, least):
+    """(key, deleted line numbers) from maximal repeated runs: those that no line before or after all their copies extends.
+
+    A later copy of a run of ``least`` words goes, unless it overlaps the first one so far that fewer than ``least`` words lie between their starts.
+    """
+    texts = {key: [x.strip(" \t\r\f\x0b") for x in (t or "").split("\n") if x.strip(" \t\r\f\x0b")] for key, t in rows}
+    copies, gone = {}, {}
+    for key in sorted(texts):
+        part = texts[key]
+        for i in range(len(part)):
+            for j in range(i + 1, len(part) + 1):
+                copies.setdefault(tuple(part[i:j]), []).append((key, i))
+    for run, at in copies.items():
+        before = {texts[k][i - 1] if i else (k, "start") for k, i in at}
+        after = {texts[k][i + len(run)] if i + len(run) < len(texts[k]) else (k, "end") for k, i in at}
+        if len(at) == 1 or len(before) == 1 or len(after) == 1:
+            continue
+        first = at[0]
+        for key, i in at[1:]:
+            apart = i - first[1] if key == first[0] else len(run)
+            if sum(len(x.split()) for x in run[:apart]) >= least:
+                gone.setdefault(key, set()).update(range(i, i + len(run)))
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 5, 9])
+def test_lines_of_maximal_runs(spark, least):
+    rng = random.Random(least)
+    passage = [f"line {rng.random()} of it" for _ in range(70)]  # longer than any part that the operator ranks
+    short = [rng.choice(["a", "b c"]) for _ in range(40)]
+    rows = [(k, "\n".join([f"own {k}", *passage[k : 60 + k], *short[k : k + 20], *["q"] * (3 * k)])) for k in range(9)]
+    for k in range(9, 60):
+        pool = [f"{x} {k % 12}" for x in rng.sample(["a", "b c", "d e f", "g h i j k", "z"], rng.randrange(1, 4))]
+        rows.append((k, "\n".join(rng.choice([*pool, *pool, f"only {rng.random()}"]) for _ in range(rng.randrange(14)))))
+    found = lines.dedup_lines(docs(spark, rows), min_words=least, deleted="gone").collect()
+    assert {r["doc_id"]: set(r["gone"]) for r in found if r["gone"]} == lines_of_maximal_runs(rows, least)
+
+
 @pytest.mark.parametrize("least", [1, 5, 9])
 def test_lines_against_a_plain_version(spark, least):
     rng = random.Random(least)
