@@ -8,6 +8,10 @@ too large for one task is dealt into blocks, and every two blocks meet in a task
 task the binary tries of its groups are traversed together: a pair of nodes carries the bits
 that differ so far and is dropped once they exceed the budget.  Of the links found in a task only a spanning forest leaves it, and
 the components of all links are found by distributed star contraction.
+
+Defined results: null, empty and wordless texts have the fingerprint zero and are linked like any other; texts of fewer words than a
+shingle are one shingle, long ones are taken whole; rows that repeat a key have a row of the result each; an empty table gives an
+empty result.  ``near_duplicates`` returns its own columns only and ``first_of_each`` those of the input, whatever the others are called.
 """
 
 from __future__ import annotations

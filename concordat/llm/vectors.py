@@ -6,7 +6,8 @@ best of each task are few rows, and a window over each query's rows ends the sea
 
 A vector takes part if it is not null and holds no null or non-finite component.  Vectors of unequal
 length are padded with zeros.  Rows that repeat an id count once, by the least vector.  Of candidates with equal vectors a block keeps
-as many as a result can list, those of the smallest ids, since no others can be in it.
+as many as a result can list, those of the smallest ids, since no others can be in it.  Rows without an id take no part.  Results hold
+their own columns only, so that the names of the others do not matter; an empty table, or one without a query or a usable vector, gives an empty result.
 """
 
 from __future__ import annotations

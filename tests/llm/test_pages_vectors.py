@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from concordat.llm import ann, html, topk, urls
@@ -115,6 +116,19 @@ def vectors(spark, n=700, width=12):
     return spark.createDataFrame(rows, "vec_id long, v array<float>").withColumn("score", F.lit("clash")), rows
 
 
+@pytest.mark.parametrize("search", [topk.top_products, ann.nearest])
+def test_vectors_of_clashing_columns_and_none(spark, search):
+    rows = [(k, [float(k % 7 + 1), float(k % 5)]) for k in range(60)] + [(None, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    odd = table
+    for name in ("_q", "_v", "id", "vector", "block", "query_id", "rank", "score"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    plain, clash = (sorted(map(tuple, search(t, F.col("vec_id") % 20 == 0, "vec_id", "v", 3).collect())) for t in (table, odd))
+    assert plain == clash and len(plain) == 9
+    for none in (table.limit(0), table.where("vec_id % 20 != 0"), table.withColumn("v", F.lit(None).cast("array<double>"))):
+        assert search(none, F.col("vec_id") % 20 == 0, "vec_id", "v", 3).count() == 0
+
+
 def test_exact_top_k(spark):
     table, rows = vectors(spark)
     scaled = table.withColumn("w", F.transform("v", lambda x: 256 * x.cast("double")))

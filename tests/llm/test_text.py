@@ -340,6 +340,19 @@ def test_lines_of_repeated_rows_and_overlapping_runs(spark):
     assert len(twice) == 53 and all(r["gone"] == once[r["doc_id"]] for r in twice) and any(once.values())
 
 
+def test_near_copies_of_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    plain = docs(spark, [(1, text), (2, text), (2, text), (3, None), (4, " "), (5, "quite another text of seven words")])
+    odd = plain
+    for name in ("fingerprint", "component", "least", "row", "turn", "key", "t", "group", "cls"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    found = [sorted(map(tuple, simhash.near_duplicates(d).collect())) for d in (plain, odd)]
+    assert found[0] == found[1] and [(r[0], r[2]) for r in found[0]] == [(1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
+    for similarity in (None, 0.8):
+        stay = simhash.first_of_each(odd, similarity=similarity)
+        assert stay.columns == odd.columns and sorted(r["doc_id"] for r in stay.collect()) == [1, 3, 5]
+
+
 def test_parities_never_say_more_than_sets_differ():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 20, 140, 150, 3000)]
