@@ -6,11 +6,15 @@ split where a node has very many edges; nothing is collected.  Lineage is cut by
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a small table that share a partition, and the most nodes that a broadcast tells the least neighbours of.
+ROWS, BROADCAST_ROWS = 50_000, 200_000
+
 
 def set_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the session names in spark.checkpoint.dir; in local mode a temporary one serves where that is unset."""
@@ -27,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than that many rows need, so that steps over small tables are few tasks."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS)))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as ``cut`` writes it, in few partitions if it is small, and its number of rows."""
+    done = cut(df)
+    rows = done.count()
+    return few(done, rows), rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node on an (a, b) edge; component is the least node reachable.
 
@@ -36,12 +52,15 @@ def components(edges: DataFrame) -> DataFrame:
     stars = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while (now := tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before and now[0]:
-        before = now
+        before, n = now, now[0]
+        told = F.broadcast if 2 * n <= BROADCAST_ROWS else lambda df: df  # an edge has two nodes
+        stars = few(stars, n)
         both = stars.union(stars.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # an edge is met once from its lesser end, so that there are no more than before, repeated ones included
+        large = both.join(told(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-        stars = cut(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.*").where("u != v").distinct())
+        stars = cut(few(large.join(told(least), "u").select(F.explode(ends).alias("e")).select("e.*").where("u != v").distinct(), n))
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

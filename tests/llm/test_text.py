@@ -353,6 +353,26 @@ def test_near_copies_of_clashing_columns(spark):
         assert stay.columns == odd.columns and sorted(r["doc_id"] for r in stay.collect()) == [1, 3, 5]
 
 
+def test_components_of_a_small_table_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few tasks", "components")
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+        tracker = context.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup("few tasks") for i in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for i in stages if (x := tracker.getStageInfo(i)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["component"] for r in found} == {0} and len(found) == 41
+    assert tasks < 1000, tasks
+
+
 def test_parities_never_say_more_than_sets_differ():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 20, 140, 150, 3000)]
