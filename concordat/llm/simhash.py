@@ -12,6 +12,9 @@ the components of all links are found by distributed star contraction.
 Defined results: null, empty and wordless texts have the fingerprint zero and are linked like any other; texts of fewer words than a
 shingle are one shingle, long ones are taken whole; rows that repeat a key have a row of the result each; an empty table gives an
 empty result.  ``near_duplicates`` returns its own columns only and ``first_of_each`` those of the input, whatever the others are called.
+
+Where an exact similarity decides (``first_of_each``), fingerprints that agree on some of a fixed number of ranges and differ in at most ``WIDE`` bits name
+the first candidates; what they miss at that similarity is left to ``similar``.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from concordat.llm.common import unused, without
-from concordat.llm.similar import similar_groups
-from concordat.operators.graph import components, cut
+from concordat.llm.similar import class_of, similar_groups
+from concordat.operators.graph import BROADCAST_ROWS, components, cut
 
 #: Fingerprints of a group that one block holds.
 BLOCK = 2048
@@ -39,6 +42,8 @@ BLOCK = 2048
 BATCH = 20_000
 #: Node pairs that a traversal holds at a time.
 FRONTIER = 1 << 20
+#: Bits that fingerprints of similar documents may differ in, and the bit ranges that deal them out, where an exact similarity decides.
+WIDE, WIDE_RANGES = 10, 8
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -134,29 +139,35 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int) -> np.ndarray:
     return label
 
 
-def _choice(n: int, budget: int) -> int:
+def _choice(n: int, budget: int, ranges: int | None = None) -> int:
     """How many of the bit ranges a group shares, so that a group has about a hundred fingerprints of n."""
-    return next(r for r in range(1, 5) if r == 4 or n / 2 ** (64 * r / (budget + r)) <= 128)
+    return next(r for r in range(1, 5) if r == 4 or n / 2 ** (64 * r / (ranges or budget + r)) <= 128)
+
 
+def links(prints: DataFrame, budget: int = 4, column: str = "fingerprint", ranges: int | None = None) -> DataFrame:
+    """(a, b): links that connect every two of the distinct fingerprints within ``budget`` bits, by a spanning forest.
 
-def links(prints: DataFrame, budget: int = 4, column: str = "fingerprint") -> DataFrame:
-    """(a, b): links that connect every two of the distinct fingerprints within ``budget`` bits, by a spanning forest."""
+    With ``ranges``, there are so many whatever the budget is, and only those meet that agree on enough of them.
+    """
     n = prints.count()
-    r = _choice(n, budget)
-    edges = [round(64 * i / (budget + r)) for i in range(budget + r + 1)]
-    ranges = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(budget + r)]
-    masks = [sum(c) for c in itertools.combinations(ranges, r)]
+    r = _choice(n, budget, ranges)
+    cuts = ranges or budget + r
+    edges = [round(64 * i / cuts) for i in range(cuts + 1)]
+    parts = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(cuts)]
+    masks = [sum(c) for c in itertools.combinations(parts, r)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = prints.select(
         F.col(column).alias("fp"), F.posexplode(F.array(*map(F.lit, signed))).alias("choice", "mask")
-    ).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask").cast("long")).alias("key"))
-    large = keyed.groupBy("choice", "key").count().where(F.col("count") > BLOCK)
+    ).select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask").cast("long"))).alias("key"))
+    large = keyed.groupBy("key").count().where(F.col("count") > BLOCK)
+    if n * len(masks) <= BLOCK * BROADCAST_ROWS:  # so many large groups at most, and the fingerprints need not move to meet them
+        large = F.broadcast(large)
     blocks = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1))
     met = (
-        keyed.join(large, ["choice", "key"], "left")
-        .select("fp", "choice", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block"))
-        .select("fp", "choice", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("fp", F.xxhash64("choice", "key", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
+        keyed.join(large, "key", "left")
+        .select("fp", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block"))
+        .select("fp", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("fp", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
     )
     batches = max(1, math.ceil(n * len(masks) / BATCH))
 
@@ -195,11 +206,12 @@ def first_of_each(
 ) -> DataFrame:
     """The rows of docs that stay: of each group of near copies the one with the least (key, text hash), null keys last, once.
 
-    Near copies are linked by fingerprints within ``budget`` bits or, if ``similarity`` is given, are all pairs of at least that exact similarity.
+    Near copies are linked by fingerprints within ``budget`` bits or, if ``similarity`` is given, are all pairs of at least that exact similarity:
+    fingerprints within ``WIDE`` bits name the pairs that are confirmed first, and an exact join finds those that fingerprints tell apart.
     Rows that share a key, or have none, are as many documents as they have texts.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    groups = similar_groups(rows, "key", "text", width, similarity) if similarity is not None else _fingerprint_groups(rows, width, budget)
+    groups = similar_groups(rows, "key", "text", width, similarity, likely_pairs(rows, width)) if similarity is not None else _fingerprint_groups(rows, width, budget)
     order = F.struct(F.col("key").isNull().alias("null"), "key", "t")
     row, number = unused(docs, "row"), unused(docs, "turn")
     stay = groups.groupBy("group").agg(F.min(order).alias("s")).select(F.xxhash64("s.null", "s.key", "s.t").alias(row))
@@ -215,6 +227,16 @@ def first_of_each(
     )
 
 
+def likely_pairs(rows: DataFrame, width: int, budget: int = WIDE, ranges: int = WIDE_RANGES) -> DataFrame:
+    """(a, b): pairs of classes of texts whose fingerprints are linked: equal ones by their least class, others by the trie join's forest."""
+    marked = cut(fingerprints(rows.select(class_of(F.col("text")).alias("cls"), "text"), "text", width).distinct())
+    least = cut(marked.groupBy("fingerprint").agg(F.min("cls").alias("least")))
+    equal = marked.join(least, "fingerprint").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    a, b = (least.select(F.col("fingerprint").alias(f"f{k}"), F.col("least").alias(k)) for k in "ab")
+    joined = links(least, budget, ranges=ranges).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct()
+    return equal.union(joined.join(a, "fa").join(b, "fb").select("a", "b")).where("a != b")
+
+
 def _fingerprint_groups(rows: DataFrame, width: int, budget: int) -> DataFrame:
     """(key, t, group) for every row: the least fingerprint that links reach."""
     marked = cut(fingerprints(rows, "text", width))

@@ -6,9 +6,9 @@ a shingle among the first ``n - ceil(s n) + 1`` of each, whatever the order is,
 Classes that share such a shingle, and whose sizes and places there allow ``s``, are candidates; each is confirmed by the exact
 similarity of its two sets.
 
+Pairs that the caller names, such as those of near fingerprints, are confirmed first and the similar ones united.
 A large group of near copies is not compared as all pairs: in ``ROUNDS`` rounds each class meets one or two pivots of its
-shingles' groups and the confirmed ones are united, from the second round on the class of the group with most links so far and one by hash;
-then every candidate pair that is still in two components is tried.  Those are paired with the parities of their sets at hand: bit i is the parity
+shingles' groups, the class of the group with most links so far and one by hash, and the confirmed ones are united; then every candidate pair that is still in two components is tried.  Those are paired with the parities of their sets at hand: bit i is the parity
 of the shingles that fall on i, so that two sets differ in at least as many shingles as their parities do in bits.  Pairs that differ too much by
 that are no candidates, and no similar pair is lost.
 """
@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concordat.operators.graph import components, cut
+from concordat.operators.graph import components, counted, cut
 
 #: Documents that the order of shingles is learned from, the least number of them that makes a shingle frequent, and the most kept.
 SAMPLE, FREQUENT, KEPT = 20_000, 2, 1 << 18
 #: Classes wanted again, and candidate pairs, are told by a broadcast up to so many.
 BROADCAST_ROWS = 500_000
 #: Rounds of pivots before all remaining candidates.
-ROUNDS = 2
+ROUNDS = 1
 #: Classes of a group that one block holds, rows that a task takes, and candidate pairs looked at at a time.
 BLOCK, BATCH, PAIRS = 2048, 50_000, 1 << 20
 #: Bits of parity for each shingle, and the most of a class: of larger sets fewer pairs are told apart early.
@@ -122,12 +122,12 @@ def _may(similarity: float, n, p, m, q, least):
     return (least(n, m) >= similarity * (n + m - least(n, m)) - SLACK) & ((1 + least(n - p, m - q) - 1) * (1 + similarity) >= similarity * (n + m) - SLACK)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _sets(classes: DataFrame, texts: DataFrame, width: int, made: Callable[[np.ndarray], bytes], small: bool) -> DataFrame:
-    """(cls, made): what is made of the shingle sets of classes.  Only texts of those are read again; what is small is moved in their stead."""
+def _sets(classes: DataFrame, rows: int, texts: DataFrame, width: int, made: Callable[[np.ndarray], bytes], small: bool) -> DataFrame:
+    """(cls, made): what is made of the shingle sets of classes, which may be repeated in their rows.  Only texts of those are read again; what is small is moved in their stead."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -135,14 +135,14 @@ def _sets(classes: DataFrame, texts: DataFrame, width: int, made: Callable[[np.n
             rows = [shingle_set(x.as_py(), width, known) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([made(r[1]) for r in rows], pa.binary())], ["cls", "made"])
 
-    wanted = texts.select(class_of(F.col("text")).alias("cls"), "text").join(_small(classes), "cls", "left_semi")
+    wanted = texts.select(class_of(F.col("text")).alias("cls"), "text").join(_small(classes, rows), "cls", "left_semi")
     once = wanted if small else wanted.dropDuplicates(["cls"])
     sets = once.select("text").mapInArrow(whole, "cls long, made binary")
     return sets.dropDuplicates(["cls"]) if small else cut(sets)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; pairs and texts are materialised."""
+def _confirmed(pairs: DataFrame, rows: int, texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, int]:
+    """The pairs (a, b) whose sets are similar, and how many; pairs and texts are materialised."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +153,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
                 keep.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), texts, width, np.ndarray.tobytes, small=False)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")), 2 * rows, texts, width, np.ndarray.tobytes, small=False)
     x, y = (sets.select(F.col("cls").alias(k), F.col("made").alias(f"_{k}")) for k in "ab")
-    return cut(x.join(_small(pairs), "a").join(y, "b").select("a", "b", "_a", "_b").mapInArrow(compared, "a long, b long"))
+    return counted(x.join(_small(pairs, rows), "a").join(y, "b").select("a", "b", "_a", "_b").mapInArrow(compared, "a long, b long"))
 
 
 def _pivots(places: DataFrame, similarity: float, seed: int) -> DataFrame:
@@ -175,15 +175,15 @@ def _all(places: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     """(a, b): every candidate pair in two components that may be similar by its parities; groups over ``BLOCK`` are dealt into blocks, and every two blocks meet in a task."""
     sizes = places.groupBy("g").agg(F.count("*").alias("count"), F.min("component").alias("least"), F.max("component").alias("most"))
     blocks: Column = F.ceil(F.col("count") / BLOCK)
-    open_places = cut(places.join(sizes.where("least != most").select("g", blocks.alias("blocks")), "g").select("cls", "n", "p", "component", "g", "blocks"))
-    parities = _sets(open_places.select("cls").distinct(), texts, width, parity, small=True).withColumnRenamed("made", "parity")
+    open_places, rows = counted(places.join(sizes.where("least != most").select("g", blocks.alias("blocks")), "g").select("cls", "n", "p", "component", "g", "blocks"))
+    parities = _sets(open_places.select("cls"), rows, texts, width, parity, small=True).withColumnRenamed("made", "parity")
     met = (
         open_places.join(parities, "cls")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cls", "n", "p", "component", "parity", F.xxhash64("g", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
     )
-    batches = max(1, math.ceil(open_places.count() / BATCH))
+    batches = max(1, math.ceil(rows / BATCH))
 
     def paired(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("g", kind="stable")
@@ -206,10 +206,16 @@ def _all(places: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return met.groupBy(F.pmod("g", F.lit(batches)).alias("batch")).applyInPandas(paired, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
+def _found(links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component, links) of the classes that have links, and how many classes those are."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    return counted(components(links).join(degree, "node"))
+
+
+def similar_groups(docs: DataFrame, key: str, text: str, width: int, similarity: float, likely: DataFrame) -> DataFrame:
     """(key, t, group) for every row of docs: its text's hash, and the least class that pairs of at least ``similarity`` reach.
 
-    Wordless texts are one class.
+    ``likely`` has pairs (a, b) of classes that are confirmed before any others are looked for.  Wordless texts are one class.
     """
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     frequent, rank = frequent_shingles(texts, width)
@@ -234,20 +240,18 @@ def similar_groups(docs: DataFrame, key: str, text: str, width: int, similarity:
     rare = every.where("p < rare").select("cls", "n", "p", "g", F.min("cls").over(group).alias("least"), F.max("cls").over(group).alias("most"))
     often = every.where("p >= rare").select("cls", "n", "p", "g").distinct()
     shared = cut(rare.where("least != most").select("cls", "n", "p", "g").distinct().union(often))
-    places = shared.select("*", F.col("cls").alias("component"), F.lit(0).cast("long").alias("links"))
-    links, found, tried = None, None, None
+    pairs, n = counted(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried, (links, _) = pairs, _confirmed(pairs, n, texts, width, similarity)
+    found, nodes = _found(links)
     for turn in range(ROUNDS + 1):
-        if found is not None:
-            places = shared.join(_small(found).withColumnRenamed("node", "cls"), "cls", "left")
-            places = places.withColumns({"component": F.coalesce("component", "cls"), "links": F.coalesce("links", F.lit(0))})
-        pairs = _pivots(places, similarity, turn) if turn < ROUNDS else _all(places, texts, width, similarity)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        new = _confirmed(pairs, texts, width, similarity)
-        links = new if links is None else links.union(new)
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        found = cut(components(links).join(degree, "node"))
+        places = shared.join(_small(found, nodes).withColumnRenamed("node", "cls"), "cls", "left")
+        places = places.withColumns({"component": F.coalesce("component", "cls"), "links": F.coalesce("links", F.lit(0))})
+        new = _pivots(places, similarity, turn) if turn < ROUNDS else _all(places, texts, width, similarity)
+        pairs, n = counted(new.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        new, n = _confirmed(pairs, n, texts, width, similarity)
+        if n:
+            links = links.union(new)
+            found, nodes = _found(links)
     every_row = texts.select("key", F.xxhash64("text").alias("t"), class_of(F.col("text")).alias("cls"))
-    return every_row.join(_small(found).withColumnRenamed("node", "cls"), "cls", "left").select("key", "t", F.coalesce("component", "cls").alias("group"))
+    return every_row.join(_small(found, nodes).withColumnRenamed("node", "cls"), "cls", "left").select("key", "t", F.coalesce("component", "cls").alias("group"))

@@ -30,7 +30,7 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash fingerprints over five words linked by the trie join, confirmed at similarity 0.8; an exact join adds the pairs that fingerprints tell apart."""
     return simhash.first_of_each(docs, width=5, similarity=0.8)
 
 

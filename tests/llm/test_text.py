@@ -353,6 +353,21 @@ def test_near_copies_of_clashing_columns(spark):
         assert stay.columns == odd.columns and sorted(r["doc_id"] for r in stay.collect()) == [1, 3, 5]
 
 
+def test_similar_documents_are_named_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(15)
+    base = [[f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(90)] for _ in range(40)]
+    near = [[*b[:44], f"new{k}", *b[45:]] for k, b in enumerate(base)]
+    texts = docs(spark, [(k, " ".join(t)) for k, t in enumerate(base + near)])
+    cls = {r["cls"]: r["doc_id"] for r in texts.select("doc_id", similar.class_of(F.col("text")).alias("cls")).collect()}
+    named = {tuple(sorted((cls[r["a"]], cls[r["b"]]))) for r in simhash.likely_pairs(texts, 5).collect()}
+    assert len(named & {(k, k + 40) for k in range(40)}) >= 30 and len(named) <= 45
+    # the stage takes them, and what they lack is found all the same
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: asked.append(1) or links(*a, **b).limit(3))
+    kept = simhash.first_of_each(texts, width=5, similarity=0.8).collect()
+    assert asked and sorted(r["doc_id"] for r in kept) == list(range(40))
+
+
 def test_components_of_a_small_table_take_few_tasks(spark):
     held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in held}
