@@ -2,7 +2,7 @@
 
 A text is the average of learned vectors of its words and their byte n-grams (hashed), of which two vectors for how
 it repeats its words take a fixed share; a softmax over two classes stands on it.  The vectors are trained by numpy stochastic gradient descent on a
-bounded sample of labelled rows, as many of either class; the bias is then set to the classes'
+bounded sample of labelled rows, as many of either class, in a task that only the model leaves; the bias is then set to the classes'
 true shares.  As the softmax is linear in
 the average, scoring needs one number per hash bucket: the model that is broadcast is
 ``BUCKETS`` numbers whatever the corpus.  Scoring runs in Arrow batches over whole texts.
@@ -112,13 +112,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     """The model: (per-bucket logits, bias).  usable picks the rows of labels that may be learned from."""
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
     texts = sampled_texts(docs, sample, key, text)  # of at most 2 * SAMPLE rows
-    rows = counted(texts, "text").orderBy("y", F.xxhash64("buckets", "shares")).toArrow()
-    ys = rows.column("y").to_numpy()
-    sizes = pc.list_value_length(rows.column("buckets")).to_numpy()
-    flat, parts = (np.concatenate([np.zeros(0, kind), *(np.asarray(chunk.flatten()) for chunk in rows.column(c).chunks)]) for c, kind in (("buckets", np.int32), ("shares", np.float32)))
-    del rows  # the driver holds the sample once
-    logits, bias = train(ys, np.r_[0, np.cumsum(sizes)].astype(np.int64), flat, parts)
-    seen = np.bincount(ys, minlength=2)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(map(np.asarray, (y, pc.list_value_length(buckets), buckets.flatten(), shares.flatten()))) for y, buckets, shares in (batch.columns for batch in batches)]
+        kinds = (np.int32, np.int64, np.int32, np.float32)
+        ys, sizes, flat, parts = (np.concatenate([np.zeros(0, kind), *(r[k] for r in rows)]) for k, kind in enumerate(kinds))
+        logits, bias = train(ys, np.r_[0, np.cumsum(sizes)].astype(np.int64), flat, parts)
+        yield pa.RecordBatch.from_pylist([{"logits": logits.tobytes(), "bias": bias, "seen": np.bincount(ys, minlength=2).tolist()}], schema)
+
+    schema = pa.schema([("logits", pa.binary()), ("bias", pa.float64()), ("seen", pa.list_(pa.int64()))])
+    # the order is that of all rows, so that the model does not depend on how they are dealt
+    rows = counted(texts, "text").repartition(1).sortWithinPartitions("y", F.xxhash64("buckets", "shares"))
+    model = rows.mapInArrow(trained, "logits binary, bias double, seen array<long>").first()
+    if model is None:  # no row, and no task for it
+        return np.zeros(BUCKETS, np.float32), 0.0
+    logits, bias, seen = np.frombuffer(model["logits"], np.float32), model["bias"], np.array(model["seen"])
     true = labels.where(usable).agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b")).first()
     if seen.all():
         bias += float(np.log(true["b"] / true["a"]) - np.log(seen[1] / seen[0]))

@@ -111,10 +111,10 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
     # exact copies fall on the same side of the hash; what they add to the counts bears on the order alone
     part = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     counted = part.mapInArrow(shingled, "g long").groupBy("g").count().where(F.col("count") >= FREQUENT)
-    rows = counted.orderBy(F.desc("count"), "g").limit(KEPT).toPandas()
-    shingles = rows["g"].to_numpy(np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("count"), "g").limit(KEPT).toArrow()
+    shingles = rows.column("g").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], rows["count"].to_numpy(np.int64)[order]
+    return shingles[order], rows.column("count").to_numpy()[order]
 
 
 def _may(similarity: float, n, p, m, q, least):

@@ -4,7 +4,7 @@ Training tokens take their labels from labelled documents: in toxic ones, a word
 frequent there than in clean ones (smoothed log odds of document counts).  The field has two
 states; a token's emission adds a weight for its word and the mean weight of its byte n-grams (hashed), and
 transitions are learned.  It is fitted by AdaGrad on the exact likelihood of a bounded sample of sentences, and again with
-the words of clean documents that it took for toxic.
+the words of clean documents that it took for toxic, either time in a task that only the field's weights leave.
 Inference runs forward and backward over every sentence of the whole text; with two states both passes
 are recursions of one ratio, taken for all sentences of a batch together.  A document's score is its highest
 marginal, as calibrated by a logistic curve on the sample's documents and the true shares of the
@@ -61,7 +61,7 @@ def plain(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.large_string())), _PUNCTUATION, "")
 
 
-def sentences(texts: DataFrame, text: str, words: list[str]) -> pa.Table:
+def sentences(texts: DataFrame, text: str, words: list[str]) -> DataFrame:
     """(tokens, tags): a bounded sample of training sentences, those of the lowest hash."""
     listed = F.lit(words) if words else F.array().cast("array<string>")
     tokens = F.transform(F.filter(F.split(F.col("s"), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(F.lower(w), _PUNCTUATION, ""))
@@ -74,7 +74,7 @@ def sentences(texts: DataFrame, text: str, words: list[str]) -> pa.Table:
     )
     order = [F.xxhash64("tokens"), F.col("tokens")]
     some = [rows.where(F.col("bad") == kind).distinct().orderBy(*order).limit(most) for kind, most in zip((True, False), SENTENCES, strict=True)]
-    return some[0].union(some[1]).select("tokens", "bad").orderBy("bad", *order).toArrow()
+    return some[0].union(some[1]).select("tokens", "bad")
 
 
 def ratios(odds: np.ndarray, edges: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +159,21 @@ def train(rows: pa.Table, toxic: list[str]) -> tuple[np.ndarray, float, np.ndarr
     return weights.astype(np.float32), float(bias), np.exp(move)
 
 
+def trained(rows: DataFrame, toxic: list[str], clean: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
+    """``train`` in a task, on rows of ``sentences`` in an order of their own and then on the words of clean, as sentences of one word."""
+    schema = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("move", pa.list_(pa.float64()))])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("tokens", pa.list_(pa.string())), ("bad", pa.bool_())])
+        more = pa.record_batch([pa.array([[w] for w in clean], kinds.types[0]), pa.array([False] * len(clean), pa.bool_())], kinds)
+        weights, bias, move = train(pa.Table.from_batches([*(b.cast(kinds) for b in batches), more], kinds), toxic)
+        yield pa.RecordBatch.from_pylist([{"weights": weights.tobytes(), "bias": bias, "move": move.ravel().tolist()}], schema)
+
+    whole = rows.repartition(1).sortWithinPartitions("bad", F.xxhash64("tokens"), "tokens")
+    found = whole.mapInArrow(fitted, "weights binary, bias double, move array<double>").first()
+    return np.frombuffer(found["weights"], np.float32), found["bias"], np.array(found["move"]).reshape(2, 2)
+
+
 def hard_words(texts: DataFrame, text: str, model) -> list[str]:
     """Words of clean documents that the model suspects, the most suspect first."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
@@ -201,19 +216,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     """The model, or None without toxic words to learn.  usable picks the rows of labels that may be learned from."""
     sample = labelled_sample(labels, label, usable, SAMPLE, key)
     texts, text = sampled_texts(docs, sample, key, text).persist(), "text"  # of at most 2 * SAMPLE rows
+    kept = [texts]
     try:
         words = toxic_words(texts, text)
         if not words:
             return None
-        rows = sentences(texts, text, words)
-        model = train(rows, words)
-        hard = hard_words(texts, text, model)
-        more = pa.table({"tokens": pa.array([[w] for w in hard], rows.schema.field("tokens").type), "bad": pa.array([False] * len(hard))})
-        model = train(pa.concat_tables([rows, more.cast(rows.schema)]), words)
+        rows = sentences(texts, text, words).persist()
+        kept.append(rows)
+        model = trained(rows, words, [])
+        model = trained(rows, words, hard_words(texts, text, model))
         counts = labels.where(usable).agg(F.count_if(F.col(label) == 1).alias("n"), F.count(label).alias("all")).first()
         return (*model, *curve(texts, text, model, counts["n"] / counts["all"]))
     finally:
-        texts.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from concordat.llm import bpe, lines, packing, quality, simhash, similar, toxicity
@@ -243,6 +244,27 @@ def test_toxicity(spark, monkeypatch):
     assert toxicity.tag(docs(spark, []), None).count() == 0
 
 
+def in_tasks(monkeypatch, module):
+    plain = module.train
+
+    def train(*parts):
+        assert TaskContext.get() is not None
+        return plain(*parts)
+
+    monkeypatch.setattr(module, "train", train)
+
+
+def test_training_leaves_the_sample_on_the_executors(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DOCS", 2)
+    monkeypatch.setattr(toxicity, "ODDS", 1.5)
+    table, labels = labelled(spark, WORDS, ["grukle", "snarfle", "blorptic"])
+    for module in (quality, toxicity):
+        before = module.fit(table, labels, F.col("doc_id") < 40)
+        in_tasks(monkeypatch, module)
+        again = module.fit(table.repartition(7), labels, F.col("doc_id") < 40)
+        assert all(np.array_equal(a, b) for a, b in zip(before, again, strict=True))
+
+
 def test_forward_and_backward_against_all_paths():
     rng = np.random.default_rng(5)
     edges = np.array([0, 3, 3, 4, 9])
