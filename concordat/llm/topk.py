@@ -1,7 +1,7 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists.
 
 A block of candidates holds, for each component, its rows in order of that component.  A query reads the
-lists in step from the end that raises its score, and has for every candidate the sum of what it has seen:
+lists in step from the end that raises its score, all queries of a block together, and has for every candidate the sum of what it has seen:
 with the frontiers of the unread rest that is an upper bound, with the lists' far ends a lower bound.  A
 candidate whose upper bound falls below the k-th lower bound cannot qualify; reading stops when few are left, whose scores are then
 resolved, and their k-th best is the least bound for the blocks that follow in the task.  Candidates that tie with the k-th bound stay until then, so ties go to the smaller id.
@@ -27,37 +27,33 @@ def sorted_lists(values: np.ndarray) -> bytes:
     return np.argsort(values, axis=0, kind="stable").astype(np.int32).T.tobytes()
 
 
-def no_random_access(query: np.ndarray, values: np.ndarray, place: np.ndarray, ends: np.ndarray, k: int, floor: float) -> np.ndarray:
-    """The rows of values that may be among the k of highest inner product, ties included, and not below floor.
+def no_random_access(queries: np.ndarray, values: np.ndarray, place: np.ndarray, ends: np.ndarray, k: int, floors: np.ndarray) -> np.ndarray:
+    """For each query, the rows of values that may be among the k of highest inner product, ties included, and not below its floor.
 
+    A query without a dimension of its own gets their numbers, queries a mask of queries by rows.
     place: each row's place in each component's ascending list; ends: the lists' values.  A row has been seen in a
-    list read to some depth if its place is within that depth, so nothing else of a row is looked at.
+    list read to some depth if its place is within that depth, so nothing else of a row is looked at: an unseen value is
+    the frontier's to the upper bound and the far end's to the lower one, whatever the query, so that the bounds of all queries are products.
     """
+    if queries.ndim == 1:
+        return np.flatnonzero(no_random_access(queries[None], values, place, ends, k, np.array([floors]))[0])
     n = len(values)
-    used = np.flatnonzero(query)
-    active = np.arange(n)
-    if n <= max(FEW, k) or not len(used):
-        return active
-    weight = query[used]
-    rising = weight < 0  # lists read from their low end
-    if len(used) < len(query):
-        values, place, ends = values[:, used], place[:, used], ends[:, used]
-    order = np.where(rising, place, place.dtype.type(n - 1) - place)
-    gain = values * weight
-    low = np.where(rising, ends[-1], ends[0]) * weight
+    keep = np.ones((len(queries), n), bool)
+    if n <= max(FEW, k):
+        return keep
+    falling, rising = np.maximum(queries, 0), np.minimum(queries, 0)  # lists read from their high end, and from their low end
+    left = np.arange(len(queries))
     for depth in DEPTHS:
         read = min(n, max(k, int(n * depth)))
-        frontier = np.where(rising, ends[read - 1], ends[n - read]) * weight
-        seen = (order < read).astype(gain.dtype)
-        known = np.einsum("ij,ij->i", seen, gain)
-        bounds = seen @ np.stack([low, frontier], 1)
-        lower, upper = known + (low.sum() - bounds[:, 0]), known + (frontier.sum() - bounds[:, 1])
-        kth = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k]) if len(lower) >= k else floor
-        keep = upper >= kth
-        active, order, gain = active[keep], order[keep], gain[keep]
-        if len(active) <= max(FEW, k):
+        down, up = falling[left], rising[left]
+        upper = down @ np.maximum(values, ends[n - read]).T + up @ np.minimum(values, ends[read - 1]).T
+        lower = down @ np.where(place >= n - read, values, ends[0]).T + up @ np.where(place < read, values, ends[-1]).T
+        kth = np.maximum(floors[left], np.partition(lower, n - k, axis=1)[:, n - k])
+        keep[left] &= upper >= kth[:, None]
+        left = left[keep[left].sum(1) > max(FEW, k)]
+        if not len(left):
             break
-    return active
+    return keep
 
 
 def top_products(rows: DataFrame, is_query: Column, key: str, vector: str, k: int) -> DataFrame:
@@ -79,15 +75,16 @@ def top_products(rows: DataFrame, is_query: Column, key: str, vector: str, k: in
             place = np.empty(lists.shape, np.int16 if len(cids) < 1 << 15 else np.int32)
             np.put_along_axis(place, lists, np.arange(len(cids), dtype=place.dtype)[:, None], 0)
             ends = np.take_along_axis(values, lists, 0)
-            # floats hold the sums exactly up to 2**53, and are faster
+            # floats hold the sums exactly up to 2**24 or 2**53, and are faster
             largest = float(np.abs(asked).max(initial=0)) * float(np.abs(values).max(initial=0)) * max(width, 1)
-            kind = np.float64 if largest < 2.0**53 else np.int64
-            wide, ends = values.astype(kind), ends.astype(kind)
+            kind = np.float32 if largest < 2.0**24 else np.float64 if largest < 2.0**53 else np.int64
+            least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+            floors = np.array([scores[k - 1] if len(scores) == k else least for _, scores in best], np.int64 if kind is np.int64 else np.float64)
+            # one more, as the query's own row may be among them
+            keep = no_random_access(asked.astype(kind), values.astype(kind), place, ends.astype(kind), k + 1, floors)
             for n, (qid, query) in enumerate(zip(qids, asked, strict=True)):
                 ids, scores = best[n]
-                floor = scores[k - 1] if len(scores) == k else -np.inf
-                # one more, as the query's own row may be among them
-                rows = no_random_access(query.astype(kind), wide, place, ends, k + 1, floor)
+                rows = np.flatnonzero(keep[n])
                 rows = rows[cids[rows] != qid]
                 ids, scores = np.r_[ids, cids[rows]], np.r_[scores, values[rows] @ query]
                 order = np.lexsort((ids, -scores))[:k]

@@ -157,6 +157,21 @@ def test_bounded_reading_keeps_every_winner():
             assert set(np.flatnonzero(score >= np.sort(score)[-6])) <= set(rows)
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64, np.int64])
+def test_bounded_reading_of_many_queries_at_once(kind):
+    rng = np.random.default_rng(11)
+    for high in (2, 40):  # with many ties, and with few
+        values, queries = rng.integers(-high, high, (700, 6)), rng.integers(-high, high, (50, 6))
+        queries[0] = 0
+        place = np.argsort(np.argsort(values, 0, kind="stable"), 0).astype(np.int16)
+        scores = queries @ values.T
+        kth = np.sort(scores, 1)[:, -6]
+        for floors in (np.full(50, np.iinfo(np.int64).min), np.sort(scores, 1)[:, -20]):
+            keep = topk.no_random_access(queries.astype(kind), values.astype(kind), place, np.sort(values, 0).astype(kind), 6, floors)
+            assert keep.shape == scores.shape and keep[scores >= kth[:, None]].all()
+    assert keep.mean() < 0.2  # most rows fall
+
+
 def test_nearest(spark):
     table, rows = vectors(spark)
     found = {}
