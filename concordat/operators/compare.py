@@ -56,7 +56,7 @@ def groups(side: DataFrame, name: str, unkeyed: bool = False) -> DataFrame:
         side, keys = side.withColumn("apart", F.when(usable(), "").otherwise(alone)), ["nkey", "apart"]
     else:
         side = side.where(usable())
-    return side.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("first"), every.alias("rows")).select(*keys, *(F.col(c).alias(f"{c}_{name}") for c in ("n", "first", "rows")))
+    return side.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("first"), F.when(F.count("*") > 1, every).alias("rows")).select(*keys, *(F.col(c).alias(f"{c}_{name}") for c in ("n", "first", "rows")))
 
 
 def difference_list(met: DataFrame, spec: ReconSpec, name: str) -> DataFrame:

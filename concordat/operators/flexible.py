@@ -5,6 +5,8 @@ makes no large block: of one component a number with a word, or two words; of se
 share one word only count where neither key has another candidate, so those words alone are met that a single key of one side holds.
 A key with ``**`` meets keys without on the rarest of what must stand in them: its head, its tail, or a few letters between
 its patterns; regular expressions decide these pairs in the JVM.  Two keys with ``**`` meet on their heads or tails.
+
+Keys are numbered in the order that ties follow, and from then on pairs are two numbers: what is written between steps holds no text of keys but the list of keys itself.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from concordat.functions.tokens import (
     ANY, RANKS, component_tokens, components_fit, has_numbers, has_pattern, literal_pieces, may_fit, pattern_match, shared_tokens,
 )
-from concordat.operators.graph import cut
+from concordat.operators.graph import BROADCAST_ROWS, cut
 from concordat.operators.matching import assign, assigned, preference  # noqa: F401
 from concordat.spec import ReconError, ReconSpec
 
@@ -45,21 +47,44 @@ def _products(left: Column, right: Column) -> Column:
     return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.concat(x, F.lit("\x1f"), y))))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as ``cut`` writes it, not to be broadcast unasked.
+
+    Spark takes its size from the compressed size of the files that it came from and is blind to exploded rows, so that it would send millions of keys through the driver.
+    """
+    return cut(df).hint("merge")
+
+
+def numbered(side: DataFrame) -> DataFrame:
+    """(id, nkey) of a side's groups; id follows their first rows, then the keys."""
+    if "id" in side.columns:
+        return side
+    return kept(side.select("nkey", F.col(next(c for c in side.columns if c.startswith("first_"))).getField("rid").alias("rid")).orderBy("rid", "nkey").select(F.monotonically_increasing_id().alias("id"), "nkey"))
+
+
+def _nothing(side: DataFrame, *columns: str) -> DataFrame:
+    kinds = {"kind": "string", "id": "bigint", "id_a": "bigint", "id_b": "bigint"}
+    return side.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'array<string>')}" for c in columns))
+
+
+def _named(side: DataFrame, s: str) -> DataFrame:
+    return side.select(F.col("id").alias(f"id_{s}"), F.col("nkey").alias(f"nkey_{s}"))
+
+
 def _plain(a: DataFrame, b: DataFrame) -> list[DataFrame]:
-    return [k.where(~has_pattern(F.col("nkey"))).select("nkey", F.transform("nkey", component_tokens).alias("t")) for k in (a, b)]
+    return [k.where(~has_pattern(F.col("nkey"))).select("id", "nkey", F.transform("nkey", component_tokens).alias("t")) for k in (numbered(a), numbered(b))]
 
 
 def token_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] | None = None) -> DataFrame:
-    """(nkey_a, nkey_b, kind) of unequal keys without patterns that share tokens; of keys of one component those alone that share more than a word.
+    """(nkey_a, nkey_b, kind, id_a, id_b) of unequal keys without patterns that share tokens; of keys of one component those alone that share more than a word.
 
     parts: how many components the keys of each side have; found out if not given.
     """
     plain = _plain(a, b)
     if parts is None:
         parts = tuple(max((k.select(F.size("nkey")).first() or [0])[0], 0) for k in plain)
-    if parts[0] != parts[1] or not parts[0]:
-        none = "nkey_a array<string>, nkey_b array<string>, kind string"
-        return a.sparkSession.createDataFrame([], none)
+    if parts[0] != parts[1] or not parts[0] or not all(k.limit(1).count() for k in plain):
+        return _nothing(a, "nkey_a", "nkey_b", "kind", "id_a", "id_b")
     if parts[0] == 1:
         t = F.get("t", 0)
         numbers = F.concat(F.transform(t["numbers"], lambda n: F.concat(F.lit("n:"), n)), F.transform(t["identifiers"], lambda n: F.concat(F.lit("i:"), n)))
@@ -71,28 +96,28 @@ def token_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] | None =
         one, two = (r["i"] for r in sizes) if len(sizes) == 2 else (0, 1)
         terms = [_products(*(_terms(F.get("nkey", i), F.get("t", i), s) for i in (one, two))) for s in "ab"]
     blocked = [
-        k.select(F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.array_distinct(x)).alias("term"))
+        k.select(F.col("id").alias(f"id_{s}"), F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.array_distinct(x)).alias("term"))
         for s, k, x in zip("ab", plain, terms, strict=True)
     ]
     met = blocked[0].join(blocked[1], "term").where("nkey_a != nkey_b")
     kind = shared_tokens(F.col("nkey_a"), F.col("nkey_b"), F.col("t_a"), F.col("t_b"))
-    return met.select("nkey_a", "nkey_b", kind.alias("kind")).where("kind is not null").distinct()
+    return met.select("nkey_a", "nkey_b", kind.alias("kind"), "id_a", "id_b").where("kind is not null").distinct()
 
 
 def lone_word_candidates(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """((nkey_a, nkey_b) of keys of one component that share one word and no more, keys of each side that have several such partners).
+    """((id_a, id_b) of keys of one component that share one word and no more, keys of each side that have several such partners).
 
     Pairs by a word that several keys of both sides hold are not met: each of those keys is listed as one of several partners.
     """
     words = [
-        k.where(~has_numbers(F.get("t", 0))).select(F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.get("t", 0)["alpha"]).alias("word"))
+        k.where(~has_numbers(F.get("t", 0))).select(F.col("id").alias(f"id_{s}"), F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.get("t", 0)["alpha"]).alias("word"))
         for s, k in zip("ab", _plain(a, b), strict=True)
     ]
     counts = words[0].groupBy("word").agg(F.count("*").alias("n_a")).join(words[1].groupBy("word").agg(F.count("*").alias("n_b")), "word")
     met = words[0].join(counts.where("n_a = 1 or n_b = 1"), "word").join(words[1], "word").where("nkey_a != nkey_b")
     kind = shared_tokens(F.col("nkey_a"), F.col("nkey_b"), F.col("t_a"), F.col("t_b"))
-    pairs = met.where(kind == "shared_text").select("nkey_a", "nkey_b").distinct()
-    several = [words[n].join(counts.where(f"n_{other} > 1"), "word", "left_semi").select(f"nkey_{s}").distinct() for n, (s, other) in enumerate(("ab", "ba"))]
+    pairs = met.where(kind == "shared_text").select("id_a", "id_b").distinct()
+    several = [words[n].join(counts.where(f"n_{other} > 1"), "word", "left_semi").select(f"id_{s}").distinct() for n, (s, other) in enumerate(("ab", "ba"))]
     return pairs, several
 
 
@@ -136,38 +161,45 @@ def _own_part(mark: str, key: str) -> Column:
     return F.concat(F.lit(mark), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("string"))
 
 
-def _patterns(keys: DataFrame, name: str) -> DataFrame:
-    pieces = literal_pieces(F.col("nkey"))
-    found = keys.where(has_pattern(F.col("nkey"))).select(F.col("nkey").alias(name), pieces.alias("pieces"))
-    return found.select(name, F.get("pieces", 0).alias("head"), F.get("pieces", F.size("pieces") - 1).alias("tail"), "pieces")
+def _patterns(keys: DataFrame) -> DataFrame:
+    found = keys.where(has_pattern(F.col("nkey"))).select("id", "nkey", literal_pieces(F.col("nkey")).alias("pieces"))
+    return found.select("id", "nkey", F.get("pieces", 0).alias("head"), F.get("pieces", F.size("pieces") - 1).alias("tail"), "pieces")
 
 
 def patterns_with_texts(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """(p, k): each pattern of patterns with the keys without patterns of texts that hold the rarest of what its own must hold."""
-    p = _patterns(patterns, "p")
-    k = texts.where(~has_pattern(F.col("nkey"))).select(F.col("nkey").alias("k"), F.array_join("nkey", "").alias("s"))
-    lengths = _lengths(p)
-    longest = F.array_max(F.transform("pieces", F.length))
-    size = F.least(F.lit(GRAM), longest)
+    """(p, k), numbers of keys: each pattern of patterns with the keys without patterns of texts that hold the rarest of what its own must hold.
+
+    What they meet on goes by its hash: pairs that only hashes make are few, and do not fit.
+    """
+    p = _patterns(patterns).withColumn("longest", F.array_max(F.transform("pieces", F.length)))
+    edgeless = (F.col("head") == "") & (F.col("tail") == "")
+    row = p.agg(F.count("*").alias("n"), F.collect_set(F.when(edgeless, F.least(F.lit(GRAM), "longest"))).alias("sizes")).first()
+    if not row["n"]:
+        return _nothing(patterns, "id", "nkey").select(F.col("id").alias("p"), F.col("id").alias("k"))
+    lengths, sizes = _lengths(p), sorted(row["sizes"])  # grams are made only of the sizes that patterns without edges ask for; 0: without letters
+    hashed = lambda blocks: F.array_distinct(F.transform(blocks, lambda x: F.xxhash64(x)))
     edges = F.array_compact(F.array(*(F.when(F.col(c) != "", made(F.col(c), F.array_max(_sizes(F.col(c), lengths[c])))) for c, made in (("head", _head), ("tail", _tail)))))
-    between = F.array_distinct(F.flatten(F.transform("pieces", lambda x: _grams(x, size))))
-    wanted = p.select("p", F.explode(F.when(F.size(edges) > 0, edges).when(longest > 0, between).otherwise(_parts("s"))).alias("block"), F.size(edges).alias("edges"), longest.alias("longest"))
-    wanted = wanted.withColumn("all", (F.col("edges") == 0) & (F.col("longest") == 0))
+    between = F.flatten(F.transform("pieces", lambda x: _grams(x, F.least(F.lit(GRAM), "longest"))))
+    blocks = F.when(F.size(edges) > 0, edges).when(F.col("longest") > 0, between).otherwise(_parts("s"))
+    wanted = cut(p.select(F.col("id").alias("p"), F.explode(hashed(blocks)).alias("block"), (edgeless & (F.col("longest") == 0)).alias("all")))
+    few = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df.hint("merge")
     s = F.col("s")
-    held = F.concat(
-        F.transform(_sizes(s, lengths["head"]), lambda n: _head(s, n)), F.transform(_sizes(s, lengths["tail"]), lambda n: _tail(s, n)), *(_grams(s, F.lit(n)) for n in range(1, GRAM + 1)), F.array(_own_part("s", "k"))
-    )
-    texts_at = k.select("k", F.explode(held).alias("block")).join(wanted.select("block").distinct(), "block", "left_semi")
-    texts_at = cut(texts_at)
+    held = [F.transform(_sizes(s, lengths["head"]), lambda n: _head(s, n)), F.transform(_sizes(s, lengths["tail"]), lambda n: _tail(s, n))]
+    held += [_grams(s, F.lit(n)) if n else F.array(_own_part("s", "nkey")) for n in sizes]
+    k = texts.where(~has_pattern(F.col("nkey"))).select(F.col("id").alias("k"), "nkey", F.array_join("nkey", "").alias("s"))
+    texts_at = kept(k.select("k", F.explode(hashed(F.concat(*held))).alias("block")).join(few(wanted.select("block").distinct()), "block", "left_semi"))
     counts = texts_at.groupBy("block").agg(F.count("*").alias("n"))
-    counted = wanted.join(counts, "block", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = wanted.hint("merge").join(counts, "block", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.where("not all").groupBy("p").agg(F.min_by("block", F.struct("n", "block")).alias("block"))
-    return rarest.union(counted.where("all").select("p", "block")).join(texts_at, "block").select("p", "k")
+    return rarest.union(wanted.where("all").select("p", "block")).join(texts_at, "block").select("p", "k")
 
 
 def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(nkey_a, nkey_b): keys that both hold patterns, and whose heads and tails agree as far as both go, or of which one has none where the other has."""
-    left, right = (_patterns(k, f"nkey_{s}").withColumnRenamed("head", f"head_{s}").withColumnRenamed("tail", f"tail_{s}").drop("pieces") for s, k in (("a", a), ("b", b)))
+    """(nkey_a, nkey_b, id_a, id_b): keys that both hold patterns, and whose heads and tails agree as far as both go, or of which one has none where the other has."""
+    columns = ["nkey_a", "nkey_b", "id_a", "id_b"]
+    left, right = (_patterns(k).drop("pieces").withColumnsRenamed({c: f"{c}_{s}" for c in ("id", "nkey", "head", "tail")}) for s, k in (("a", a), ("b", b)))
+    if not (left.limit(1).count() and right.limit(1).count()):
+        return _nothing(a, *columns)
 
     lengths = _lengths(*(k.select(F.col(f"head_{s}").alias("head"), F.col(f"tail_{s}").alias("tail")) for s, k in (("a", left), ("b", right))))
 
@@ -180,8 +212,8 @@ def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
             sides.append(at.withColumn("block", made(text, F.col(f"n_{s}"))))
         return sides[0].join(sides[1], "block").where("n_a = most_a or n_b = most_b")
 
-    heads = along("head", _head).select("nkey_a", "nkey_b")
-    tails = along("tail", _tail).where("head_a = '' or head_b = ''").select("nkey_a", "nkey_b")
+    heads = along("head", _head).select(columns)
+    tails = along("tail", _tail).where("head_a = '' or head_b = ''").select(columns)
 
     def open_sides(k: DataFrame, s: str) -> DataFrame:
         no_head, no_tail, key = F.col(f"head_{s}") == "", F.col(f"tail_{s}") == "", f"nkey_{s}"
@@ -195,67 +227,75 @@ def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
             F.when(~no_head & no_tail, every("ht")) if first else F.when(no_head & ~no_tail, own("ht")),
             F.when(no_head & ~no_tail, own("th")) if first else F.when(~no_head & no_tail, every("th")),
         ]
-        return k.select(key, F.explode(F.concat(*(F.coalesce(x, none) for x in blocks))).alias("block"))
+        return k.select(key, f"id_{s}", F.explode(F.concat(*(F.coalesce(x, none) for x in blocks))).alias("block"))
 
-    rest = open_sides(left, "a").join(open_sides(right, "b"), "block").select("nkey_a", "nkey_b")
+    rest = open_sides(left, "a").join(open_sides(right, "b"), "block").select(columns)
     return heads.union(tails).union(rest)
 
 
 def pattern_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] = (2, 2)) -> DataFrame:
-    """(nkey_a, nkey_b, kind) of unequal keys of which one or both hold a pattern.
+    """(nkey_a, nkey_b, kind, id_a, id_b) of unequal keys of which one or both hold a pattern.
 
     Python tells pairs apart of which both hold one, and, of keys of several components, those that fit across the ends of components only.
     """
-    one = patterns_with_texts(a, b).select(F.col("p").alias("nkey_a"), F.col("k").alias("nkey_b"), F.lit(True).alias("left"))
-    one = one.union(patterns_with_texts(b, a).select("k", "p", F.lit(False)))
+    a, b = numbered(a), numbered(b)
+    columns = ["nkey_a", "nkey_b", "id_a", "id_b"]
+    one = patterns_with_texts(a, b).select(F.col("p").alias("id_a"), F.col("k").alias("id_b"), F.lit(True).alias("left"))
+    one = one.union(patterns_with_texts(b, a).select("k", "p", F.lit(False))).join(_named(a, "a"), "id_a").join(_named(b, "b"), "id_b")
     p, k = F.when(F.col("left"), F.col("nkey_a")).otherwise(F.col("nkey_b")), F.when(F.col("left"), F.col("nkey_b")).otherwise(F.col("nkey_a"))
     fits = components_fit(p, k)
-    two = patterns_with_patterns(a, b).where("nkey_a != nkey_b")
-    python = two
+    python = patterns_with_patterns(a, b).where("nkey_a != nkey_b")
     if parts != (1, 1):
-        python = python.union(one.where(~fits & may_fit(p, k)).select("nkey_a", "nkey_b"))
+        one = kept(one.withColumn("fits", fits).where(F.col("fits") | may_fit(p, k)))
+        python, fits = python.union(one.where("not fits").select(columns)), F.col("fits")
     by_python = python.withColumn("kind", pattern_match(F.col("nkey_a"), F.col("nkey_b"))).where("kind is not null")
-    return one.where(fits).select("nkey_a", "nkey_b", F.lit("component_wildcard").alias("kind")).union(by_python)
+    return one.where(fits).select("nkey_a", "nkey_b", F.lit("component_wildcard").alias("kind"), "id_a", "id_b").union(by_python.select("nkey_a", "nkey_b", "kind", "id_a", "id_b"))
 
 
-def candidates(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
-    """(nkey_a, nkey_b, rank, literals, patterns, first_a, first_b): every classified pair that is not pruned."""
-    keys = [k.select("nkey", F.col(f"first_{s}.rid").alias("rid")) for s, k in (("a", a), ("b", b))]
+def scored(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
+    """(id_a, id_b, rank, literals, patterns) of numbered keys: every classified pair that is not pruned."""
     if spec.max_comparisons is not None:
-        n_a, n_b = (k.count() for k in keys)
+        n_a, n_b = (k.count() for k in (a, b))
         if n_a * n_b > spec.max_comparisons:
             raise ReconError(f"flexible matching would compare more than {spec.max_comparisons} key pairs; at least {spec.max_comparisons + 1}")
-    same = keys[0].select(F.col("nkey").alias("nkey_a")).join(keys[1].select(F.col("nkey").alias("nkey_b")), F.col("nkey_a") == F.col("nkey_b"))
+    same = _named(a, "a").join(_named(b, "b"), F.col("nkey_a") == F.col("nkey_b"))
     parts = (len(spec.keys_a), len(spec.keys_b))
-    found = same.select("nkey_a", "nkey_b", F.lit("exact").alias("kind")).union(token_candidates(*keys, parts)).union(pattern_candidates(*keys, parts))
-    strong = found = cut(found)
-    if parts == (1, 1):
-        pairs, several = lone_word_candidates(*keys)
-        pairs = cut(pairs)
-        every = found.select("nkey_a", "nkey_b").union(pairs)
-        for s, many in zip("ab", several, strict=True):
-            lone = every.groupBy(f"nkey_{s}").count().where("count = 1").select(f"nkey_{s}")
-            pairs = pairs.join(many, f"nkey_{s}", "left_anti").join(lone, f"nkey_{s}", "left_semi").select("nkey_a", "nkey_b")
-        strong = found.union(pairs.withColumn("kind", F.lit("shared_text")))
+    columns = ["nkey_a", "nkey_b", "kind", "id_a", "id_b"]
+    every = same.withColumn("kind", F.lit("exact")).select(columns).union(token_candidates(a, b, parts)).union(pattern_candidates(a, b, parts))
     rank = F.coalesce(*(F.when(F.col("kind") == k, r) for k, r in RANKS.items()))
     both = F.filter(F.concat("nkey_a", "nkey_b"), lambda c: F.contains(c, F.lit(ANY)))
     literals = F.aggregate(both, F.lit(0), lambda n, c: n + F.length(F.replace(c, F.lit(ANY), F.lit(""))))
     stars = F.aggregate(both, F.lit(0), lambda n, c: n + F.floor((F.length(c) - F.length(F.replace(c, F.lit(ANY), F.lit("")))) / 2).cast("int"))
-    scored = strong.select("nkey_a", "nkey_b", rank.alias("rank"), literals.alias("literals"), stars.alias("patterns"))
-    for s, k in zip("ab", keys, strict=True):
-        scored = scored.join(k.select(F.col("nkey").alias(f"nkey_{s}"), F.col("rid").alias(f"first_{s}")), f"nkey_{s}")
-    if spec.max_candidates is not None and scored.limit(spec.max_candidates + 1).count() > spec.max_candidates:
+    found = kept(every.select("id_a", "id_b", rank.alias("rank"), literals.alias("literals"), stars.alias("patterns")))
+    if parts == (1, 1):
+        pairs, several = lone_word_candidates(a, b)
+        pairs = kept(pairs)
+        candidates = found.select("id_a", "id_b").union(pairs)
+        for s, many in zip("ab", several, strict=True):
+            lone = candidates.groupBy(f"id_{s}").count().where("count = 1").select(f"id_{s}")
+            pairs = pairs.join(many, f"id_{s}", "left_anti").join(lone, f"id_{s}", "left_semi").select("id_a", "id_b")
+        found = found.union(pairs.select("id_a", "id_b", *(F.lit(0).alias(c) for c in ("rank", "literals", "patterns"))))
+    if spec.max_candidates is not None and found.limit(spec.max_candidates + 1).count() > spec.max_candidates:
         raise ReconError(f"flexible matching found more than {spec.max_candidates} candidates; at least {spec.max_candidates + 1}")
-    return scored
+    return found
+
+
+def candidates(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
+    """(id_a, id_b, rank, literals, patterns, nkey_a, nkey_b) of groups: every classified pair that is not pruned."""
+    a, b = numbered(a), numbered(b)
+    return scored(a, b, spec).join(_named(a, "a"), "id_a").join(_named(b, "b"), "id_b")
 
 
 def matched_groups(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
     """Groups side by side, with the place of each pair in the order of preference; unmatched groups have one side."""
-    a, b = cut(a), cut(b)
-    chosen = cut(assigned(candidates(a, b, spec)))
+    keys = [numbered(k) for k in (a, b)]
+    # numbers stand for keys and follow their first rows
+    pairs = scored(*keys, spec).select(F.col("id_a").alias("nkey_a"), F.col("id_b").alias("nkey_b"), "rank", "literals", "patterns", *(F.lit(0).alias(f"first_{s}") for s in "ab"))
     # the first three preferences as one number; the first rows, which follow in the order, settle the rest
-    chosen = chosen.select("nkey_a", "nkey_b", (F.col("rank") * -(1 << 40) - F.col("literals") * (1 << 20) + F.col("patterns")).cast("long").alias("rank"))
-    left = a.withColumnRenamed("nkey", "nkey_a").join(chosen, "nkey_a", "left")
+    rank = (F.col("rank") * -(1 << 40) - F.col("literals") * (1 << 20) + F.col("patterns")).cast("long")
+    chosen = kept(assigned(pairs).select(F.col("nkey_a").alias("id_a"), F.col("nkey_b").alias("id_b"), rank.alias("rank")))
+    chosen = chosen.join(_named(keys[0], "a"), "id_a").join(_named(keys[1], "b"), "id_b").select("nkey_a", "nkey_b", "rank")
+    left = a.withColumnRenamed("nkey", "nkey_a").hint("merge").join(chosen, "nkey_a", "left")
     right = b.withColumnRenamed("nkey", "nkey_b")
     met = left.join(right, "nkey_b", "full_outer")
     return met.withColumn("nkey", F.coalesce("nkey_a", "nkey_b"))

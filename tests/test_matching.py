@@ -8,8 +8,8 @@ from helpers import request, table
 from pyspark.sql import functions as F
 
 from concordat.functions.tokens import component_tokens, pattern_kind, shared_tokens
-from concordat.operators import flexible, matching
-from concordat.operators.compare import groups, prepared
+from concordat.operators import flexible, graph, matching
+from concordat.operators.compare import groups, prepared, reconcile
 
 PAIRS = "nkey_a array<string>, nkey_b array<string>, rank int, literals int, patterns int, first_a struct<n:int>, first_b struct<n:int>"
 
@@ -121,3 +121,24 @@ def test_a_word_in_every_key_makes_no_block(spark):
     assert pairs.count() == 0 and [s.count() for s in several] == [300, 300]
     assert flexible.token_candidates(a, b, (1, 1)).count() == 0
     assert flexible.candidates(a, b, request("k", "k", flexible=True)).count() == 0
+
+
+def from_range(spark, n, ends):
+    """Keys by rows that are exploded, of which Spark expects a few bytes."""
+    each = spark.range(n).select("id", F.posexplode(F.array(*map(F.lit, ends))).alias("j", "end"))
+    return each.select((4 * F.col("id") + F.col("j")).alias("_n"), F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), "end").alias("k"))
+
+
+def test_keys_are_not_broadcast_by_their_estimated_size(spark, monkeypatch):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return graph.cut(df)
+
+    monkeypatch.setattr(flexible, "cut", cut)
+    monkeypatch.setattr(flexible, "BROADCAST_ROWS", 0, raising=False)
+    results = reconcile(from_range(spark, 20, ("-**", "-A**", "-AB**")), from_range(spark, 20, ("-ABC", "-AX", "-Y")), request("k", flexible=True)).results
+    plans.append(results._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+    assert results.groupBy("result_type").count().collect() == [("match", 60)]
