@@ -203,7 +203,7 @@ def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
 
     lengths = _lengths(*(k.select(F.col(f"head_{s}").alias("head"), F.col(f"tail_{s}").alias("tail")) for s, k in (("a", left), ("b", right))))
 
-    def along(edge: str, made) -> DataFrame:
+    def along(edge: str, made, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of which both have the edge, met at the longest size that both have."""
         sides = []
         for s, k in (("a", left), ("b", right)):
@@ -212,8 +212,9 @@ def patterns_with_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
             sides.append(at.withColumn("block", made(text, F.col(f"n_{s}"))))
         return sides[0].join(sides[1], "block").where("n_a = most_a or n_b = most_b")
 
-    heads = along("head", _head).select(columns)
-    tails = along("tail", _tail).where("head_a = '' or head_b = ''").select(columns)
+    heads = along("head", _head, left, right).select(columns)
+    # keys that both have heads have met on those: a tail that they all share must not bring them together
+    tails = along("tail", _tail, left.where("head_a = ''"), right).union(along("tail", _tail, left.where("head_a != ''"), right.where("head_b = ''"))).select(columns)
 
     def open_sides(k: DataFrame, s: str) -> DataFrame:
         no_head, no_tail, key = F.col(f"head_{s}") == "", F.col(f"tail_{s}") == "", f"nkey_{s}"

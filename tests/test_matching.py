@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from helpers import request, table
@@ -142,3 +143,11 @@ def test_keys_are_not_broadcast_by_their_estimated_size(spark, monkeypatch):
     plans.append(results._jdf.queryExecution().sparkPlan().toString())
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
     assert results.groupBy("result_type").count().collect() == [("match", 60)]
+
+
+def test_keys_with_heads_do_not_meet_on_tails(spark):
+    """A tail that all keys share makes no pair of keys that both have heads, also none that a condition drops again."""
+    a, b = sides(spark, "k", [(f"H{k}-**-END",) for k in range(5)] + [("**-END",)], [(f"H{k}-X**END",) for k in range(5)])
+    met = flexible.patterns_with_patterns(flexible.numbered(a), flexible.numbered(b))
+    assert not re.search(r"Join .*head_a.* OR .*head_b", met._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted((r["nkey_a"][0], r["nkey_b"][0]) for r in met.collect()) == sorted([(f"H{k}-**-END", f"H{k}-X**END") for k in range(5)] + [("**-END", f"H{k}-X**END") for k in range(5)])
