@@ -12,6 +12,7 @@ Keys are numbered in the order that ties follow, and from then on pairs are two
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concordat.functions.tokens import (
@@ -25,6 +26,8 @@ from concordat.spec import ReconError, ReconSpec
 SALTS = 32
 #: Most lengths of heads, and of tails, that keys with patterns meet on, and most letters of what they meet on in between.
 LENGTHS, GRAM = 32, 3
+#: Keys of a side from which on a word that they hold is not joined by shuffle.
+HEAVY = 10_000
 
 
 def _terms(component: Column, tokens: Column, side: str) -> Column:
@@ -105,20 +108,37 @@ def token_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] | None =
 
 
 def lone_word_candidates(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """((id_a, id_b) of keys of one component that share one word and no more, keys of each side that have several such partners).
+    """((id_a, id_b) by words that one key of each side holds, keys of each side of which a word has several partners or shares its only one).
 
-    Pairs by a word that several keys of both sides hold are not met: each of those keys is listed as one of several partners.
+    Words are counted with the least number of a key that holds them, which is that key where it is one, so that no word of many keys is gathered. A word of
+    ``HEAVY`` keys is told to all tasks; other words' keys meet by join.
     """
+    plain = _plain(a, b)
+    if not all(k.limit(1).count() for k in plain):
+        return _nothing(a, "id_a", "id_b"), [_nothing(a, f"id_{s}") for s in "ab"]
     words = [
-        k.where(~has_numbers(F.get("t", 0))).select(F.col("id").alias(f"id_{s}"), F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.get("t", 0)["alpha"]).alias("word"))
-        for s, k in zip("ab", _plain(a, b), strict=True)
+        k.select(F.col("id").alias(f"id_{s}"), F.explode(F.when(~has_numbers(F.get("t", 0)), F.get("t", 0)["alpha"])).alias("word")) for s, k in zip("ab", plain, strict=True)
     ]
-    counts = words[0].groupBy("word").agg(F.count("*").alias("n_a")).join(words[1].groupBy("word").agg(F.count("*").alias("n_b")), "word")
-    met = words[0].join(counts.where("n_a = 1 or n_b = 1"), "word").join(words[1], "word").where("nkey_a != nkey_b")
-    kind = shared_tokens(F.col("nkey_a"), F.col("nkey_b"), F.col("t_a"), F.col("t_b"))
-    pairs = met.where(kind == "shared_text").select("id_a", "id_b").distinct()
-    several = [words[n].join(counts.where(f"n_{other} > 1"), "word", "left_semi").select(f"id_{s}").distinct() for n, (s, other) in enumerate(("ab", "ba"))]
-    return pairs, several
+    none = F.lit(None).cast("bigint")
+    held = words[0].select("word", "id_a", none.alias("id_b")).union(words[1].select("word", none, "id_b"))
+    counts = held.groupBy("word").agg(*(F.count(f"id_{s}").alias(f"n_{s}") for s in "ab"), *(F.min(f"id_{s}").alias(f"id_{s}") for s in "ab"))
+    shared, heavy = (F.col("n_a") > 0) & (F.col("n_b") > 0), F.greatest("n_a", "n_b") >= HEAVY
+    word = F.when((F.col("n_a") > 1) | (F.col("n_b") > 1), F.col("word"))  # others are told by their two keys
+    counts = kept(counts.where(shared | heavy).select(word.alias("word"), "n_a", "n_b", "id_a", "id_b"))
+    light = {s: shared & (F.col(f"n_{s}") > 1) & (F.col(f"n_{s}") < HEAVY) for s in "ab"}
+    many = counts.agg(*(F.count_if(x).alias(s) for s, x in light.items())).first()
+    several = []
+    for n, (s, other) in enumerate(("ab", "ba")):
+        often = counts.where(F.col(f"n_{s}") >= HEAVY)  # no more words than a share of the keys
+        found = counts.where(shared & (F.col(f"n_{s}") == 1) & (F.col(f"n_{other}") > 1)).select(f"id_{s}")
+        found = found.union(words[n].join(F.broadcast(cut(often.where(shared).select("word"))), "word", "left_semi").select(f"id_{s}"))
+        if many[s]:
+            told = F.broadcast if many[s] <= BROADCAST_ROWS else lambda df: df
+            by_word = cut(counts.where(light[s]).select("word"))
+            rest = words[n] if many[s] <= BROADCAST_ROWS else words[n].join(F.broadcast(cut(often.select("word"))), "word", "left_anti")
+            found = found.union(rest.join(told(by_word), "word", "left_semi").select(f"id_{s}"))
+        several.append(found)
+    return counts.where("n_a = 1 and n_b = 1").select("id_a", "id_b"), several
 
 
 def _lengths(*patterns: DataFrame) -> dict[str, list[int]]:
@@ -270,11 +290,10 @@ def scored(a: DataFrame, b: DataFrame, spec: ReconSpec) -> DataFrame:
     found = kept(every.select("id_a", "id_b", rank.alias("rank"), literals.alias("literals"), stars.alias("patterns")))
     if parts == (1, 1):
         pairs, several = lone_word_candidates(a, b)
-        pairs = kept(pairs)
-        candidates = found.select("id_a", "id_b").union(pairs)
+        # neither key may have another word's pair, another partner by the same word, or any other candidate
+        pairs = pairs.select("*", *(F.count("*").over(W.partitionBy(f"id_{s}")).alias(f"n_{s}") for s in "ab")).where("n_a = 1 and n_b = 1")
         for s, many in zip("ab", several, strict=True):
-            lone = candidates.groupBy(f"id_{s}").count().where("count = 1").select(f"id_{s}")
-            pairs = pairs.join(many, f"id_{s}", "left_anti").join(lone, f"id_{s}", "left_semi").select("id_a", "id_b")
+            pairs = pairs.join(many.union(found.select(f"id_{s}")), f"id_{s}", "left_anti")
         found = found.union(pairs.select("id_a", "id_b", *(F.lit(0).alias(c) for c in ("rank", "literals", "patterns"))))
     if spec.max_candidates is not None and found.limit(spec.max_candidates + 1).count() > spec.max_candidates:
         raise ReconError(f"flexible matching found more than {spec.max_candidates} candidates; at least {spec.max_candidates + 1}")

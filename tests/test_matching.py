@@ -151,3 +151,18 @@ def test_keys_with_heads_do_not_meet_on_tails(spark):
     met = flexible.patterns_with_patterns(flexible.numbered(a), flexible.numbered(b))
     assert not re.search(r"Join .*head_a.* OR .*head_b", met._jdf.queryExecution().optimizedPlan().toString())
     assert sorted((r["nkey_a"][0], r["nkey_b"][0]) for r in met.collect()) == sorted([(f"H{k}-**-END", f"H{k}-X**END") for k in range(5)] + [("**-END", f"H{k}-X**END") for k in range(5)])
+
+
+@pytest.mark.parametrize("heavy, rows", [(2, 0), (3, 0), (10_000, 200_000)])
+def test_lone_words_by_any_join(spark, monkeypatch, heavy, rows):
+    """Words told to all tasks, or joined, decide alike, and no join by words holds those of very many keys."""
+    monkeypatch.setattr(flexible, "HEAVY", heavy)
+    monkeypatch.setattr(flexible, "BROADCAST_ROWS", rows)
+    a, b = sides(spark, "k", [("zero left",), ("oneone left",), ("twotwo left",), ("three four",), ("fives left",), ("sixsix rest",), ("seven",)], [
+        ("zero right",), ("oneone right",), ("oneone other",), ("twotwo rest",), ("three four right",), ("fives right",), ("sixsix right",), ("seven",), ("eight left right",)])
+    got = sorted((r["nkey_a"][0], r["nkey_b"][0], r["rank"]) for r in flexible.candidates(a, b, request("k", flexible=True)).collect())
+    # "left" is one key's word in B and four keys' in A, so that none of these is alone; "rest" joins twotwo and sixsix
+    assert got == [("seven", "seven", 4), ("three four", "three four right", 1)]
+    a, b = sides(spark, "k", [("zero left",), ("oneone left",), ("twotwo left",)], [("zero right",), ("oneone right",), ("oneone other",), ("twotwo right",)])
+    got = sorted((r["nkey_a"][0], r["nkey_b"][0], r["rank"]) for r in flexible.candidates(a, b, request("k", flexible=True)).collect())
+    assert got == [("twotwo left", "twotwo right", 0), ("zero left", "zero right", 0)]
