@@ -83,6 +83,7 @@ def token_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] | None =
 
     parts: how many components the keys of each side have; found out if not given.
     """
+    a, b = numbered(a), numbered(b)
     plain = _plain(a, b)
     if parts is None:
         parts = tuple(max((k.select(F.size("nkey")).first() or [0])[0], 0) for k in plain)
@@ -90,21 +91,25 @@ def token_candidates(a: DataFrame, b: DataFrame, parts: tuple[int, int] | None =
         return _nothing(a, "nkey_a", "nkey_b", "kind", "id_a", "id_b")
     if parts[0] == 1:
         t = F.get("t", 0)
-        numbers = F.concat(F.transform(t["numbers"], lambda n: F.concat(F.lit("n:"), n)), F.transform(t["identifiers"], lambda n: F.concat(F.lit("i:"), n)))
-        terms = [F.concat(_products(numbers, t["alpha"]), F.when(has_numbers(t), F.array().cast("array<string>")).otherwise(_pairs_of(t["alpha"])))] * 2
+        mark = lambda m, words: F.transform(words, lambda w: F.concat(F.lit(m), w))
+        # a shared identifier that is a word too is enough; other numbers need a word beside them, which then is no identifier
+        numbers = F.concat(mark("n:", t["numbers"]), mark("i:", F.array_except(t["identifiers"], t["alpha"])))
+        both = mark("i:", F.array_intersect(t["identifiers"], t["alpha"]))
+        terms = [F.concat(both, _products(numbers, F.array_except(t["alpha"], t["identifiers"])), F.when(has_numbers(t), F.array().cast("array<string>")).otherwise(_pairs_of(t["alpha"])))] * 2
     else:
         each = F.explode(F.transform(F.sequence(F.lit(0), F.size("nkey") - 1), lambda i: F.struct(i.alias("i"), F.get("nkey", i).alias("c"))))
         sizes = plain[0].select(each.alias("x")).groupBy("x.i").agg(F.approx_count_distinct("x.c").alias("n")).orderBy(F.desc("n"), "i").limit(2).collect()
         # any two components are enough; those of most values make the smallest blocks
         one, two = (r["i"] for r in sizes) if len(sizes) == 2 else (0, 1)
         terms = [_products(*(_terms(F.get("nkey", i), F.get("t", i), s) for i in (one, two))) for s in "ab"]
-    blocked = [
-        k.select(F.col("id").alias(f"id_{s}"), F.col("nkey").alias(f"nkey_{s}"), F.col("t").alias(f"t_{s}"), F.explode(F.array_distinct(x)).alias("term"))
-        for s, k, x in zip("ab", plain, terms, strict=True)
-    ]
-    met = blocked[0].join(blocked[1], "term").where("nkey_a != nkey_b")
+    # a term's hash and a key's number are all that is shuffled; texts meet once for each pair of keys, and decide
+    blocked = [k.select(F.col("id").alias(f"id_{s}"), F.explode(F.array_distinct(F.transform(x, lambda y: F.xxhash64(y)))).alias("term")) for s, k, x in zip("ab", plain, terms, strict=True)]
+    met = blocked[0].join(blocked[1], "term").select("id_a", "id_b").repartition("id_a").distinct()
+    for s, k in zip("ab", (a, b), strict=True):
+        met = met.join(_named(k, s), f"id_{s}")
+    met = met.where("nkey_a != nkey_b").select("*", *(F.transform(f"nkey_{s}", component_tokens).alias(f"t_{s}") for s in "ab"))
     kind = shared_tokens(F.col("nkey_a"), F.col("nkey_b"), F.col("t_a"), F.col("t_b"))
-    return met.select("nkey_a", "nkey_b", kind.alias("kind"), "id_a", "id_b").where("kind is not null").distinct()
+    return met.select("nkey_a", "nkey_b", F.explode(F.array_compact(F.array(kind))).alias("kind"), "id_a", "id_b")  # no condition, which would be made again for each use
 
 
 def lone_word_candidates(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

@@ -166,3 +166,12 @@ def test_lone_words_by_any_join(spark, monkeypatch, heavy, rows):
     a, b = sides(spark, "k", [("zero left",), ("oneone left",), ("twotwo left",)], [("zero right",), ("oneone right",), ("oneone other",), ("twotwo right",)])
     got = sorted((r["nkey_a"][0], r["nkey_b"][0], r["rank"]) for r in flexible.candidates(a, b, request("k", flexible=True)).collect())
     assert got == [("twotwo left", "twotwo right", 0), ("zero left", "zero right", 0)]
+
+
+def test_tokens_shuffle_hashes_and_numbers(spark):
+    """Blocks of tokens are by numbers and hold no text."""
+    a, b = sides(spark, "k", [(f"ORDER-{k} ACME{k} INV",) for k in range(30)], [(f"ORDER-{k} ACME{k} PAID",) for k in range(30)])
+    met = flexible.token_candidates(a, b, (1, 1))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(term#\d+L = term#\d+L\)", plan)  # numbers, not texts
+    assert sorted((r["nkey_a"][0], r["nkey_b"][0], r["kind"]) for r in met.collect()) == sorted((f"ORDER-{k} ACME{k} INV", f"ORDER-{k} ACME{k} PAID", "shared_anchored") for k in range(30))
