@@ -175,3 +175,21 @@ def test_tokens_shuffle_hashes_and_numbers(spark):
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, \(term#\d+L = term#\d+L\)", plan)  # numbers, not texts
     assert sorted((r["nkey_a"][0], r["nkey_b"][0], r["kind"]) for r in met.collect()) == sorted((f"ORDER-{k} ACME{k} INV", f"ORDER-{k} ACME{k} PAID", "shared_anchored") for k in range(30))
+
+
+def test_pairs_of_keys_left_over_on_both_sides_without_broadcast(spark, monkeypatch):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return graph.cut(df)
+
+    monkeypatch.setattr(flexible, "cut", cut)
+    monkeypatch.setattr(flexible, "BROADCAST_ROWS", 0, raising=False)
+    a, b = from_range(spark, 6, ("-**", "-A**")), from_range(spark, 6, ("-ABC", "-AX", "-Y", "-ZZ")).where("_n % 3 = 0 or _n > 20")
+    found = reconcile(a, b, request("k", flexible=True)).results
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    rows = sorted((r["result_type"], r["key"][0]) for r in found.collect())
+    assert [r for r in rows if r[0] != "match"] == [("missing_left", "000005-ZZ"), ("missing_right", "000001-A**"), ("missing_right", "000002-**"), ("missing_right", "000004-A**")]
+    assert len(rows) == 13
